@@ -11,6 +11,7 @@ from threadgauge.functions import text as tx
 from threadgauge.functions.hashing import half_split, hash60, unit_interval
 from threadgauge.operators import allocate as al
 from threadgauge.operators.spread import exact_quantiles, hash_rank, require_empty, take_by_hash
+from threadgauge.session import cut_lineage
 
 
 def engagement_cutpoints(stories: DataFrame, value: str = "descendants") -> DataFrame:
@@ -71,9 +72,10 @@ def expand(sample: DataFrame, frame: DataFrame, quota: DataFrame, seed: int, bat
 
     Draw order continues after the largest one in the sample.
     """
+    sample = cut_lineage(sample)  # sample-sized; read four times below
     rest = frame.join(sample.select(key), key, "left_anti")
     more = draw(rest, quota, seed, key=key)
-    more = hash_rank(more.drop("draw_rank"), [], hash60(seed, "order", F.col(key)), [key], "__pos")
+    more = hash_rank(cut_lineage(more.drop("draw_rank")), [], hash60(seed, "order", F.col(key)), [key], "__pos")
     start = sample.agg(F.max("draw_order")).scalar()
     added = more.withColumn("batch", F.lit(batch)).withColumn("draw_order", start + F.col("__pos")).drop("__pos")
     cols = [*frame.columns, "batch", "draw_order"]
@@ -187,6 +189,7 @@ def label_queue(
     )
     picked = take_by_hash(rows, ["band"], hash60(seed, F.col("comment_id")), ["comment_id"], quota).drop("draw_rank")
     picked = picked.join(quota.select("band", (F.col("n_take") / F.col("n_members")).alias("rate")), "band")
+    picked = cut_lineage(picked)  # queue-sized; read three times below
     picked = hash_rank(picked, [], hash60(seed, "order", F.col("comment_id")), ["comment_id"], "position")
     picked = hash_rank(picked, [], hash60(seed, "repeat", F.col("comment_id")), ["comment_id"], "__rep")
     n = picked.agg(F.count(F.lit(1))).scalar()
