@@ -389,8 +389,10 @@ def unsolved_shares(rows: DataFrame, min_measured: int = 30, **options) -> DataF
 
 def fix_shares(threads: DataFrame, **options) -> DataFrame:
     """Thread-level fix/(fix+complaint) per tool; a thread may count on both sides (EST-20)."""
-    flags = threads.groupBy("stratum", F.col("story_id").alias("cluster"), "tool").agg(
-        F.max(F.col("is_fix").cast("int")).alias("fix"), F.max(F.col("is_complaint").cast("int")).alias("complaint")
+    cluster = F.coalesce(F.col("story_id"), -F.col("comment_id")).alias("cluster")
+    flags = threads.groupBy(cluster, "tool").agg(
+        F.min_by("stratum", "comment_id").alias("stratum"), F.max(F.col("is_fix").cast("int")).alias("fix"),
+        F.max(F.col("is_complaint").cast("int")).alias("complaint"),
     )
     pair = {"fix_share": (F.col("fix"), F.col("fix") + F.col("complaint"))}
     return ratio_estimates(flags, pair, by=["tool"], weight=None, within=True, **options)

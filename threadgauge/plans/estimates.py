@@ -30,7 +30,9 @@ def boot(name: str, src: str, keys: list[str], values: list[str], n_rep: int = R
  {p}_x AS (SELECT stratum, rep, b, least({block}, m - b * {block}) AS mb, ({h32(str(seed), 'rep', 'stratum', 'b')} + unnest(range(n)) * {bs.STEP}) % 4294967296 AS x0 FROM {p}_n),
  {p}_y AS (SELECT stratum, rep, b, mb, {mixed('x0')} AS x1 FROM {p}_x), {p}_z AS (SELECT stratum, rep, b, mb, {mixed('x1')} AS x2 FROM {p}_y),
  {p}_h AS (SELECT rep, stratum, b * {block} + xor(x2 >> 16, x2) % mb AS pos, count(*) AS c FROM {p}_z GROUP BY ALL),
- {p} AS (SELECT rep, {k}{', '.join(f'sum(c * {v}) AS {v}' for v in values)} FROM (SELECT * FROM {p}_h JOIN {p}_ids USING (stratum, pos) JOIN {p}_u USING (stratum, cluster)) GROUP BY ALL
+ {p}_s AS (SELECT rep, {k}{', '.join(f'sum(c * {v}) AS {v}' for v in values)} FROM (SELECT * FROM {p}_h JOIN {p}_ids USING (stratum, pos) JOIN {p}_u USING (stratum, cluster)) GROUP BY ALL),
+ {p}_g AS (SELECT g.rep AS grep, {''.join(f'e.{c} AS g_{c}, ' for c in keys)}s.* FROM (SELECT unnest(range({n_rep})) AS rep) g CROSS JOIN (SELECT DISTINCT {k}1 AS one FROM {p}_u) e LEFT JOIN {p}_s s ON s.rep = g.rep{''.join(f' AND s.{c} IS NOT DISTINCT FROM e.{c}' for c in keys)}),
+ {p} AS (SELECT grep AS rep, {''.join(f'g_{c} AS {c}, ' for c in keys)}{', '.join(f'coalesce({v}, 0) AS {v}' for v in values)} FROM {p}_g
  UNION ALL SELECT -1 AS rep, {k}{', '.join(f'sum({v}) AS {v}' for v in values)} FROM {p}_u GROUP BY ALL)"""
 
 
@@ -363,17 +365,17 @@ def _(t: Tables):
     return rounded(es.unsolved_shares(rows, 170, n_rep=R))
 
 
-TOOLS = "tt AS (SELECT stratum, story_id, 'tool' || CAST(comment_id % 4 AS VARCHAR) AS tool, comment_id % 3 = 0 AS is_fix, comment_id % 3 = 1 AS is_complaint FROM coded)"
+TOOLS = "tt AS (SELECT stratum, story_id, comment_id, 'tool' || CAST(comment_id % 4 AS VARCHAR) AS tool, comment_id % 3 = 0 AS is_fix, comment_id % 3 = 1 AS is_complaint FROM coded)"
 
 
 def tool_threads(t: Tables):
     return coded(t).select(
-        "stratum", "story_id", F.concat(F.lit("tool"), (F.col("comment_id") % 4).cast("string")).alias("tool"),
+        "stratum", "story_id", "comment_id", F.concat(F.lit("tool"), (F.col("comment_id") % 4).cast("string")).alias("tool"),
         (F.col("comment_id") % 3 == 0).alias("is_fix"), (F.col("comment_id") % 3 == 1).alias("is_complaint"),
     )
 
 
-@plan("est_20_fix_shares", f"""WITH {CODED}, {TOOLS}, tf AS (SELECT stratum, story_id, tool, max(is_fix::INT) AS f, max(is_complaint::INT) AS c FROM tt GROUP BY ALL), ts AS (SELECT tool || '~' || stratum AS stratum, story_id AS cluster, tool, f AS a, f + c AS d, f AS n FROM tf),
+@plan("est_20_fix_shares", f"""WITH {CODED}, {TOOLS}, tf AS (SELECT arg_min(stratum, comment_id) AS stratum, story_id, tool, max(is_fix::INT) AS f, max(is_complaint::INT) AS c FROM tt GROUP BY story_id, tool), ts AS (SELECT tool || '~' || stratum AS stratum, story_id AS cluster, tool, f AS a, f + c AS d, f AS n FROM tf),
  {boot('b', 'ts', ['tool'], ['a', 'd', 'n'])} SELECT *, n < 30 AS sparse FROM ({ci('a / nullif(d, 0)', 'b', 'tool, ', 'n')})""")
 def _(t: Tables):
     return rounded(es.fix_shares(tool_threads(t), n_rep=R).drop("name"))

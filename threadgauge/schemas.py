@@ -60,7 +60,7 @@ PHASE2 = (
 )
 UNSOLVED = (
     "comment_id bigint, n_replies bigint, any_solution_named boolean, solution_kinds array<string>, "
-    "author_says_solved boolean, unsolved boolean, solved_p double"
+    "author_says_solved string, unsolved boolean, solved_p double"
 )
 MENTIONS = (
     "hit_id bigint, comment_id bigint, problem_id bigint, card_id string, story_id bigint, kind string, "
