@@ -347,11 +347,10 @@ def _(t: Tables):
 
 @plan("ans_30_launch_items", r"""SELECT doc_id AS story_id, source AS title, rtrim(substr(source || coalesce(' ' || nullif(array_to_string(s[1:3], ' '), ''), ''), 1, 300)) AS snippet FROM (SELECT doc_id, source,
  list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), '\n{2,}', chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS s
- FROM documents WHERE doc_id % 2 = 0 AND NOT regexp_matches(lower(text), '(e\.g\.|i\.e\.|etc\.|vs\.|cf\.)\s'))""")
+ FROM documents)""")
 def _(t: Tables):
-    docs = t.documents.filter(~F.lower("text").rlike(r"(e\.g\.|i\.e\.|etc\.|vs\.|cf\.)\s"))
-    stories = docs.select(F.col("doc_id").alias("story_id"), F.concat(F.lit("Show HN: "), F.col("source")).alias("title"), F.col("text").alias("text_norm"))
-    return an.launch_items(stories.filter("story_id % 2 = 0").select("story_id"), stories)
+    stories = t.documents.select(F.col("doc_id").alias("story_id"), F.concat(F.lit("Show HN: "), F.col("source")).alias("title"), F.col("text").alias("text_norm"))
+    return an.launch_items(stories.select("story_id"), stories)
 
 
 @plan("ans_31_label_frame", f"WITH {PROBLEMS}, {ANSWERS} SELECT comment_id, weight, noul AS score FROM problems JOIN (SELECT comment_id, noul FROM last WHERE question_id = 'click' AND noul IS NOT NULL) USING (comment_id)")

@@ -114,10 +114,10 @@ def _(t: Tables):
     return rounded(rounded(out, "recall_lower_bound", "point_recall"), "threshold", digits=9)
 
 
-@plan("met_04_reliability_bins", f"""WITH {LAB}, g AS (SELECT CAST(least(floor(score * 10), 9) AS BIGINT) AS bin, count(*) AS n, sum(weight) AS weight, sum(weight * score) / sum(weight) AS mean_predicted, sum(weight * y) / sum(weight) AS observed FROM lab WHERE comment_id % 2 = 0 GROUP BY 1)
+@plan("met_04_reliability_bins", f"""WITH {LAB}, g AS (SELECT CAST(least(floor(score * 10), 9) AS BIGINT) AS bin, count(*) AS n, sum(weight) AS weight, sum(weight * score) / sum(weight) AS mean_predicted, sum(weight * y) / sum(weight) AS observed FROM lab GROUP BY 1)
  SELECT bin, coalesce(n, 0) AS n, coalesce(weight, 0) AS weight, round(mean_predicted, 6) AS mean_predicted, round(observed, 6) AS observed FROM (SELECT unnest(range(10)) AS bin) LEFT JOIN g USING (bin)""")
 def _(t: Tables):
-    return rounded(ql.reliability_bins(labelled(t).filter("comment_id % 2 = 0")), "mean_predicted", "observed")
+    return rounded(ql.reliability_bins(labelled(t)), "mean_predicted", "observed")
 
 
 @plan("met_05_choice_accuracy", f"WITH {CODED} SELECT count(*) AS n, round(avg((domain = role)::INT), 6) AS accuracy FROM (SELECT domain, CASE WHEN comment_id % 3 = 0 THEN domain ELSE 'web' END AS role FROM coded)")

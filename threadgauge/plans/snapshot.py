@@ -264,11 +264,10 @@ def _(t: Tables):
 @plan("snp_19_item_loader", f"""{BASE}, sid AS (SELECT id, title, text_norm FROM items WHERE type IN ('story','poll','job'))
  SELECT c.id, c.story_id, md5(c.text_norm) AS text_key, md5(coalesce(p.text_norm, s.text_norm, x.text_norm, '')) AS parent_key, coalesce(r.title, '') AS title
  FROM comments c LEFT JOIN comments p ON p.id = c.parent_id LEFT JOIN sid s ON s.id = c.parent_id
- LEFT JOIN (SELECT id, text_norm FROM items WHERE type = 'pollopt') x ON x.id = c.parent_id LEFT JOIN sid r ON r.id = c.story_id
- WHERE c.id % 2 = 0""")
+ LEFT JOIN (SELECT id, text_norm FROM items WHERE type = 'pollopt') x ON x.id = c.parent_id LEFT JOIN sid r ON r.id = c.story_id""")
 def _(t: Tables):
     table, rows = comments(t), items(t)
-    ids = table.filter("id % 2 = 0").select("id")
+    ids = table.select("id")
     out = sn.load_items(ids, table, sn.stories_table(rows, START, END), rows.filter("type = 'pollopt'"))
     return out.select("id", "story_id", F.md5("text").alias("text_key"), F.md5("parent_text").alias("parent_key"), "title")
 

@@ -118,11 +118,10 @@ def _(t: Tables):
 SENT_SQL = r"""list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), '\n{2,}', chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"""
 
 
-@plan("txt_16_bounded_snippet", rf"""WITH s AS (SELECT doc_id, source, {SENT_SQL} AS s FROM documents WHERE NOT regexp_matches(lower(text), '(e\.g\.|i\.e\.|etc\.|vs\.|cf\.)\s'))
+@plan("txt_16_bounded_snippet", rf"""WITH s AS (SELECT doc_id, source, {SENT_SQL} AS s FROM documents)
  SELECT doc_id, rtrim(substr(source || ' ' || array_to_string(s[1:3], ' '), 1, 300)) AS snippet FROM s""")
 def _(t: Tables):
-    docs = t.documents.filter(~F.lower("text").rlike(r"(e\.g\.|i\.e\.|etc\.|vs\.|cf\.)\s"))
-    return docs.select("doc_id", tx.bounded_snippet(F.col("source"), tx.split_sentences(F.col("text"))).alias("snippet"))
+    return t.documents.select("doc_id", tx.bounded_snippet(F.col("source"), tx.split_sentences(F.col("text"))).alias("snippet"))
 
 
 @plan("txt_17_question_state", """SELECT doc_id, CAST(least(255, n) AS BIGINT) AS n_sentences, substr(source || text, 1, 120) AS parent_cut FROM
