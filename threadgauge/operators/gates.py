@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
@@ -60,6 +60,16 @@ def string_columns(df: DataFrame) -> list[tuple[str, bool]]:
     return out
 
 
+def _tagged(column: str, array: Column, field: str) -> Column:
+    """Array elements as (column, field) structs."""
+    return F.transform(array, lambda x: F.struct(F.lit(column).alias("column"), x.alias(field)))
+
+
+def _strings(column: str, is_array: bool) -> Column:
+    value = F.col(column) if is_array else F.array(F.col(column))
+    return F.coalesce(value, F.array().cast("array<string>"))
+
+
 def _audited(name: str) -> bool:
     return name not in LENGTH_EXEMPT and not name.endswith(EXEMPT_SUFFIXES)
 
@@ -73,14 +83,10 @@ def length_medians(df: DataFrame) -> DataFrame:
     cols = [(c, is_array) for c, is_array in string_columns(df) if _audited(c)]
     if not cols:
         return df.sparkSession.createDataFrame([], "column string, median double")
-    parts = [
-        F.transform(F.col(c), lambda x, c=c: F.struct(F.lit(c).alias("column"), F.length(x).alias("len"))) if is_array
-        else F.array(F.struct(F.lit(c).alias("column"), F.length(c).alias("len")))
-        for c, is_array in cols
-    ]
-    flat = df.select(F.explode(F.concat(*[F.coalesce(p, F.array().cast("array<struct<column:string,len:int>>")) for p in parts])).alias("x")).select("x.*")
+    lengths = [_tagged(c, F.transform(_strings(c, is_array), F.length), "len") for c, is_array in cols]
+    flat = df.select(F.explode(F.concat(*lengths)).alias("x")).select("x.*")
     counted = flat.filter("len IS NOT NULL").groupBy("column", "len").agg(F.count(F.lit(1)).alias("n"))
-    return counted.groupBy("column").agg(F.percentile("len", F.lit(0.5), "n").alias("median"))
+    return counted.groupBy("column").agg(F.percentile("len", F.lit(0.5), F.col("n")).alias("median"))
 
 
 def long_text(name: str, df: DataFrame, most: float = MAX_MEDIAN) -> DataFrame:
@@ -97,11 +103,7 @@ SHA = r"^[0-9a-f]{64}$"
 def unapproved_strings(name: str, df: DataFrame, vocabulary: DataFrame, skip: Sequence[str] = ()) -> DataFrame:
     """Strings outside the approved set and the id, date and hash forms (GATE-3)."""
     cols = [(c, a) for c, a in string_columns(df) if c not in skip]
-    arrays = [F.col(c) if is_array else F.array(F.col(c)) for c, is_array in cols]
-    pairs = F.concat(*[
-        F.transform(F.coalesce(a, F.array().cast("array<string>")), lambda x, c=c: F.struct(F.lit(c).alias("column"), x.alias("value")))
-        for (c, _), a in zip(cols, arrays, strict=True)
-    ])
+    pairs = F.concat(*[_tagged(c, _strings(c, is_array), "value") for c, is_array in cols])
     found = df.select(F.explode(pairs).alias("x")).select("x.*").filter("value IS NOT NULL").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     formed = F.col("value").rlike(IDENT) | F.col("value").rlike(STAMP) | F.col("value").rlike(SHA)
     known = vocabulary.select(F.col("term").alias("value")).distinct()
@@ -119,7 +121,7 @@ def pattern_findings(name: str, df: DataFrame, key: str, rules: dict[str, str] =
     for column, is_array in string_columns(df):
         value = F.array_join(column, "\n") if is_array else F.col(column)
         hits = F.array_compact(F.array(*[F.when(value.rlike(rx), F.lit(rule)) for rule, rx in rules.items()]))
-        parts.append(F.transform(F.coalesce(hits, F.array().cast("array<string>")), lambda r, c=column: F.struct(F.lit(c).alias("column"), r.alias("rule"))))
+        parts.append(_tagged(column, F.coalesce(hits, F.array().cast("array<string>")), "rule"))
     found = df.select(F.col(key).alias("row_key"), F.explode(F.concat(*parts)).alias("x"))
     return found.select(F.lit(name).alias("table"), "row_key", "x.column", "x.rule")
 

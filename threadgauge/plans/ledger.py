@@ -103,7 +103,7 @@ def _(t: Tables):
     return rounded(runs(t), "calculated_usd", "p50_ms", "p95_ms")
 
 
-BALANCES = "bal AS (SELECT event_id * 259 AS bt, CASE event_id % 3000 WHEN 0 THEN 500e0 WHEN 1000 THEN 380e0 ELSE 379e0 END AS usd FROM events WHERE event_id % 1000 = 0)"
+BALANCES = "bal AS (SELECT max(event_id) * 259 AS bt, CASE day(ts) % 3 WHEN 0 THEN 500e0 WHEN 1 THEN 470e0 ELSE 465e0 END AS usd FROM events GROUP BY day(ts))"
 
 
 @plan("led_06_balance_reconciliation", f"""WITH {LOG}, {BALANCES}, st AS (SELECT bt AS start, lead(bt) OVER (ORDER BY bt) AS "end", usd - lead(usd) OVER (ORDER BY bt) AS delta FROM bal), x AS (SELECT start, "end", delta, coalesce(sum(cost_usd) FILTER (cost_class = 'calculated'), 0) AS c,
@@ -111,7 +111,7 @@ BALANCES = "bal AS (SELECT event_id * 259 AS bt, CASE event_id % 3000 WHEN 0 THE
  SELECT start, "end", round(delta, 6) AS provider_delta, round(c, 6) AS calculated, k AS unknown_attempts, round(k * 0.2::DOUBLE, 6) AS unknown_worst_usd, round(delta - c, 6) AS difference,
  CASE WHEN abs(delta - c) <= 5e-3 AND k = 0 THEN 'reconciled' WHEN delta - c >= -5e-3 AND delta - c <= k * 0.2::DOUBLE + 5e-3 THEN 'explained_by_unknown' ELSE 'unexplained' END AS status FROM x""")
 def _(t: Tables):
-    balances = t.events.filter("event_id % 1000 = 0").select((F.col("event_id") * 259).alias("at"), F.expr("case event_id % 3000 when 0 then 500d when 1000 then 380d else 379d end").alias("usd"))
+    balances = t.events.groupBy(F.day("ts").alias("d")).agg((F.max("event_id") * 259).alias("at")).select("at", F.expr("case d % 3 when 0 then 500d when 1 then 470d else 465d end").alias("usd"))
     return rounded(lg.reconcile(balances, log(t), 0.2), "provider_delta", "calculated", "unknown_worst_usd", "difference")
 
 

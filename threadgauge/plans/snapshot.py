@@ -10,6 +10,7 @@ from threadgauge.operators import snapshot as sn
 from threadgauge.operators.spread import latest_by
 from threadgauge.plans.registry import Tables, plan
 from threadgauge.plans.roles import cte, with_roles
+from threadgauge.session import new_home
 from threadgauge.sources import readers, sinks
 
 START, END = 1704110400, 1706184000
@@ -334,3 +335,57 @@ def _(t: Tables):
 def _(t: Tables):
     rows = t.documents.select(F.col("doc_id").alias("id"), F.col("source").alias("domain"), (F.col("n_chars") / 1000).alias("severity_raw"), "text")
     return sinks.bounded_listing(rows.withColumn("severity", F.col("severity_raw")))
+
+
+def scratch(t: Tables) -> str:
+    """A new folder beside the checkpoints, for files a plan writes and reads back."""
+    return new_home(t.spark)
+
+
+@plan("src_01_raw_records", """SELECT conv_id * 100 + turn AS id, CASE WHEN turn = 0 THEN 'story' ELSE 'comment' END AS type, CASE WHEN turn % 7 = 6 THEN 'deleted' WHEN turn % 5 = 4 THEN 'dead' ELSE 'ok' END AS state, sha256(regexp_replace(text, '\\s+$', '')) AS text_sha256
+ FROM conversations""")
+def _(t: Tables):
+    item = F.struct(
+        F.expr("conv_id * 100 + turn").alias("id"), F.expr("if(turn = 0, 'story', 'comment')").alias("type"),
+        F.expr("if(turn = 0, null, conv_id * 100 + turn - 1)").alias("parent"), F.expr("1704067200 + conv_id").alias("time"), F.col("role").alias("by"),
+        F.replace("text", F.lit("&"), F.lit("&amp;")).alias("text"), (F.col("turn") % 5 == 4).alias("dead"), (F.col("turn") % 7 == 6).alias("deleted"),
+    )
+    folder = f"{scratch(t)}/raw"
+    t.conversations.select(F.expr("conv_id * 100 + turn").alias("id"), F.lit("ok").alias("state"), item.alias("item")).write.option("compression", "gzip").json(folder)
+    return sn.normalize_items(readers.raw_records(t.spark, folder)).select("id", "type", "state", "text_sha256")
+
+
+@plan("src_07_dimension", "SELECT p_brand AS name, count(*) AS n FROM part GROUP BY 1")
+def _(t: Tables):
+    path = f"{scratch(t)}/brands.csv"
+    t.part.select(F.col("p_brand").alias("name")).distinct().write.option("header", True).csv(path)
+    brands = readers.dimension(t.spark, path, "name string")
+    return t.part.join(brands, F.col("p_brand") == F.col("name")).groupBy("name").agg(F.count("*").alias("n"))
+
+
+@plan("snp_10_eligibility", """SELECT reason, count(*) AS n FROM (SELECT CASE WHEN turn = 0 THEN 'not_comment' WHEN conv_id >= 90 THEN 'out_of_window' WHEN turn % 7 = 6 THEN 'deleted' WHEN turn % 5 = 4 THEN 'dead'
+ WHEN text = '' THEN 'empty_text' WHEN conv_id % 4 = 1 THEN 'non_english' ELSE 'eligible' END AS reason FROM conversations) GROUP BY 1""")
+def _(t: Tables):
+    rows = t.conversations.select(
+        F.expr("if(turn = 0, 'story', 'comment')").alias("type"), "conv_id", F.expr("if(turn % 7 = 6, 'deleted', if(turn % 5 = 4, 'dead', 'ok'))").alias("state"),
+        "text", F.expr("if(conv_id % 4 = 1, 'fr', 'en')").alias("lang"),
+    )
+    reason = sn.exclusion_reason(F.col("type"), F.col("conv_id"), F.col("state"), F.col("text"), F.col("lang"), 0, 90)
+    return rows.select(F.coalesce(reason, F.lit("eligible")).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@plan("snk_01_sorted_write", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem")
+def _(t: Tables):
+    path = f"{scratch(t)}/sorted"
+    sinks.write_sorted(t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity"), path, "l_orderkey")
+    return t.spark.read.parquet(path)
+
+
+@plan("snk_05_gated_publish", "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1")
+def _(t: Tables):
+    from threadgauge.operators.gates import forbidden_fields
+
+    path = f"{scratch(t)}/site"
+    tables = {"segments": t.customer.groupBy("c_mktsegment").agg(F.count("*").alias("n"))}
+    sinks.publish(tables, path, [forbidden_fields])
+    return t.spark.read.parquet(f"{path}/segments")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,3 +52,9 @@ def pin_session(spark: SparkSession) -> SparkSession:
     """Runtime settings that results depend on."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
+
+
+def new_home(spark: SparkSession) -> str:
+    """A new folder for written results, in the shared folder when the cluster names one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="threadgauge-out-")
+    return f"{root}/out-{uuid.uuid4().hex}"

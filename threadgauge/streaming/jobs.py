@@ -7,14 +7,13 @@ by batch, never to the driver.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadgauge.operators.spread import latest_by
+from threadgauge.session import new_home
 
 BATCH = "__batch"
 
@@ -29,12 +28,6 @@ def read_stream(spark: SparkSession, path: str, files_per_trigger: int = 1000) -
     return reader.parquet(path)
 
 
-def _home(spark: SparkSession) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    root = named or tempfile.mkdtemp(prefix="threadgauge-stream-")
-    return f"{root}/stream-{uuid.uuid4().hex}"
-
-
 def drain(stream: DataFrame, mode: str, home: str | None = None) -> DataFrame:
     """Run to the end of the available input; rows carry their batch number.
 
@@ -42,7 +35,7 @@ def drain(stream: DataFrame, mode: str, home: str | None = None) -> DataFrame:
     so each batch counts once.
     """
     spark = stream.sparkSession
-    home = home or _home(spark)
+    home = home or new_home(spark)
     empty = spark.createDataFrame([], stream.schema).withColumn(BATCH, F.lit(-1).cast("bigint"))
     empty.write.mode("overwrite").parquet(f"{home}/out/batch=none")
 
