@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from threadgauge.functions import jsonx as jx
 from threadgauge.functions import text as tx
+from threadgauge.operators.robust import correlation
 from threadgauge.operators.spread import bounded_rows, earliest_by, require_empty, value_ranks
 from threadgauge.schemas import ANSWERS, fields
 
@@ -84,7 +85,7 @@ def packed_vs_single(packed: DataFrame, single: DataFrame) -> DataFrame:
     ).filter("a IS NOT NULL AND b IS NOT NULL")
     same = ((F.col("a") >= 0.5) == (F.col("b") >= 0.5)).cast("double")
     return both.agg(
-        F.count(F.lit(1)).alias("n"), F.corr("a", "b").alias("pearson"), F.avg(same).alias("agreement"),
+        F.count(F.lit(1)).alias("n"), correlation("a", "b").alias("pearson"), F.avg(same).alias("agreement"),
         F.avg(F.abs(F.col("a") - F.col("b"))).alias("mean_abs_diff"),
     )
 

@@ -17,7 +17,11 @@ from pyspark.sql import functions as F
 NONE = "none"
 NOT_STATED = ("other", "mixed", "unclear")
 SIGNALS = ("workaround", "paid", "switched", "abandoned")
-EVERY = Window.partitionBy()
+
+
+def every():
+    """Window over a whole table of entities (never over rows)."""
+    return Window.partitionBy()
 
 
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:
@@ -164,7 +168,7 @@ def rank_cards(metrics: DataFrame, weights: dict[str, float] = RANKING_WEIGHTS)
     rows = metrics.select("card_id", *weights)
     score = F.lit(0.0)
     for name, weight in weights.items():
-        low, high = F.min(name).over(EVERY), F.max(name).over(EVERY)
+        low, high = F.min(name).over(every()), F.max(name).over(every())
         norm = F.coalesce(F.when(high > low, (F.col(name) - low) / (high - low)), F.lit(0.0))
         rows = rows.withColumn(f"{name}_norm", norm)
         score = score + F.lit(float(weight)) * F.col(f"{name}_norm")
@@ -299,7 +303,7 @@ def change_rows(diffs: DataFrame, min_sig: int = 4, per_side: int = 8) -> DataFr
         "__n", F.row_number().over(Window.partitionBy("__side").orderBy(F.abs("share").desc(), "id"))
     )
     rows = rows.withColumn("picked", F.coalesce(F.col("__side").isNotNull() & (F.col("__n") <= per_side), F.lit(False)))
-    n_sig = F.count(F.when(F.col("picked"), 1)).over(EVERY)
+    n_sig = F.count(F.when(F.col("picked"), 1)).over(every())
     fill = F.row_number().over(Window.partitionBy("picked").orderBy(F.abs("share").desc(), "id"))
     rows = rows.withColumn("__sig", n_sig).withColumn("__fill", fill)
     return rows.filter(F.col("picked") | (F.col("__fill") <= F.lit(min_sig) - F.col("__sig"))).select("id", "share", "p_adj", F.col("picked").alias("significant"))

@@ -18,7 +18,10 @@ from threadgauge.operators.bootstrap import (
 from threadgauge.operators.robust import benjamini_hochberg, bootstrap_p
 from threadgauge.operators.spread import hash_rank
 
-EVERY = Window.partitionBy()
+
+def every():
+    """Window over a whole table of entities (never over rows)."""
+    return Window.partitionBy()
 
 
 def rao_wu(rows: DataFrame, n_rep: int = 200, seed: int = 0, min_hits: int = 30, **options) -> DataFrame:
@@ -39,7 +42,7 @@ def rao_wu(rows: DataFrame, n_rep: int = 200, seed: int = 0, min_hits: int = 30,
     drawn = reps.filter(F.col("rep") >= 0).join(point, "stratum").join(facts, "stratum")
 
     def scaled(total: str, rep: str) -> Column:
-        moved = (1 - lam) * F.col(total) + lam * F.col("m") / (F.col("m") - 1) * F.col(rep)
+        moved = (1 - lam) * F.col(total) + lam * F.try_divide(F.col("m").cast("double"), F.col("m") - 1) * F.col(rep)
         return F.when(F.col("m") > 1, moved).otherwise(F.col(total))
 
     totals = drawn.select("rep", scaled("ta", "a").alias("a"), scaled("tw", "w").alias("w")).groupBy("rep").agg(F.sum("a").alias("a"), F.sum("w").alias("w"))
@@ -220,8 +223,8 @@ def changes(diff_reps: DataFrame, key: str = "id", value: str = "diff") -> DataF
     se = diff_reps.filter(F.col("rep") >= 0).groupBy(key).agg(F.stddev_pop(value).alias("se"))
     rows = rows.join(se, key).withColumn("p", F.when(F.col("est").isNotNull(), F.col("p")))
     good = F.col("est").isNotNull() & F.col("se").isNotNull()
-    spread = F.var_pop(F.when(good, F.col("est"))).over(EVERY) - F.avg(F.when(good, F.col("se") * F.col("se"))).over(EVERY)
-    tau2 = F.when(F.count(F.when(good, 1)).over(EVERY) >= 2, F.greatest(F.lit(0.0), spread)).otherwise(0.0)
+    spread = F.var_pop(F.when(good, F.col("est"))).over(every()) - F.avg(F.when(good, F.col("se") * F.col("se"))).over(every())
+    tau2 = F.when(F.count(F.when(good, 1)).over(every()) >= 2, F.greatest(F.lit(0.0), spread)).otherwise(0.0)
     rows = benjamini_hochberg(rows).withColumn("tau2", tau2)
     factor = F.try_divide(F.col("tau2"), F.col("tau2") + F.col("se") * F.col("se"))
     return rows.withColumn("factor", factor).withColumn("shrunk", F.col("est") * F.col("factor")).select(
@@ -308,7 +311,7 @@ def domain_mix(rows: DataFrame) -> DataFrame:
     """Weighted domain mix and Pearson residual per card and domain (EST-16)."""
     cells = rows.filter("domain IS NOT NULL").groupBy("card_id", "domain").agg(F.count(F.lit(1)).alias("obs"), F.sum("weight").alias("w"))
     row, col = Window.partitionBy("card_id"), Window.partitionBy("domain")
-    exp = F.sum("obs").over(row) * F.sum("obs").over(col) / F.sum("obs").over(EVERY)
+    exp = F.sum("obs").over(row) * F.sum("obs").over(col) / F.sum("obs").over(every())
     return cells.select("card_id", "domain", (F.col("w") / F.sum("w").over(row)).alias("share"), ((F.col("obs") - exp) / F.sqrt(exp)).alias("residual"))
 
 

@@ -10,7 +10,13 @@ from pyspark.sql import functions as F
 from threadgauge.operators.spread import bounded_rows, exact_quantiles, require_empty, value_ranks
 
 CALL = ["run_id", "logical_call_id", "attempt"]
-EVERY = Window.partitionBy()
+
+
+def every():
+    """Window over a whole table of entities (never over rows)."""
+    return Window.partitionBy()
+
+
 MAX_BALANCES = 10_000
 
 

@@ -14,7 +14,12 @@ from pyspark.sql import functions as F
 from threadgauge.operators.bootstrap import finite_ratio
 from threadgauge.operators.spread import require_empty
 
-EVERY = Window.partitionBy()
+
+def every():
+    """Window over a whole table of entities (never over rows)."""
+    return Window.partitionBy()
+
+
 TINY = 1e-9
 
 
@@ -53,14 +58,14 @@ def group_cost_profile(costs: DataFrame, shares: DataFrame) -> DataFrame:
 
 def domain_over_index(domains: DataFrame) -> DataFrame:
     """Complaint rate over the overall rate (PUB-3)."""
-    overall = F.sum("complaints").over(EVERY) / F.greatest(F.sum("discussion").over(EVERY), F.lit(TINY))
+    overall = F.sum("complaints").over(every()) / F.greatest(F.sum("discussion").over(every()), F.lit(TINY))
     return domains.withColumn("over_index", F.col("rate") / F.greatest(overall, F.lit(TINY)))
 
 
 def top_with_ties(cards: DataFrame, n: int = 30) -> DataFrame:
     """Top n by share and every card whose upper bound reaches the n-th share (PUB-4)."""
     rows = cards.withColumn("position", first_rows([F.col("share").desc(), "card_id"]))
-    cut = F.min(F.when(F.col("position") <= n, F.col("share"))).over(EVERY)
+    cut = F.min(F.when(F.col("position") <= n, F.col("share"))).over(every())
     rows = rows.withColumn("cut", cut).filter((F.col("position") <= n) | (F.col("hi95") >= F.col("cut")))
     return rows.withColumn("beyond", F.col("position") > n)
 
@@ -75,8 +80,8 @@ def quarter_log_ratio(panel: DataFrame) -> DataFrame:
 
 def spend_receipt(phases: DataFrame, floor: float = 0.02) -> DataFrame:
     """Share of calls and cost per phase; phases small in both merge into other (PUB-6)."""
-    calls = F.col("calls") / F.greatest(F.sum("calls").over(EVERY), F.lit(1))
-    cost = F.col("usd") / F.greatest(F.sum("usd").over(EVERY), F.lit(TINY))
+    calls = F.col("calls") / F.greatest(F.sum("calls").over(every()), F.lit(1))
+    cost = F.col("usd") / F.greatest(F.sum("usd").over(every()), F.lit(TINY))
     rows = phases.withColumn("share_calls", calls).withColumn("share_cost", cost)
     small = (F.col("share_calls") < floor) & (F.col("share_cost") < floor)
     merged = rows.withColumn("phase", F.when(small, "other").otherwise(F.col("phase")))
@@ -90,7 +95,7 @@ def role_mix(mix: DataFrame, groups: DataFrame, top: int = 6) -> DataFrame:
 
     ``mix``: group_id, role, est; ``groups``: group_id, share.
     """
-    width = groups.withColumn("width", F.col("share") / F.sum("share").over(EVERY))
+    width = groups.withColumn("width", F.col("share") / F.sum("share").over(every()))
     rows = mix.join(width, "group_id")
     totals = rows.groupBy("role").agg(F.sum(F.coalesce("est", F.lit(0.0)) * F.col("share")).alias("t"))
     kept = totals.withColumn("r", first_rows([F.col("t").desc(), "role"])).filter(F.col("r") <= top).select("role")
@@ -103,7 +108,7 @@ def role_mix(mix: DataFrame, groups: DataFrame, top: int = 6) -> DataFrame:
 def funnel_bounds(tools: DataFrame, min_threads: int = 10, n_outside: int = 12, n_named: int = 5) -> DataFrame:
     """Bounds around the overall fix share, distance outside, labelled rows (PUB-8)."""
     rows = tools.filter(F.col("threads") >= min_threads)
-    overall = F.sum("fix_threads").over(EVERY) / F.sum("threads").over(EVERY)
+    overall = F.sum("fix_threads").over(every()) / F.sum("threads").over(every())
     rows = rows.withColumn("overall", overall)
     half = 1.96 * F.sqrt(F.col("overall") * (1 - F.col("overall")) / F.greatest("threads", F.lit(1)))
     rows = rows.withColumn("lo", F.greatest(F.lit(0.0), F.col("overall") - half)).withColumn("hi", F.least(F.lit(1.0), F.col("overall") + half))
@@ -113,7 +118,7 @@ def funnel_bounds(tools: DataFrame, min_threads: int = 10, n_outside: int = 12,
     rows = rows.withColumn("__named", first_rows([F.col("threads").desc(), "tool"]) <= n_named)
     rows = rows.withColumn("__out", F.col("outside").isNotNull())
     # Outsiders among the most named already count; the rest fills by distance.
-    already = F.count(F.when(F.col("__named") & F.col("__out"), 1)).over(EVERY)
+    already = F.count(F.when(F.col("__named") & F.col("__out"), 1)).over(every())
     fill = F.row_number().over(Window.partitionBy(F.col("__out") & ~F.col("__named")).orderBy(F.col("distance").desc(), "tool"))
     rows = rows.withColumn("__already", already).withColumn("__fill", fill)
     labelled = F.col("__named") | (F.col("__out") & ~F.col("__named") & (F.col("__fill") <= F.lit(n_outside) - F.col("__already")))

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from threadgauge.operators.bootstrap import POINT, interval, ratio_replicates
 from threadgauge.operators.spread import value_ranks
 
-EVERY = Window.partitionBy()
+
+def every():
+    """Window over a whole table of entities (never over rows)."""
+    return Window.partitionBy()
 
 
 def bootstrap_p(reps: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -89,10 +92,15 @@ def midranks(rows: DataFrame, value: str, name: str) -> DataFrame:
     return rows.join(ranks, value)
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson correlation aggregate, null for a constant column."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
     """Correlation of midranks; null for a constant column (AGR-2)."""
     ranked = midranks(midranks(rows.select(a, b).filter(F.col(a).isNotNull() & F.col(b).isNotNull()), a, "__ra"), b, "__rb")
-    return ranked.agg(F.when((F.var_pop("__ra") > 0) & (F.var_pop("__rb") > 0), F.corr("__ra", "__rb")).alias("spearman"))
+    return ranked.agg(correlation("__ra", "__rb").alias("spearman"))
 
 
 def kappa_columns(a: Column, b: Column) -> list[Column]:
@@ -132,7 +140,7 @@ def compare_assignments(main: DataFrame, other: DataFrame, top: int = 20) -> tup
     def shares(df: DataFrame, name: str) -> DataFrame:
         real = df.filter(F.col("card_id").isNotNull() & (F.col("card_id") != "none")).groupBy("card_id").agg(F.count(F.lit(1)).alias("n"))
         rank = F.row_number().over(Window.orderBy(F.col("n").desc(), "card_id"))
-        return real.select("card_id", (F.col("n") / F.sum("n").over(EVERY)).alias(f"share_{name}"), rank.alias(f"rank_{name}"))
+        return real.select("card_id", (F.col("n") / F.sum("n").over(every())).alias(f"share_{name}"), rank.alias(f"rank_{name}"))
 
     table = shares(main, "main").join(shares(other, "other"), "card_id", "full").filter(
         (F.col("rank_main") <= top) | (F.col("rank_other") <= top)

@@ -27,7 +27,7 @@ def base(t: Tables):
         yes("f_switched").alias("switched"), yes("f_abandoned").alias("abandoned"), yes("f_workaround").alias("workaround"),
         F.avg((F.col("solved_p") < 0.5).cast("int")).alias("u"), F.avg("severity").alias("severity"),
     ).withColumn("unsolved", F.when(F.col("card_id") < "c20", F.col("u"))).drop("u")
-    share = F.col("w") / F.sum("w").over(rp.EVERY)
+    share = F.col("w") / F.sum("w").over(rp.every())
     return rows.withColumn("share", share).withColumn("lo95", share * 0.8).withColumn("hi95", share * 1.2).withColumn(
         "commercial", F.greatest("paid", "switched", "abandoned")
     )
@@ -59,7 +59,7 @@ DOM = "d AS (SELECT domain, sum(weight) / (SELECT sum(weight) FROM problems) AS
 @plan("pub_03_domain_over_index", f"WITH {CC}, {DOM} SELECT domain, round(complaints / discussion, 6) AS rate, round(complaints / discussion / (sum(complaints) OVER () / sum(discussion) OVER ()), 6) AS over_index FROM d")
 def _(t: Tables):
     rows = t.role("problems").groupBy("domain").agg(F.sum("weight").alias("discussion"), F.sum(F.when(F.col("firsthand_p") >= 0.5, F.col("weight")).otherwise(0.0)).alias("complaints"))
-    total = F.sum("discussion").over(rp.EVERY)
+    total = F.sum("discussion").over(rp.every())
     rows = rows.withColumn("__t", total).withColumn("discussion", F.col("discussion") / F.col("__t")).withColumn("complaints", F.col("complaints") / F.col("__t"))
     return rounded(rp.domain_over_index(rows.withColumn("rate", F.col("complaints") / F.col("discussion"))).select("domain", "rate", "over_index"), "rate", "over_index")
 
@@ -98,7 +98,7 @@ def _(t: Tables):
     from pyspark.sql import Window
 
     rows = coded(t)
-    groups = rows.groupBy("group_id").agg(F.sum("weight").alias("w")).withColumn("share", F.col("w") / F.sum("w").over(rp.EVERY)).drop("w")
+    groups = rows.groupBy("group_id").agg(F.sum("weight").alias("w")).withColumn("share", F.col("w") / F.sum("w").over(rp.every())).drop("w")
     mix = rows.filter("role <> 'unclear'").groupBy("group_id", "role").agg(F.sum("weight").alias("w"))
     mix = mix.withColumn("est", F.col("w") / F.sum("w").over(Window.partitionBy("group_id"))).drop("w")
     return rounded(rp.role_mix(mix, groups, 2), "width", "share")
