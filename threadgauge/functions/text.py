@@ -223,6 +223,10 @@ def token_estimate(body: Column) -> Column:
     return F.ceil(F.octet_length(body) / F.lit(3.2)).cast("bigint")
 
 
+def _among(listed: list[str]):
+    return lambda word: word.isin(*listed)
+
+
 def language_labels(docs: DataFrame, key: str, text: str, min_words: int = 5, english_share: float = 0.2) -> DataFrame:
     """(key, lang_label): stop-word profile with the 5-word and 0.2 rules (TXT-5).
 
@@ -234,8 +238,7 @@ def language_labels(docs: DataFrame, key: str, text: str, min_words: int = 5, en
     scored = docs.select(key, tokens.alias("__t"))
     hits = []
     for lang, listed in STOP_WORDS.items():
-        known = F.array(*[F.lit(w) for w in listed.split()])
-        hits.append(F.size(F.filter("__t", lambda w: F.array_contains(known, w))).alias(lang))
+        hits.append(F.size(F.filter("__t", _among(listed.split()))).alias(lang))
     scored = scored.select(key, F.size("__t").alias("__n"), *hits)
     total = sum((F.col(c) for c in STOP_WORDS), F.lit(0))
     best = F.greatest(*[F.col(c) for c in STOP_WORDS])

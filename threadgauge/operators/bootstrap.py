@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadgauge.functions.hashing import hash60
+from threadgauge.functions.hashing import hash32, hash60
 from threadgauge.operators.spread import hash_rank
 from threadgauge.session import cut_lineage
 
@@ -39,17 +39,30 @@ def collapse(rows: DataFrame, values: Sequence[str], entity: Sequence[str] = (),
     ).agg(*[F.sum(F.col(v).cast("double")).alias(v) for v in values])
 
 
+def _mixed(x: Column) -> Column:
+    """One round of the 32-bit mixing function, in plain integer arithmetic."""
+    return (F.shiftright(x, 16).bitwiseXOR(x) * F.lit(MIX)) % F.lit(WORD + 1)
+
+
 def _block_counts(sizes: DataFrame, n_rep: int, seed: int, block: int, fewer: int) -> DataFrame:
     """(stratum, b, rep, n): draws that fall into each block of each stratum."""
     reps = F.explode(F.sequence(F.lit(0), F.lit(n_rep - 1))).alias("rep")
     small = sizes.filter(F.col("m") <= block).select("stratum", F.lit(0).cast("bigint").alias("b"), reps, (F.col("m") - fewer).alias("n"))
     big = sizes.filter(F.col("m") > block)
     slices = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("m") - 1 - fewer) / SLICE))).alias("s")
-    spread = big.select("stratum", "m", reps).select("*", slices).repartition("stratum", "rep", "s")
+    # A few rows here stand for very many draws: fix the task count, since the
+    # adaptive planner would merge tasks that look small.
+    session = sizes.sparkSession
+    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
+    spread = big.select("stratum", "m", reps).select("*", slices).repartition(tasks, "stratum", "rep", "s")
     first = F.col("s") * SLICE
     last = F.least(first + SLICE, F.col("m") - fewer) - 1
-    drawn = spread.select("stratum", "m", "rep", F.explode(F.sequence(first, last)).alias("k"))
-    at = hash60(seed, "block", F.col("rep"), F.col("stratum"), F.col("k")) % F.col("m")
+    base = hash32(seed, "block", F.col("rep"), F.col("stratum"), F.col("s")).alias("base")
+    steps = F.explode(F.sequence(F.lit(0).cast("bigint"), last - first)).alias("j")
+    drawn = spread.select("stratum", "m", "rep", base, steps)
+    x = _mixed(_mixed((F.col("base") + F.col("j") * F.lit(STEP)) % F.lit(WORD + 1)))
+    drawn = drawn.select("stratum", "m", "rep", F.shiftright(x, 16).bitwiseXOR(x).alias("v"))
+    at = F.floor(F.col("v").cast("double") * F.col("m") / F.lit(float(WORD + 1)))
     counted = drawn.groupBy("stratum", F.floor(at / block).alias("b"), "rep").agg(F.count(F.lit(1)).alias("n"))
     return small.unionByName(counted)
 

@@ -240,13 +240,14 @@ def tokens(text: Column, stop: Sequence[str] = STOP) -> Column:
     """Lower-case tokens of 3 to 30 characters without stop words (TXT-12)."""
     raw = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z][a-z0-9+#.-]*"), F.lit(0))
     trimmed = F.transform(raw, lambda t: F.regexp_extract(t, r"^.*(?:\+\+|[a-z0-9#])", 0))
-    known = F.array(*[F.lit(w) for w in stop])
-    return F.filter(trimmed, lambda t: F.length(t).between(3, 30) & ~F.array_contains(known, t))
+    return F.filter(trimmed, lambda t: F.length(t).between(3, 30) & ~t.isin(*stop))
 
 
-def terms(text: Column, stop: Sequence[str] = STOP) -> Column:
-    """Unigrams and bigrams in order of occurrence (TXT-12)."""
-    t = tokens(text, stop)
+def terms(t: Column) -> Column:
+    """Unigrams and bigrams of a token column (TXT-12).
+
+    Takes a column, not the expression, so tokens are computed once per text.
+    """
     pairs = F.zip_with(F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))), F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
     return F.concat(t, pairs)
 
@@ -298,7 +299,8 @@ def adjust_p(tests: DataFrame, p: str = "p", buckets: int = 32) -> DataFrame:
 
 def term_counts(rows: DataFrame, stop: Sequence[str] = STOP) -> DataFrame:
     """(group, comment_id, author, term, c): term occurrences per comment."""
-    spread = rows.filter("group_id IS NOT NULL AND text <> ''").select("group_id", "comment_id", "author", F.explode(terms(F.col("text"), stop)).alias("term"))
+    tokened = rows.filter("group_id IS NOT NULL AND text <> ''").select("group_id", "comment_id", "author", tokens(F.col("text"), stop).alias("t"))
+    spread = tokened.select("group_id", "comment_id", "author", F.explode(terms(F.col("t"))).alias("term"))
     return spread.groupBy("group_id", "comment_id", "author", "term").agg(F.count(F.lit(1)).alias("c"))
 
 

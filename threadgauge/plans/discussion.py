@@ -165,7 +165,7 @@ TOKEN_SQL = f"list_filter(list_transform(regexp_extract_all(lower(text), '[a-z][
 
 @plan("txt_12_terms", f"WITH k AS (SELECT doc_id, {TOKEN_SQL} AS t FROM documents), b AS (SELECT doc_id, unnest(t) AS term FROM k UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) FROM k) SELECT term, count(*) AS n FROM b GROUP BY 1")
 def _(t: Tables):
-    return t.documents.select(F.explode(ds.terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    return t.documents.select(ds.tokens(F.col("text")).alias("t")).select(F.explode(ds.terms(F.col("t"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
 
 
 @plan("txt_13_lexical_exclusion", rf"""WITH w AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[\s,;]+')) AS term FROM documents) SELECT term, NOT (regexp_matches(term, '\d{{4,}}') OR regexp_matches(term, '(?:https?|ftp|www)\.|^www$|^(?:https?|ftp)$|\b[\w-]+\.(?:{ds.TLDS})\b') OR regexp_matches(term, '\S+@\S+') OR regexp_matches(term, '(?:^|\s)@\w+')) AS ok FROM w WHERE regexp_matches(term, '^[ -~]+$')""")

@@ -26,7 +26,10 @@ def boot(name: str, src: str, keys: list[str], values: list[str], n_rep: int = R
  {p}_ids AS (SELECT stratum, cluster, row_number() OVER (PARTITION BY stratum ORDER BY {h60(str(seed), 'stratum', 'cluster')}, cluster) - 1 AS pos FROM (SELECT DISTINCT stratum, cluster FROM {p}_u)),
  {p}_m AS (SELECT stratum, count(*) AS m FROM {p}_ids GROUP BY 1),
  {p}_d AS (SELECT stratum, m, rep, unnest(range(m - {fewer})) AS k FROM {p}_m, (SELECT unnest(range({n_rep})) AS rep)),
- {p}_n AS (SELECT stratum, m, rep, CASE WHEN m <= {block} THEN 0 ELSE {h60(str(seed), "'block'", 'rep', 'stratum', 'k')} % m // {block} END AS b, count(*) AS n FROM {p}_d GROUP BY ALL),
+ {p}_e AS (SELECT stratum, m, rep, ({h32(str(seed), "'block'", 'rep', 'stratum', 'k // 65536')} + (k % 65536) * {bs.STEP}) % 4294967296 AS x0 FROM {p}_d WHERE m > {block}),
+ {p}_f AS (SELECT stratum, m, rep, {mixed('x0')} AS x1 FROM {p}_e), {p}_o AS (SELECT stratum, m, rep, {mixed('x1')} AS x2 FROM {p}_f),
+ {p}_n AS (SELECT stratum, m, rep, 0 AS b, m - {fewer} AS n FROM {p}_m, (SELECT unnest(range({n_rep})) AS rep) WHERE m <= {block} AND m > {fewer}
+ UNION ALL SELECT stratum, m, rep, CAST(floor(CAST(xor(x2 >> 16, x2) AS DOUBLE) * m / 4294967296e0) AS BIGINT) // {block} AS b, count(*) AS n FROM {p}_o GROUP BY ALL),
  {p}_x AS (SELECT stratum, rep, b, least({block}, m - b * {block}) AS mb, ({h32(str(seed), 'rep', 'stratum', 'b')} + unnest(range(n)) * {bs.STEP}) % 4294967296 AS x0 FROM {p}_n),
  {p}_y AS (SELECT stratum, rep, b, mb, {mixed('x0')} AS x1 FROM {p}_x), {p}_z AS (SELECT stratum, rep, b, mb, {mixed('x1')} AS x2 FROM {p}_y),
  {p}_h AS (SELECT rep, stratum, b * {block} + xor(x2 >> 16, x2) % mb AS pos, count(*) AS c FROM {p}_z GROUP BY ALL),

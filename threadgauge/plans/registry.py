@@ -16,6 +16,19 @@ SECTIONS = (
 )
 
 
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
+def spread_scan(df: DataFrame) -> DataFrame:
+    """Spread a scan with fewer splits than cores before per-row text work.
+
+    A table in one small file is one task; tables at scale have many splits and
+    are returned as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class Tables:
     """Parquet tables of one folder, read lazily by attribute, plus derived role tables."""
 
@@ -26,7 +39,8 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(self.path(name))
+        df = self.spark.read.parquet(self.path(name))
+        return spread_scan(df) if name in TEXT_TABLES else df
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"
