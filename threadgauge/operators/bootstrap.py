@@ -123,15 +123,15 @@ def resample(
         *[F.col(e).cast("string").alias(e) for e in entity], *values,
     )
     units = cut_lineage(collapse(keyed, values, entity))
-    ids = units.select("stratum", "cluster").distinct() if entity else units.select("stratum", "cluster")
+    ids = units.select("stratum", "cluster").distinct() if entity else units
     sizes = ids.groupBy("stratum").agg(F.count(F.lit(1)).alias("m"))
     placed = hash_rank(ids, ["stratum"], hash60(seed, F.col("stratum"), F.col("cluster")), ["cluster"], "pos")
+    number = F.floor((F.col("pos") - 1) / block)
     placed = placed.join(sizes, "stratum").select(
-        "stratum", "cluster", F.floor((F.col("pos") - 1) / block).alias("b"),
-        ((F.col("pos") - 1) % block).alias("slot"),
-        F.least(F.lit(block), F.col("m") - F.floor((F.col("pos") - 1) / block) * block).alias("mb"),
+        *ids.columns, number.alias("b"), ((F.col("pos") - 1) % block).alias("slot"),
+        F.least(F.lit(block), F.col("m") - number * block).alias("mb"),
     )
-    located = units.join(placed, ["stratum", "cluster"])
+    located = units.join(placed, ["stratum", "cluster"]) if entity else placed
     counts = _block_counts(sizes, n_rep, seed, block, fewer)
     counts = counts.select(F.col("stratum").alias("in_stratum"), F.col("b").alias("in_block"), "rep", "n")
     ddl = ", ".join(["rep int", *[f"{e} string" for e in entity], *[f"{v} double" for v in values]])

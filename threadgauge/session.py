@@ -56,5 +56,6 @@ def pin_session(spark: SparkSession) -> SparkSession:
 
 def new_home(spark: SparkSession) -> str:
     """A new folder for written results, in the shared folder when the cluster names one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="threadgauge-out-")
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    root = named or tempfile.mkdtemp(prefix="threadgauge-out-")
     return f"{root}/out-{uuid.uuid4().hex}"
