@@ -10,7 +10,7 @@ from threadgauge.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(4)
+    session = local_session(8, **{"spark.sql.shuffle.partitions": "4"})
     yield session
 
 
