@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadgauge.llm import exact, simhash
+from threadgauge.llm import bpe, exact, packing, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,24 @@ def op1_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_hex("fp").alias("fingerprint"), "component_id")
 
 
+def vocabulary(name: str) -> str:
+    """The place of a public vocabulary file, which every machine has at the same path."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op2_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    coded = bpe.encode(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"), decode=True)
+    return coded.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
+    )
+
+
+def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.best_fit_pack(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.deduplicate(table(spark, folder, "documents"), exact.DigestIndex(spark))
 
@@ -37,6 +55,8 @@ FROM t
 
 QUERIES: dict[str, Query] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_bpe_round_trip": op2_bpe_round_trip,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op5_exact_dedup": op5_exact_dedup,
 }
 
