@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadgauge.llm import bpe, exact, packing, simhash
+from threadgauge.llm import bpe, exact, packing, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +39,10 @@ def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.best_fit_pack(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.deduplicate(table(spark, folder, "documents"), exact.DigestIndex(spark))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Query] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_toxicity": op4_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
 }
 
