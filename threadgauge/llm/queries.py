@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadgauge.llm import bpe, exact, packing, simhash, toxicity
+from threadgauge.llm import bpe, exact, langid, packing, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,6 +47,10 @@ def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.deduplicate(table(spark, folder, "documents"), exact.DigestIndex(spark))
 
 
+def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.identify(table(spark, folder, "documents"))
+
+
 OP5_SQL = r"""
 WITH t AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
@@ -63,6 +67,7 @@ QUERIES: dict[str, Query] = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_toxicity": op4_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
+    "op10_language_id": op10_language_id,
 }
 
 SQL: dict[str, str] = {"op5_exact_dedup": OP5_SQL}
