@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadgauge.llm import bpe, exact, langid, packing, simhash, toxicity
+from threadgauge.llm import bpe, exact, langid, mainpage, packing, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,6 +47,10 @@ def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.deduplicate(table(spark, folder, "documents"), exact.DigestIndex(spark))
 
 
+def op6_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return mainpage.extract(table(spark, folder, "pages"))
+
+
 def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(table(spark, folder, "documents"))
 
@@ -67,6 +71,7 @@ QUERIES: dict[str, Query] = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_toxicity": op4_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_html_extraction": op6_html_extraction,
     "op10_language_id": op10_language_id,
 }
 
