@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadgauge.llm import bpe, exact, langid, mainpage, packing, simhash, toxicity
+from threadgauge.llm import archive, bpe, exact, frames, langid, mainpage, packing, simhash, toxicity, vptree
+from threadgauge.llm.common import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,6 +52,21 @@ def op6_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return mainpage.extract(table(spark, folder, "pages"))
 
 
+def op7_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    manifest = frames.write_frames(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"), new_path(spark, "tokens"))
+    return frames.read_frames(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op8_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return vptree.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op9_warc_archive(spark: SparkSession, folder: str) -> DataFrame:
+    place = new_path(spark, "warc")
+    archive.write_archive(table(spark, folder, "pages"), place)
+    return archive.read_archive(spark, place)
+
+
 def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(table(spark, folder, "documents"))
 
@@ -72,6 +88,9 @@ QUERIES: dict[str, Query] = {
     "op4_toxicity": op4_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_html_extraction": op6_html_extraction,
+    "op7_token_files": op7_token_files,
+    "op8_nearest_vectors": op8_nearest_vectors,
+    "op9_warc_archive": op9_warc_archive,
     "op10_language_id": op10_language_id,
 }
 
