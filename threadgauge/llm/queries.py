@@ -87,6 +87,17 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY text_sha256) AS keep_id,
 FROM t
 """
 
+OP9_SQL = """
+WITH t AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+     m AS (SELECT h, max(page_id) AS last FROM t GROUP BY h)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           (((('0x' || substr(sha1(h), (i // 4 * 5 + 1)::INT, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31) + 1)::INT, 1)), '') AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> last THEN last END AS refers_to
+FROM t JOIN m USING (h)
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_bpe_round_trip": op2_bpe_round_trip,
@@ -101,4 +112,4 @@ QUERIES: dict[str, Query] = {
     "pipeline": pipeline,
 }
 
-SQL: dict[str, str] = {"op5_exact_dedup": OP5_SQL}
+SQL: dict[str, str] = {"op5_exact_dedup": OP5_SQL, "op9_warc_archive": OP9_SQL}
