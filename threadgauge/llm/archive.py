@@ -63,23 +63,30 @@ def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
     for code in (*range(0x20), 0x7F):
         url = F.replace(url, F.lit(chr(code)), F.lit(f"%{code:02X}"))
     rows = pages.select(
-        F.col(id_col).cast("bigint").alias("page_id"), url.alias("uri"), content.alias("payload"), F.unhex(F.sha2(content, 256)).alias("digest"),
+        F.col(id_col).cast("bigint").alias("page_id"), url.alias("uri"), F.unhex(F.sha2(content, 256)).alias("digest"),
         F.octet_length(content).cast("bigint").alias("bytes"), base32_sha1(content).alias("sha1"), F.monotonically_increasing_id().alias("row"),
     )
-    staged = written(rows, "warc-in")
-    known = staged.select("page_id", "uri", "digest", "bytes", "sha1", "row")
-    last = F.max(F.struct(F.col("page_id").isNotNull().alias("some"), "page_id", "row"))
-    groups = written(
-        known.groupBy("digest").agg(
-            last.alias("last"), F.count(F.lit(1)).alias("n"), (F.min("bytes") == F.max("bytes")).alias("one_size"), (F.min("sha1") == F.max("sha1")).alias("one_sha1")
-        ),
-        "warc-groups",
+    known = written(rows, "warc-in")
+    repeats = known.groupBy("digest", "page_id").agg(
+        F.max("row").alias("row"), F.count(F.lit(1)).alias("n"), F.min("bytes").alias("least"), F.max("bytes").alias("most"),
+        F.min("sha1").alias("first_sha1"), F.max("sha1").alias("last_sha1"),
     )
-    if not groups.filter(~F.col("one_size") | ~F.col("one_sha1")).isEmpty():
+    last = F.max(F.struct(F.col("page_id").isNotNull().alias("some"), "page_id", "row", F.col("n").alias("same")))
+    sound = (F.min("least") == F.max("most")) & (F.min("first_sha1") == F.max("last_sha1"))
+    groups = written(repeats.groupBy("digest").agg(last.alias("last"), F.sum("n").alias("n"), sound.alias("sound")), "warc-groups")
+    if not groups.filter(~F.col("sound")).isEmpty():
         raise ValueError("different payloads under one digest")
-    # The bytes of one row per digest: rows are named by their group's last row, so a group of copies is never gathered.
-    keepers = groups.select(F.col("last.row").alias("row"))
-    staged.join(keepers, "row", "left_semi").select("digest", "payload").write.parquet(f"{folder}/payloads")
+    # The bytes travel under digest and id, so a group of copies is spread; only repeated rows can meet there.
+    bodies = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.unhex(F.sha2(content, 256)).alias("digest"), content.alias("payload"))
+    keepers = groups.select("digest", F.col("last.page_id").alias("keep_id"), F.col("last.same").alias("same"))
+    once = keepers.filter("same = 1")
+    on = (bodies["digest"] == once["digest"]) & bodies["page_id"].eqNullSafe(once["keep_id"])
+    stored = bodies.join(once.hint("merge"), on, "left_semi").select("digest", "payload")
+    more = keepers.filter("same > 1")
+    if not more.isEmpty():
+        on = (bodies["digest"] == more["digest"]) & bodies["page_id"].eqNullSafe(more["keep_id"])
+        stored = stored.unionByName(bodies.join(more, on, "left_semi").select("digest", "payload").dropDuplicates(["digest"]))
+    stored.write.parquet(f"{folder}/payloads")
     placed = lookup(known, groups.select("digest", "last", "n"), "digest", "n")
     placed = placed.withColumns({
         "copy": F.col("row"), "target_id": F.col("last.page_id"), "target_copy": F.col("last.row"),
