@@ -8,9 +8,9 @@ from functools import lru_cache
 
 import numpy as np
 
-from threadgauge.llm.bpe import Chunks, chunk_ids
+from threadgauge.llm.bpe import Chunks, Memory, chunk_ids
 
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 AT_ONCE = 4096
 
 
@@ -36,7 +36,9 @@ class LibraryCoder:
             i for w in "abc" for i in self.tokenizer.encode(w, add_special_tokens=False).ids
         ]
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.folds = self.split and self.tokenizer.encode("ABC", add_special_tokens=False).ids == self.tokenizer.encode("abc", add_special_tokens=False).ids
         self.chunks = Chunks(REMEMBERED)
+        self.words = Memory(REMEMBERED)
 
     def _library(self, texts: Sequence[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -45,6 +47,14 @@ class LibraryCoder:
             out.extend(np.array(e.ids, dtype="<u4").tobytes() for e in found)
         return out
 
+    def _parts(self, chunk: str) -> tuple[str, ...]:
+        """A chunk without the stops and commas after its last letter, and these: both kinds of pattern cut there."""
+        bare = chunk.rstrip(".,")
+        if not bare or not bare[-1].isalpha() or not bare[-1].lower().isalpha():
+            return (chunk,)
+        word = bare.lower() if self.folds and bare.isascii() else bare
+        return (word,) if len(bare) == len(chunk) else (word, chunk[len(bare) :])
+
     def encode_batch(self, texts: Sequence[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         parts = []
@@ -57,10 +67,14 @@ class LibraryCoder:
                 parts.append(list(map(self.chunks.__getitem__, text.split(" "))))
         if self.chunks.new:
             new, self.chunks.new = self.chunks.new, []
-            asked = [c.key[1] if type(c.key) is tuple else " " + c.key if self.spaced else c.key for c in new]
-            for chunk, ids in zip(new, self._library(asked), strict=True):
-                chunk.ids = ids
-                self.chunks[chunk.key] = ids
+            asked = [self._parts(c.key[1] if type(c.key) is tuple else " " + c.key if self.spaced else c.key) for c in new]
+            words, older = self.words, self.words.older
+            unknown = list({w for parts_ in asked for w in parts_ if w not in words and w not in older})
+            words.update(zip(unknown, self._library(unknown), strict=True))
+            for chunk, known in zip(new, asked, strict=True):
+                chunk.ids = b"".join([words[w] if w in words else older[w] for w in known])
+                self.chunks[chunk.key] = chunk.ids
+            words.turn()
             parts = [[p if type(p) is bytes else p.ids for p in pieces] for pieces in parts]
         self.chunks.turn()
         return [b"".join(pieces) for pieces in parts]
