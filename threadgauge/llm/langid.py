@@ -14,7 +14,7 @@ from functools import lru_cache, partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -122,15 +122,18 @@ def train(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
     per_language: int = PER_LANGUAGE, dimensions: int = DIMENSIONS, gram: int = GRAM,
 ) -> dict[str, np.ndarray]:
-    """Prototypes of unit length, from at most ``per_language`` documents of each language outside the held-out fold.
+    """Prototypes of unit length, from about ``per_language`` documents of each language outside the held-out fold.
 
-    The documents with the smallest id hashes are taken. Rows with a null
+    A document is drawn if the hash of its id is below the share that
+    ``per_language`` is of its language, so no language is gathered in one task
+    and smaller languages are taken whole. Rows with a null
     language are left out; the model has ``dimensions`` numbers per language.
     """
     known = docs.filter(F.col(lang_col).isNotNull() & ~held_out(id_col, 4, 2))
     ids = known.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    drawn = written(ids.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_language).select("doc_id", "lang").distinct(), "lang-ids")
+    share = ids.groupBy("lang").agg((F.lit(per_language) / F.count(F.lit(1))).alias("share"))
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) / F.lit(1 << 31)
+    drawn = written(ids.join(share, "lang").filter(draw < F.col("share")).select("doc_id", "lang").distinct(), "lang-ids")
     texts = docs.select(
         F.col(id_col).cast("bigint").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     )
