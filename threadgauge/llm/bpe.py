@@ -14,7 +14,7 @@ import heapq
 import json
 import re
 from collections.abc import Iterator, Sequence
-from functools import lru_cache, partial
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadgauge.llm.common import sole
+
 
 REMEMBERED = 300_000
 NEVER = 1 << 40
@@ -270,10 +272,9 @@ class ByteBPE:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
 def coder(path: str) -> ByteBPE:
-    """One coder per worker and file."""
-    return ByteBPE(path)
+    """One coder per worker at a time."""
+    return sole(("bpe", path), lambda: ByteBPE(path))
 
 
 def _blocks(batch: pa.RecordBatch, column: str, chars: int = 1 << 22) -> Iterator[tuple[int, list[str]]]:

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HOT_SHARE = 512
+T = TypeVar("T")
 _LOCAL: dict[str, str] = {}
+_SOLE: dict = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -43,6 +47,17 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sole(key: object, make: Callable[[], T]) -> T:
+    """What ``make`` gives for ``key``, kept in this worker until another key is asked for.
+
+    Workers outlive stages; the memory of one operator must not stay beside the next one's.
+    """
+    if key not in _SOLE:
+        _SOLE.clear()
+        _SOLE[key] = make()
+    return _SOLE[key]
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """``base``, with underscores added until no column of ``df`` has that name."""
     taken = {c.lower() for c in df.columns}

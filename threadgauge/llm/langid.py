@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from threadgauge.llm.common import free_name, written
+from threadgauge.llm.common import free_name, sole, written
 from threadgauge.llm.toxicity import held_out
 
 DIMENSIONS = 512
@@ -158,6 +158,7 @@ def predict(text: Column, model: dict[str, np.ndarray], gram: int = GRAM) -> Col
 
     @pandas_udf("lang string, score double")
     def of(texts: pd.Series) -> pd.DataFrame:
+        sole("languages", int)  # lets go of what an earlier operator remembered
         langs: list[str] = []
         scores: list[float] = []
         for at in range(0, len(texts), 256):

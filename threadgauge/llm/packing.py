@@ -27,6 +27,7 @@ from threadgauge.llm.tokens import library_coder
 CAPACITY = 1024
 END = 2
 RANKED_AT_ONCE = 4096
+REMEMBERED = 200_000
 
 
 def pieces_of(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -36,7 +37,7 @@ def pieces_of(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch], path: str, end: int, capacity: int) -> Iterator[pa.RecordBatch]:
-    coder = library_coder(path)
+    coder = library_coder(path, REMEMBERED)
     tail = np.array([end], dtype="<u4").tobytes()
     for batch in batches:
         for at, texts in _blocks(batch, "text"):

@@ -17,7 +17,7 @@ the task, so a group of near copies costs edges in proportion to its size.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadgauge.llm.common import free_name, lookup, whole_text, written
+from threadgauge.llm.common import free_name, lookup, sole, whole_text, written
 from threadgauge.llm.components import components
 
 SEED = 42
@@ -63,6 +63,7 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    sole("prints", int)  # lets go of what an earlier operator remembered
     for batch in batches:
         texts = batch.column("text")
         prints = pa.array([fingerprint(t.as_py(), words) for t in texts], pa.int64())
@@ -75,8 +76,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(partial(_fingerprints, words=words), "doc_id bigint, fp bigint")
 
 
-@lru_cache(maxsize=1)
 def _indices() -> np.ndarray:
+    return sole("golay", _decoded)
+
+
+def _decoded() -> np.ndarray:
     """For each of the 2^23 words, the 12-bit index of the nearest codeword."""
     def remainder(word: np.ndarray) -> np.ndarray:
         word = word.copy()

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import os
 from collections.abc import Sequence
-from functools import lru_cache
 
 import numpy as np
 
 from threadgauge.llm.bpe import Chunks, chunk_ids
+from threadgauge.llm.common import sole
 
 REMEMBERED = 400_000
 AT_ONCE = 4096
@@ -23,7 +23,7 @@ class LibraryCoder:
     holds a special token, or a file of another kind, is encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -36,7 +36,7 @@ class LibraryCoder:
             i for w in "abc" for i in self.tokenizer.encode(w, add_special_tokens=False).ids
         ]
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.chunks = Chunks(REMEMBERED)
+        self.chunks = Chunks(remembered)
 
     def _library(self, texts: Sequence[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -66,7 +66,6 @@ class LibraryCoder:
         return [b"".join(pieces) for pieces in parts]
 
 
-@lru_cache(maxsize=2)
-def library_coder(path: str) -> LibraryCoder:
-    """One coder per worker and file."""
-    return LibraryCoder(path)
+def library_coder(path: str, remembered: int = REMEMBERED) -> LibraryCoder:
+    """One coder per worker at a time."""
+    return sole(("library", path, remembered), lambda: LibraryCoder(path, remembered))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from threadgauge.llm.bpe import Memory
-from threadgauge.llm.common import free_name, written
+from threadgauge.llm.common import free_name, sole, written
 
 MAX_PER_CLASS = 6000
 LEXICON = 600
@@ -107,9 +107,6 @@ def text_features(text: str, classes: Memory, strong: frozenset[str], weak: froz
     ]
 
 
-_CLASSES: dict[int, Memory] = {}
-
-
 def features(text: Column, lexicon: dict[str, bool]) -> Column:
     """The features of a text column as an array; null is empty."""
     strong = frozenset(t for t, s in lexicon.items() if s)
@@ -118,9 +115,7 @@ def features(text: Column, lexicon: dict[str, bool]) -> Column:
 
     @pandas_udf("array<double>")
     def of(texts):  # noqa: ANN001, ANN202
-        if key not in _CLASSES:
-            _CLASSES.clear()
-        classes = _CLASSES.setdefault(key, Memory(200_000))
+        classes = sole(("toxicity", key), lambda: Memory(150_000))
         return texts.map(lambda t: text_features(t or "", classes, strong, weak))
 
     return of(F.coalesce(text.cast("string"), F.lit("")))
