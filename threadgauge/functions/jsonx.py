@@ -52,6 +52,7 @@ def answer_problems(answers: DataFrame, questions: DataFrame) -> DataFrame:
 
 
 def missing_questions(items: DataFrame, answers: DataFrame, questions: DataFrame) -> DataFrame:
-    """(item, question) pairs without an answer (JSN-4); questions are configuration-sized."""
-    wanted = items.select("comment_id", F.explode(F.array(*[F.lit(r[0]) for r in questions.select("question_id").limit(1000).collect()])).alias("question_id"))
+    """(item, question) pairs without an answer (JSN-4), for every question of the table."""
+    names = [F.lit(r[0]) for r in questions.select("question_id").distinct().collect()]  # a question set is configuration
+    wanted = items.select("comment_id", F.explode(F.array(*names)).alias("question_id"))
     return wanted.join(answers.select("comment_id", "question_id"), ["comment_id", "question_id"], "left_anti")

@@ -375,7 +375,7 @@ def bundle_edges(pairs: DataFrame, top: int = 8, least: float = 1.0) -> DataFram
     return kept.select(F.least("card", "other").alias("a"), F.greatest("card", "other").alias("b"), "score").distinct()
 
 
-def average_linkage(cards: DataFrame, pairs: DataFrame, cut: float, furthest: float = 2.0, max_rounds: int = 64) -> DataFrame:
+def average_linkage(cards: DataFrame, pairs: DataFrame, cut: float, furthest: float = 2.0) -> DataFrame:
     """(card_id, bundle): average linkage cut at a distance (BUN-2).
 
     Distance is 2 - score, 2 where no score is known. Every round merges all
@@ -387,7 +387,7 @@ def average_linkage(cards: DataFrame, pairs: DataFrame, cut: float, furthest: fl
     d = F.least(F.greatest(F.lit(furthest) - F.col("score"), F.lit(0.0)), F.lit(furthest))
     links = cut_lineage(pairs.select("a", "b", d.alias("total"), F.lit(1).cast("bigint").alias("n")))
     members = cut_lineage(members)
-    for _ in range(max_rounds):
+    while True:
         size = members.groupBy("bundle").agg(F.count(F.lit(1)).alias("size"))
         sized = links.join(size.select(F.col("bundle").alias("a"), F.col("size").alias("sa")), "a").join(
             size.select(F.col("bundle").alias("b"), F.col("size").alias("sb")), "b"

@@ -144,7 +144,7 @@ def domain_shares(rows: DataFrame, gold: DataFrame, min_gold: int = 10, min_n: i
     firsthand = rows.filter("firsthand AND domain IS NOT NULL")
     reps = share_replicates(rows.filter("firsthand"), "domain", period_buckets(), within=True, n_rep=n_rep, seed=seed)
     naive = interval(reps, ["bucket", "id"], "share", n="n")
-    names = [r[0] for r in firsthand.select("domain").distinct().limit(1000).collect()]
+    names = [r[0] for r in firsthand.select("domain").distinct().orderBy("domain").collect()]
     every = rows.withColumn("bucket", F.explode(period_buckets()))
     labelled = every.join(gold, "comment_id")
     counts = labelled.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_gold"))
