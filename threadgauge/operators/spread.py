@@ -33,6 +33,16 @@ def _offsets(bucketed: DataFrame, keys: list[str], amount: Column) -> DataFrame:
     )
 
 
+def join_nulls(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on ``keys`` where null equals null; the keys appear once."""
+    renamed = right.withColumnsRenamed({k: f"__k_{k}" for k in keys})
+    on = None
+    for k in keys:
+        same = left[k].eqNullSafe(renamed[f"__k_{k}"])
+        on = same if on is None else on & same
+    return left.join(renamed, on).drop(*[f"__k_{k}" for k in keys])
+
+
 def hash_rank(
     df: DataFrame, keys: Sequence[str], draw: Column, tie: Sequence[str], name: str = "draw_rank",
     bits: int = BUCKET_BITS,
@@ -44,9 +54,8 @@ def hash_rank(
     )
     offsets = _offsets(bucketed, keys, F.count(F.lit(1)))
     inside = Window.partitionBy(*keys, "__b").orderBy("__h", *tie)
-    ranked = bucketed.withColumn("__r", F.row_number().over(inside)).join(
-        offsets, [*keys, "__b"]
-    )
+    ranked = bucketed.withColumn("__r", F.row_number().over(inside))
+    ranked = join_nulls(ranked, offsets, [*keys, "__b"])
     return ranked.withColumn(name, (F.col("__r") + F.col("__off")).cast("bigint")).drop(
         "__h", "__b", "__r", "__n", "__off", ALL
     )
@@ -69,10 +78,10 @@ def take_by_hash(
         "__b", F.shiftright(F.col("__h"), HASH_BITS - bits)
     )
     offsets = _offsets(bucketed, keys, F.count(F.lit(1)))
-    wanted = offsets.join(quota.select(*keys, F.col(n).alias("__take")), keys).filter("__off < __take")
+    wanted = join_nulls(offsets, quota.select(*keys, F.col(n).alias("__take")), keys).filter("__off < __take")
     inside = Window.partitionBy(*keys, "__b").orderBy("__h", *tie)
     return (
-        bucketed.join(wanted, [*keys, "__b"])
+        join_nulls(bucketed, wanted, [*keys, "__b"])
         .withColumn("__r", F.row_number().over(inside))
         .withColumn(name, (F.col("__r") + F.col("__off")).cast("bigint"))
         .filter(F.col(name) <= F.col("__take"))
@@ -114,7 +123,7 @@ def value_ranks(
         *keys, "__b",
         *[F.coalesce(F.sum(f"__s_{c}").over(before), F.lit(0)).alias(f"__o_{c}") for c in totals],
     )
-    out = merged.join(steps, [*keys, "__b"])
+    out = join_nulls(merged, steps, [*keys, "__b"])
     return out.select(
         *[k for k in keys if k != ALL], value, *totals,
         *[
@@ -131,7 +140,7 @@ def exact_quantiles(
     keys = list(keys)
     ranks = value_ranks(df, keys, value)
     totals = ranks.groupBy(*keys).agg(F.sum("n").alias("__total"))
-    ranks = ranks.join(totals, keys) if keys else ranks.withColumn("__total", totals.scalar())
+    ranks = join_nulls(ranks, totals, keys) if keys else ranks.withColumn("__total", totals.scalar())
     aggs, outs = [], []
     for name, q in points.items():
         pos = F.lit(q) * (F.col("__total") - 1)
