@@ -42,6 +42,76 @@ def test_allocation_properties(spark):
         assert sum(got.values()) == n and all(min(d[h], floor) <= a <= d[h] for h, a in got.items())
 
 
+def test_floors_equal_repeated_proportional_rounds(spark):
+    rng = random.Random(5)
+    for _ in range(4):
+        d = {f"s{i:02}": rng.choice([1, 2, 7, 40, 300, 2000]) for i in range(12)}
+        n, floor = 250, rng.randrange(1, 16)
+        pinned: dict = {}
+        while True:
+            free = {h: s for h, s in d.items() if h not in pinned}
+            rest, whole = n - sum(pinned.values()), sum(free.values())
+            part = {h: divmod(rest * s, whole) for h, s in free.items()}
+            odd = sorted(free, key=lambda h: (-part[h][1], h))[: rest - sum(q for q, _ in part.values())]
+            got = {h: q + (h in odd) for h, (q, _) in part.items()}
+            short = {h: min(d[h], floor) for h in free if got[h] < min(d[h], floor)}
+            if not short:
+                break
+            pinned |= short
+        assert taken(al.allocate(sizes(spark, d), n, floor)) == pinned | got
+
+
+def test_yield_equals_buying_unit_by_unit(spark):
+    rng = random.Random(8)
+    for _ in range(4):
+        rows = [(f"s{i}", rng.randrange(0, 60), rng.randrange(1, 9) / 8, float(rng.randrange(1, 90))) for i in range(11)]
+        need = {h: min(n, max(3, -(-n // 10))) if n else 0 for h, n, _, _ in rows}
+        budget = sum(need[h] * c for h, _, _, c in rows) + rng.randrange(0, 4000)
+        left = budget - sum(need[h] * c for h, _, _, c in rows)
+        for h, n, _, c in sorted(rows, key=lambda r: (-r[2] / r[3], r[0])):
+            while need[h] < n and c <= left:
+                need[h], left = need[h] + 1, left - c
+        frame = spark.createDataFrame(rows, "stratum string, n_frame long, p double, c double")
+        assert taken(al.yield_allocation(frame, float(budget), 0.1, 3)) == need
+
+
+def test_capped_shares_level_out(spark):
+    rng = random.Random(9)
+    for n in (5, 80, 400, 9000):
+        rows = [(f"s{i}", rng.randrange(1, 90), float(rng.randrange(0, 500))) for i in range(14)]
+        full: set = set()
+        while True:
+            w = sum(x for h, _, x in rows if h not in full)
+            left = n - sum(s for h, s, _ in rows if h in full)
+            more = {h for h, s, x in rows if h not in full and w and left * x / w >= s}
+            if not more:
+                break
+            full |= more
+        want = {h: s if h in full else max(1, round(left * x / w)) if w else 1 for h, s, x in rows}
+        frame = spark.createDataFrame(rows, "stratum string, n_frame long, wsum double")
+        assert taken(al.capped_allocation(frame, n)) == want
+
+
+def test_residue_takes_units_from_the_tallest(spark):
+    rng = random.Random(10)
+    for k in (3, 14, 20, 60, 10_000):
+        d = {f"s{i:02}": rng.choice([1, 1, 2, 300, 310, 1000]) for i in range(14)}
+        got = taken(al.hamilton(sizes(spark, d), min(k, sum(d.values()))))
+        for h in sorted(d) if k >= len(d) else []:
+            if got[h] == 0:
+                got[max(d, key=lambda g: (got[g], g))] -= 1
+                got[h] = 1
+        assert taken(al.residue_allocation(sizes(spark, d), k)) == got
+
+
+def test_many_strata_stay_on_spark(spark):
+    many = spark.range(50_000).selectExpr("concat('s', id) AS stratum", "id % 40 + 1 AS n_frame", "(id % 7 + 1) / 8d AS p", "id % 5 + 1d AS c", "id % 11 + 1d AS wsum")
+    for out in (al.allocate(many, 300_000, 2), al.yield_allocation(many, 1_000_000.0, 0.1, 2), al.capped_allocation(many, 300_000), al.residue_allocation(many, 60_000)):
+        got = out.groupBy().agg(F.count("*").alias("n"), F.min("n_take").alias("least"), F.sum("n_take").alias("total")).first()
+        assert got.n == 50_000 and got.least >= 1 and got.total <= 520_000
+    assert al.allocate(many, 300_000, 2).agg(F.sum("n_take")).first()[0] == 300_000
+
+
 def test_yield_allocation_case(spark):
     rows = spark.createDataFrame([("a", 1000, 0.5, 100.0), ("b", 1000, 0.5, 100.0)], "stratum string, n_frame long, p double, c double")
     assert taken(al.yield_allocation(rows, 2100, 0.01, 10)) == {"a": 11, "b": 10}
