@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame
@@ -121,7 +122,7 @@ def text_hash(text: Column) -> Column:
 
 def _near(text: Column, person: str, pain: str, gap: int, any_char: str) -> Column:
     pattern = (
-        rf"(?isU)\b(?:{person})\b{any_char}{{0,{gap}}}?(?:{pain})"
+        rf"(?idU)\b(?:{person})\b{any_char}{{0,{gap}}}?(?:{pain})"
         rf"|\b(?:{pain}){any_char}{{0,{gap}}}?\b(?:{person})\b"
     )
     return text.rlike(pattern)
@@ -197,20 +198,30 @@ def sentence_map(sentences: Column) -> Column:
     )
 
 
-def question_state(text: Column, parent: Column, title: Column, sentences: Column, parent_limit: int = 600) -> Column:
-    """State struct with fields in name order, ready for canonical JSON (TXT-17)."""
-    return F.struct(
-        F.substring(F.coalesce(parent, F.lit("")), 1, parent_limit).alias("parent"),
-        sentence_map(sentences).alias("sentences"),
-        F.coalesce(text, F.lit("")).alias("text"),
-        F.coalesce(title, F.lit("")).alias("title"),
-    )
+# Fixed value: characters of the parent that a question sees.
+PARENT_LIMIT = 1500
+STATE_FIELDS = ("comment", "parent", "sentences", "story_title", "thread_type")
+
+
+def question_state(
+    comment: Column, parent: Column, title: Column, kind: Column, sentences: Column,
+    fields: Sequence[str] = STATE_FIELDS, parent_limit: int = PARENT_LIMIT,
+) -> Column:
+    """State struct of the listed fields in name order, ready for canonical JSON (TXT-17).
+
+    Only the parent is cut, at ``parent_limit`` characters.
+    """
+    known = {
+        "comment": comment, "parent": F.substring(F.coalesce(parent, F.lit("")), 1, parent_limit),
+        "sentences": sentence_map(F.coalesce(sentences, F.array().cast("array<string>"))), "story_title": title, "thread_type": kind,
+    }
+    return F.struct(*[known[f].alias(f) for f in sorted(fields)])
 
 
-def request_key(state_json: Column, question_set: str, model: str) -> Column:
-    """sha256 over canonical JSON of state, set and model (TXT-18)."""
-    head = F.lit('{"model":"' + model + '","question_set":"' + question_set + '","state":')
-    return F.sha2(F.concat(head, state_json, F.lit("}")), 256)
+def request_key(state_json: Column, questions_json: Column, question_set: str, model: str) -> Column:
+    """sha256 over canonical JSON of model, set, question texts and state (TXT-18)."""
+    head = F.lit('{"model":"' + model + '","question_set":"' + question_set + '","questions":')
+    return F.sha2(F.concat(head, questions_json, F.lit(',"state":'), state_json, F.lit("}")), 256)
 
 
 def option_index(option: Column) -> Column:

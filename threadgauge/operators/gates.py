@@ -44,20 +44,25 @@ def field_names(kind: DataType, prefix: str = "") -> Iterator[tuple[str, str]]:
         yield from field_names(kind.valueType, prefix)
 
 
-def forbidden_fields(name: str, df: DataFrame, banned: Sequence[str] = FORBIDDEN) -> DataFrame:
-    """Banned field names anywhere in the schema (GATE-1); one row per field."""
-    hits = [(name, path) for path, field in field_names(df.schema) if field in banned]
-    return df.sparkSession.createDataFrame(hits, "table string, field string")
+def _leaves(kind: DataType, path: str, values: Column) -> Iterator[tuple[str, Column, bool]]:
+    """(path, string array, is map key) of every string below an array of values."""
+    present = F.filter(values, lambda v: v.isNotNull())
+    if isinstance(kind, StringType):
+        yield path, present, False
+    elif isinstance(kind, StructType):
+        for f in kind:
+            yield from _leaves(f.dataType, f"{path}.{f.name}", F.transform(present, lambda v: v.getField(f.name)))
+    elif isinstance(kind, ArrayType):
+        yield from _leaves(kind.elementType, path, F.flatten(present))
+    elif isinstance(kind, MapType):
+        if isinstance(kind.keyType, StringType):
+            yield path, F.flatten(F.transform(present, F.map_keys)), True
+        yield from _leaves(kind.valueType, path, F.flatten(F.transform(present, F.map_values)))
 
 
-def string_columns(df: DataFrame) -> list[tuple[str, bool]]:
-    out = []
-    for f in df.schema:
-        if isinstance(f.dataType, StringType):
-            out.append((f.name, False))
-        elif isinstance(f.dataType, ArrayType) and isinstance(f.dataType.elementType, StringType):
-            out.append((f.name, True))
-    return out
+def string_leaves(df: DataFrame) -> list[tuple[str, Column, bool]]:
+    """Every place of a table that holds strings: columns, struct fields, array elements, map keys and values."""
+    return [leaf for f in df.schema for leaf in _leaves(f.dataType, f.name, F.array(F.col(f"`{f.name}`")))]
 
 
 def _tagged(column: str, array: Column, field: str) -> Column:
@@ -65,25 +70,45 @@ def _tagged(column: str, array: Column, field: str) -> Column:
     return F.transform(array, lambda x: F.struct(F.lit(column).alias("column"), x.alias(field)))
 
 
-def _strings(column: str, is_array: bool) -> Column:
-    value = F.col(column) if is_array else F.array(F.col(column))
-    return F.coalesce(value, F.array().cast("array<string>"))
+def forbidden_fields(name: str, df: DataFrame, banned: Sequence[str] = FORBIDDEN) -> DataFrame:
+    """Banned field names in the schema, in map keys and in keys of JSON texts (GATE-1); one row per field.
+
+    A text that starts like JSON is read as JSON, so escaped keys count; when it
+    does not parse, its raw keys are looked at.
+    """
+    hits = [(name, path) for path, field in field_names(df.schema) if field in banned]
+    parts = [df.sparkSession.createDataFrame(hits, "table string, field string")]
+    keyed = rf'"({"|".join(banned)})"\s*:'
+    found = []
+    for path, values, is_key in string_leaves(df):
+        if is_key:
+            keys = F.filter(values, lambda v: v.isin(*banned))
+        else:
+            texts = F.filter(values, lambda v: v.rlike(r"^\s*[\[{]"))
+            bodies = F.transform(texts, lambda v: F.coalesce(F.to_json(F.try_parse_json(v)), v))
+            keys = F.flatten(F.transform(bodies, lambda v: F.regexp_extract_all(v, F.lit(keyed), F.lit(1))))
+        found.append(F.transform(F.array_distinct(keys), lambda v: F.concat(F.lit(path + "."), v)))
+    if found:
+        inside = df.select(F.explode(F.concat(*found)).alias("field")).distinct()
+        parts.append(inside.select(F.lit(name).alias("table"), "field"))
+    return union_all(parts)
 
 
 def _audited(name: str) -> bool:
-    return name not in LENGTH_EXEMPT and not name.endswith(EXEMPT_SUFFIXES)
+    field = name.rsplit(".", 1)[-1]
+    return field not in LENGTH_EXEMPT and not field.endswith(EXEMPT_SUFFIXES)
 
 
 def length_medians(df: DataFrame) -> DataFrame:
-    """Exact median length per audited string column, arrays flattened.
+    """Exact median length per audited place of strings, arrays flattened and map keys left out.
 
     Lengths are counted per value first, so the median is taken over a table of
     (column, length, n) and not over the rows.
     """
-    cols = [(c, is_array) for c, is_array in string_columns(df) if _audited(c)]
+    cols = [(c, values) for c, values, is_key in string_leaves(df) if _audited(c) and not is_key]
     if not cols:
         return df.sparkSession.createDataFrame([], "column string, median double")
-    lengths = [_tagged(c, F.transform(_strings(c, is_array), F.length), "len") for c, is_array in cols]
+    lengths = [_tagged(c, F.transform(values, F.length), "len") for c, values in cols]
     flat = df.select(F.explode(F.concat(*lengths)).alias("x")).select("x.*")
     counted = flat.filter("len IS NOT NULL").groupBy("column", "len").agg(F.count(F.lit(1)).alias("n"))
     return counted.groupBy("column").agg(F.percentile("len", F.lit(0.5), F.col("n")).alias("median"))
@@ -102,8 +127,10 @@ SHA = r"^[0-9a-f]{64}$"
 
 def unapproved_strings(name: str, df: DataFrame, vocabulary: DataFrame, skip: Sequence[str] = ()) -> DataFrame:
     """Strings outside the approved set and the id, date and hash forms (GATE-3)."""
-    cols = [(c, a) for c, a in string_columns(df) if c not in skip]
-    pairs = F.concat(*[_tagged(c, _strings(c, is_array), "value") for c, is_array in cols])
+    cols = [(c, values) for c, values, _ in string_leaves(df) if c not in skip]
+    if not cols:
+        return df.sparkSession.createDataFrame([], "table string, column string, value string, n bigint")
+    pairs = F.concat(*[_tagged(c, values, "value") for c, values in cols])
     found = df.select(F.explode(pairs).alias("x")).select("x.*").filter("value IS NOT NULL").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     formed = F.col("value").rlike(IDENT) | F.col("value").rlike(STAMP) | F.col("value").rlike(SHA)
     known = vocabulary.select(F.col("term").alias("value")).distinct()
@@ -118,40 +145,69 @@ def thin_terms(terms: DataFrame, k_comments: int = 20, k_authors: int = 10) -> D
 def pattern_findings(name: str, df: DataFrame, key: str, rules: dict[str, str] = PATTERNS) -> DataFrame:
     """Rows with secrets, URLs, e-mails or local paths; names rule, column and key only (GATE-4)."""
     parts = []
-    for column, is_array in string_columns(df):
-        value = F.array_join(column, "\n") if is_array else F.col(column)
-        hits = F.array_compact(F.array(*[F.when(value.rlike(rx), F.lit(rule)) for rule, rx in rules.items()]))
-        parts.append(_tagged(column, F.coalesce(hits, F.array().cast("array<string>")), "rule"))
-    found = df.select(F.col(key).alias("row_key"), F.explode(F.concat(*parts)).alias("x"))
+    for column, values, _ in string_leaves(df):
+        hits = [F.when(F.exists(values, lambda v: v.rlike(rx)), F.lit(rule)) for rule, rx in rules.items()]
+        parts.append(_tagged(column, F.array_compact(F.array(*hits)), "rule"))
+    if not parts:
+        return df.select(F.lit(name).alias("table"), F.col(key).alias("row_key"), F.lit("").alias("column"), F.lit("").alias("rule")).limit(0)
+    found = df.select(F.col(key).alias("row_key"), F.explode(F.array_distinct(F.concat(*parts))).alias("x"))
     return found.select(F.lit(name).alias("table"), "row_key", "x.column", "x.rule")
 
 
-CLAIM_FIELDS = ("id", "lane", "denominator", "weighted", "sql", "value", "tolerance", "ci_low", "ci_high")
-LANES = ("breadth", "depth", "quality", "cost")
-
-
-def claim_problem(claim: dict, seen: set) -> str | None:
-    """First problem of a claim's fields, None when well formed (GATE-5)."""
-    lost = sorted(k for k in CLAIM_FIELDS if k not in claim)
-    if lost:
-        return "missing: " + ", ".join(lost)
-    if claim["id"] in seen:
-        return "duplicate id"
-    seen.add(claim["id"])
-    if claim["lane"] not in LANES:
-        return "unknown lane"
-    if not isinstance(claim["weighted"], bool):
-        return "weighted must be a bool"
-    numbers = [claim["value"], claim["tolerance"]]
-    if any(isinstance(v, bool) or not isinstance(v, (int, float)) for v in numbers) or claim["tolerance"] < 0:
-        return "value and tolerance must be numbers, tolerance not negative"
-    count = isinstance(claim["value"], int)
-    if not count and (claim["ci_low"] is None or claim["ci_high"] is None):
-        return "an interval is required for non-count claims"
-    share = not count and 0 <= claim["value"] <= 1
-    if claim["lane"] == "breadth" and share and not claim["weighted"] and "unweighted count" not in str(claim["denominator"]).lower():
-        return "unweighted breadth proportion: denominator must say so"
-    return None
+# What every claim states, and the lanes a claim may belong to.
+CLAIM_FIELDS = (
+    "id", "text", "value", "tolerance", "sql", "run_id", "lane", "denominator", "question_set", "weighted",
+    "ci_low", "ci_high", "qualifier",
+)
+LANES = ("breadth", "discovery")
+
+
+def _number(v) -> bool:
+    return isinstance(v, (int, float)) and not isinstance(v, bool)
+
+
+def _bare_share(c: dict) -> bool:
+    """An unweighted share of the breadth lane."""
+    return c["lane"] == "breadth" and c["weighted"] is False and isinstance(c["value"], float) and 0 <= c["value"] <= 1
+
+
+# Rules over a claim with all fields; each names what does not hold.
+CLAIM_RULES = {
+    "value_number": lambda c: _number(c["value"]),
+    "tolerance_number": lambda c: _number(c["tolerance"]) and c["tolerance"] >= 0,
+    "interval_or_count": lambda c: type(c["value"]) is int or None not in (c["ci_low"], c["ci_high"]),
+    "lane_known": lambda c: c["lane"] in LANES,
+    "weighted_flag": lambda c: isinstance(c["weighted"], bool),
+    # Fixed value: the words that mark such a denominator.
+    "denominator_named": lambda c: not _bare_share(c) or "unweighted count" in str(c["denominator"]).lower(),
+}
+
+
+def claim_faults(claims: Sequence[dict]) -> list[list[str]]:
+    """Per claim the names of all rules it breaks (GATE-5); of equal ids the first one is good."""
+    out: list[list[str]] = []
+    known: set = set()
+    for claim in claims:
+        gaps = [f"no_{field}" for field in CLAIM_FIELDS if field not in claim]
+        if gaps:
+            out.append(gaps)
+            continue
+        broken = [rule for rule, holds in CLAIM_RULES.items() if not holds(claim)]
+        out.append(broken + (["id_repeated"] if claim["id"] in known else []))
+        known.add(claim["id"])
+    return out
+
+
+def scalar_of(spark: SparkSession, query: str) -> tuple[float | None, str | None]:
+    """(value, None) of a query of one row and column, else (None, reason)."""
+    try:
+        found = spark.sql(query)
+        rows = found.limit(2).collect() if len(found.columns) == 1 else []
+        if len(rows) != 1:
+            return None, "not_scalar"
+        return (None, "null_result") if rows[0][0] is None else (float(rows[0][0]), None)
+    except Exception as e:  # noqa: BLE001 - a failing query is a finding
+        return None, type(e).__name__
 
 
 def check_claims(spark: SparkSession, claims: Sequence[dict]) -> DataFrame:
@@ -159,24 +215,12 @@ def check_claims(spark: SparkSession, claims: Sequence[dict]) -> DataFrame:
 
     Only the claimed scalar of each query reaches the driver.
     """
-    rows, seen = [], set()
-    for i, claim in enumerate(claims):
-        name, expected = str(claim.get("id") or f"#{i}"), claim.get("value")
-        error, actual = claim_problem(claim, seen), None
-        if error is None:
-            try:
-                found = spark.sql(claim["sql"])
-                got = found.limit(2).collect()
-                if len(got) != 1 or len(found.columns) != 1:
-                    error = "expected a single scalar"
-                elif got[0][0] is None:
-                    error = "query returned null"
-                else:
-                    actual = float(got[0][0])
-            except Exception as e:  # noqa: BLE001 - a failing query is a finding
-                error = type(e).__name__
-        ok = actual is not None and abs(actual - float(expected)) <= float(claim["tolerance"])
-        rows.append((name, ok, None if isinstance(expected, bool) or not isinstance(expected, (int, float)) else float(expected), actual, error))
+    rows = []
+    for i, (claim, faults) in enumerate(zip(claims, claim_faults(claims))):
+        actual, error = (None, ", ".join(faults)) if faults else scalar_of(spark, claim["sql"])
+        stated = claim.get("value")
+        ok = actual is not None and abs(actual - stated) <= claim["tolerance"]
+        rows.append((str(claim.get("id") or f"#{i}"), ok, float(stated) if _number(stated) else None, actual, error))
     return spark.createDataFrame(rows, "id string, ok boolean, expected double, actual double, error string")
 
 

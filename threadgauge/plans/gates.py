@@ -16,6 +16,16 @@ def _(t: Tables):
     return found.withColumn("n", nested.agg(F.count("*")).scalar())
 
 
+@plan("gate_01_inner_keys", """SELECT 'documents' AS "table", unnest(['notes.title', 'extra.author', 'payload.by', 'payload.comment']) AS field""")
+def _(t: Tables):
+    rows = t.documents.select(
+        "doc_id", F.array(F.struct(F.col("source").alias("title"))).alias("notes"),
+        F.create_map(F.when(F.col("doc_id") % 5 == 0, "author").otherwise("site"), F.col("source")).alias("extra"),
+        F.concat(F.lit('{"a": [{"\\u0062y": '), F.col("doc_id").cast("string"), F.lit('}], "b": "\\"title\\":", "comment": 1}')).alias("payload"),
+    )
+    return gt.forbidden_fields("documents", rows)
+
+
 @plan("gate_02_long_text", """SELECT 'documents' AS "table", 'text' AS "column", median(length(text))::DOUBLE AS median FROM documents HAVING median(length(text)) > 80
  UNION ALL SELECT 'documents', 'parts', m FROM (SELECT median(length(p))::DOUBLE AS m FROM (SELECT unnest(string_split(text, '. ')) AS p FROM documents)) WHERE m > 80""")
 def _(t: Tables):
@@ -54,12 +64,36 @@ def _(t: Tables):
     return gt.pattern_findings("documents", t.documents, "doc_id")
 
 
+def nested(t: Tables):
+    """Whole texts in a struct, in structs of an array and in map values."""
+    return t.documents.select(
+        "doc_id", F.struct(F.col("text").alias("body"), F.col("doc_id").alias("n")).alias("meta"),
+        F.array(F.struct(F.col("source").alias("note")), F.struct(F.col("text").alias("note"))).alias("notes"),
+        F.create_map("lang", "text").alias("extra"),
+    ).withColumnRenamed("doc_id", "row_no")
+
+
+def nested_pattern_sql() -> str:
+    found = f"f AS ({pattern_sql()})"
+    return f"""WITH {found} SELECT "table", row_key, c AS "column", rule FROM f, (SELECT unnest(['meta.body', 'notes.note', 'extra']) AS c)"""
+
+
+@plan("gate_02_nested_long_text", """SELECT 'documents' AS "table", c AS "column", median(length(text))::DOUBLE AS median FROM documents, (SELECT unnest(['meta.body', 'extra']) AS c) GROUP BY c HAVING median(length(text)) > 80""")
+def _(t: Tables):
+    return gt.long_text("documents", nested(t).drop("notes"))
+
+
+@plan("gate_04_nested_findings", nested_pattern_sql())
+def _(t: Tables):
+    return gt.pattern_findings("documents", nested(t), "row_no")
+
+
 @plan("gate_05_claims", """SELECT 'orders' AS id, true AS ok, count(*)::DOUBLE AS expected, count(*)::DOUBLE AS actual, NULL AS error FROM orders UNION ALL SELECT 'wrong', false, 1e0, count(*)::DOUBLE, NULL FROM orders
- UNION ALL SELECT 'many', false, 1e0, NULL, 'expected a single scalar' UNION ALL SELECT 'null', false, 1e0, NULL, 'query returned null' UNION ALL SELECT 'orders', false, 1e0, NULL, 'duplicate id'
+ UNION ALL SELECT 'many', false, 1e0, NULL, 'not_scalar' UNION ALL SELECT 'null', false, 1e0, NULL, 'null_result' UNION ALL SELECT 'orders', false, 1e0, NULL, 'id_repeated' UNION ALL SELECT 'lane', false, 1e0, NULL, 'lane_known' UNION ALL SELECT 'short', false, 1e0, NULL, 'no_text, no_run_id'
  UNION ALL SELECT 'share', true, 0.34::DOUBLE, round(avg(CASE WHEN o_orderstatus = 'F' THEN 1e0 ELSE 0e0 END), 6), NULL FROM orders""")
 def _(t: Tables):
     t.orders.createOrReplaceTempView("claim_orders")
-    base = {"lane": "cost", "denominator": "orders", "weighted": False, "tolerance": 0, "ci_low": None, "ci_high": None}
+    base = {"text": "x", "run_id": "r", "question_set": "q", "qualifier": "", "lane": "discovery", "denominator": "orders", "weighted": False, "tolerance": 0, "ci_low": None, "ci_high": None}
     count = t.orders.count()
     claims = [
         {**base, "id": "orders", "sql": "SELECT count(*) FROM claim_orders", "value": count},
@@ -67,9 +101,13 @@ def _(t: Tables):
         {**base, "id": "many", "sql": "SELECT o_orderkey FROM claim_orders", "value": 1},
         {**base, "id": "null", "sql": "SELECT max(o_orderkey) FROM claim_orders WHERE o_orderkey < 0", "value": 1},
         {**base, "id": "orders", "sql": "SELECT 1", "value": 1},
+        {**base, "id": "lane", "sql": "SELECT 1", "value": 1, "lane": "depth"},
+        {k: v for k, v in base.items() if k not in ("text", "run_id")} | {"id": "short", "sql": "SELECT 1", "value": 1},
         {**base, "id": "share", "sql": "SELECT avg(CASE WHEN o_orderstatus = 'F' THEN 1d ELSE 0d END) FROM claim_orders", "value": 0.34, "tolerance": 0.05, "ci_low": 0.3, "ci_high": 0.4},
     ]
-    return rounded(gt.check_claims(t.spark, claims), "actual")
+    found = gt.check_claims(t.spark, claims)
+    t.spark.catalog.dropTempView("claim_orders")
+    return rounded(found, "actual")
 
 
 DRIFT = """dr AS (SELECT doc_id AS id, CASE WHEN doc_id % 13 = 0 THEN 'failed' WHEN doc_id % 11 = 0 OR doc_id % 7 = 0 THEN 'missing' WHEN doc_id % 5 = 0 THEN 'changed' ELSE 'match' END AS status FROM documents)"""

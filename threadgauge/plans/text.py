@@ -22,15 +22,15 @@ KEYWORD_SQL = (
 )
 WORDS_SQL = "len(list_filter(regexp_split_to_array({t}, '\\s+'), lambda x: x <> ''))"
 TEXTS = """texts AS (SELECT doc_id AS id, text FROM documents UNION ALL
- SELECT 10000000 + doc_id, CASE doc_id % 6 WHEN 0 THEN 'I can''t export this, ' || text WHEN 1 THEN 'Nobody here. ' || substr(text, 1, 200) || ' it broke'
- WHEN 2 THEN 'We spent two days on it' WHEN 3 THEN 'broken, i.e. it fails ' || text WHEN 4 THEN 'the outage hit ' || substr(text, 1, 75) || ' us' ELSE '' END FROM documents)"""
+ SELECT 10000000 + doc_id, CASE doc_id % 6 WHEN 0 THEN 'I can''t export this, ' || text WHEN 1 THEN 'Nobody here. ' || text || ' it broke'
+ WHEN 2 THEN text || ' We spent two days on it' WHEN 3 THEN 'broken, i.e. it fails ' || text WHEN 4 THEN 'the outage hit ' || text || ' us' ELSE '' END FROM documents)"""
 
 
 def texts(t: Tables):
     extra = F.expr(
-        "case doc_id % 6 when 0 then concat('I can\\'t export this, ', text) when 1 then concat('Nobody here. ', substr(text, 1, 200), ' it broke')"
-        " when 2 then 'We spent two days on it' when 3 then concat('broken, i.e. it fails ', text)"
-        " when 4 then concat('the outage hit ', substr(text, 1, 75), ' us') else '' end"
+        "case doc_id % 6 when 0 then concat('I can\\'t export this, ', text) when 1 then concat('Nobody here. ', text, ' it broke')"
+        " when 2 then concat(text, ' We spent two days on it') when 3 then concat('broken, i.e. it fails ', text)"
+        " when 4 then concat('the outage hit ', text, ' us') else '' end"
     )
     docs = t.documents
     return docs.select(F.col("doc_id").alias("id"), "text").unionByName(
@@ -124,20 +124,22 @@ def _(t: Tables):
     return t.documents.select("doc_id", tx.bounded_snippet(F.col("source"), tx.split_sentences(F.col("text"))).alias("snippet"))
 
 
-@plan("txt_17_question_state", """SELECT doc_id, CAST(least(255, n) AS BIGINT) AS n_sentences, substr(source || text, 1, 120) AS parent_cut FROM
- (SELECT doc_id, source, text, count(*) AS n FROM (SELECT doc_id, source, text, unnest(list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(text,
+@plan("txt_17_question_state", """SELECT doc_id, CAST(least(255, n) AS BIGINT) AS n_sentences, md5(substr(source || text, 1, 1500)) AS parent_key, source AS story_title, lang AS thread_type FROM
+ (SELECT doc_id, source, text, lang, count(*) AS n FROM (SELECT doc_id, source, text, lang, unnest(list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(text,
  '(?i)(e\\.g\\.|i\\.e\\.|etc\\.|vs\\.|cf\\.)\\s+', '\\1_', 'g'), '([.!?])\\s+', '\\1' || chr(1), 'g'), '\\n{2,}', chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')) FROM documents) GROUP BY ALL)""")
 def _(t: Tables):
     text = F.col("text")
-    state = tx.question_state(text, F.concat("source", "text"), F.col("source"), tx.split_sentences(text), 120)
+    fields = ("parent", "sentences", "story_title", "thread_type")
+    state = tx.question_state(text, F.concat("source", "text"), F.col("source"), F.col("lang"), tx.split_sentences(text), fields)
     rows = t.documents.select("doc_id", state.alias("s"))
-    return rows.select("doc_id", F.size("s.sentences").cast("bigint").alias("n_sentences"), F.col("s.parent").alias("parent_cut"))
+    return rows.select("doc_id", F.size("s.sentences").cast("bigint").alias("n_sentences"), F.md5("s.parent").alias("parent_key"), "s.story_title", "s.thread_type")
 
 
-@plan("txt_18_request_key", """SELECT o_orderkey, sha256('{"model":"m1","question_set":"screen@1","state":{"priority":"' || o_orderpriority || '","story":' || CAST(o_custkey AS VARCHAR) || '}}') AS request_key FROM orders""")
+@plan("txt_18_request_key", """SELECT o_orderkey, sha256('{"model":"m1","question_set":"screen@1","questions":{"late":{"ask":"' || o_orderstatus || '?"}},"state":{"priority":"' || o_orderpriority || '","story":' || CAST(o_custkey AS VARCHAR) || '}}') AS request_key FROM orders""")
 def _(t: Tables):
     state = F.to_json(F.struct(F.col("o_orderpriority").alias("priority"), F.col("o_custkey").alias("story")))
-    return t.orders.select("o_orderkey", tx.request_key(state, "screen@1", "m1").alias("request_key"))
+    questions = F.to_json(F.struct(F.struct(F.concat("o_orderstatus", F.lit("?")).alias("ask")).alias("late")))
+    return t.orders.select("o_orderkey", tx.request_key(state, questions, "screen@1", "m1").alias("request_key"))
 
 
 @plan("txt_19_surrogate_ids", """WITH h AS (SELECT o_orderkey, sha256(CAST(o_orderkey AS VARCHAR) || '|' || CAST(o_custkey AS VARCHAR)) AS d FROM orders)
