@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from threadgauge.llm.common import free_name, sole, written
+from threadgauge.llm.common import free_name, sole
 from threadgauge.llm.toxicity import held_out
 
 DIMENSIONS = 512
@@ -125,19 +125,20 @@ def train(
     """Prototypes of unit length, from about ``per_language`` documents of each language outside the held-out fold.
 
     A document is drawn if the hash of its id is below the share that
-    ``per_language`` is of its language, so no language is gathered in one task
-    and smaller languages are taken whole. Rows with a null
+    ``per_language`` is of its language, so rows are filtered where they lie
+    and smaller languages are taken whole. Like the model, the counts per
+    language reach the driver. Rows with a null
     language are left out; the model has ``dimensions`` numbers per language.
     """
-    known = docs.filter(F.col(lang_col).isNotNull() & ~held_out(id_col, 4, 2))
-    ids = known.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"))
-    share = ids.groupBy("lang").agg((F.lit(per_language) / F.count(F.lit(1))).alias("share"))
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) / F.lit(1 << 31)
-    drawn = written(ids.join(share, "lang").filter(draw < F.col("share")).select("doc_id", "lang").distinct(), "lang-ids")
-    texts = docs.select(
+    known = docs.select(
         F.col(id_col).cast("bigint").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
-    )
-    sums = texts.join(drawn, ["doc_id", "lang"], "left_semi").select("lang", "text").mapInArrow(
+    ).filter(F.col("lang").isNotNull() & ~held_out("doc_id", 4, 2))
+    shares = {r["lang"]: per_language / r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not shares:
+        return {}
+    share = F.create_map(*[F.lit(x) for pair in sorted(shares.items()) for x in pair])[F.col("lang")]
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) / F.lit(1 << 31)
+    sums = known.filter(draw < share).select("lang", "text").mapInArrow(
         partial(_sums, dimensions=dimensions, gram=gram), "lang string, i int, v double"
     )
     model: dict[str, np.ndarray] = {}
