@@ -49,10 +49,10 @@ def _(t: Tables):
     return ds.select_problems(t.role("problems"), an.merge_map(cards(t)), 5)
 
 
-@plan("rep_03_reply_items", f"WITH {PAIRS} SELECT reply_id, problem_id, kind, time, substr(text, 1, 10) AS text, 'pain ' || CAST(problem_id AS VARCHAR) AS pain_sentence FROM pairs WHERE problem_id % 3 > 0")
+@plan("rep_03_reply_items", f"WITH {PAIRS} SELECT reply_id, problem_id, kind, time, md5(substr(text, 1, 1200)) AS text_key, 'pain ' || CAST(problem_id AS VARCHAR) AS pain_sentence FROM pairs WHERE problem_id % 3 > 0")
 def _(t: Tables):
     sentences = problems(t).filter("comment_id % 3 > 0").select("comment_id", F.concat(F.lit("pain "), F.col("comment_id").cast("string")).alias("pain_sentence"))
-    return ds.reply_items(pairs(t), sentences, 10)
+    return ds.reply_items(pairs(t), sentences, ds.TEXT_CAP).withColumn("text_key", F.md5("text")).drop("text")
 
 
 VERDICT = "CASE reply_id % 4 WHEN 0 THEN 'solved' WHEN 1 THEN 'still_unsolved' WHEN 2 THEN 'unclear' END"
