@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from threadgauge.functions import jsonx as jx
 from threadgauge.functions import text as tx
 from threadgauge.operators.robust import correlation
-from threadgauge.operators.spread import bounded_rows, earliest_by, require_empty, value_ranks
+from threadgauge.operators.spread import earliest_by, require_empty, value_ranks
 from threadgauge.schemas import ANSWERS, fields
+from threadgauge.session import cut_lineage
 
 NONE = "none"
-MAX_CARDS = 20_000
-MAX_CARDS_PER_GROUP = 254
+# Status names and the sizes a taxonomy may have.
+ACTIVE, MERGED = "approved", "merged_into:"
+MAX_GROUPS = MAX_CARDS_PER_GROUP = 254
 
 
 def pivot_answers(answers: DataFrame, questions: Sequence[str], value: str = "noul", key: str = "comment_id") -> DataFrame:
@@ -103,13 +105,11 @@ def reuse_responses(calls: DataFrame, key: str = "request_key", order: Sequence[
     return calls.join(first, key).withColumn("replayed", F.col(order[-1]) != F.col("source_request_id"))
 
 
-def keyword_scorer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def keyword_scorer(text: str = "text") -> Column:
     """Example scorer: share of words that are first-person pronouns."""
-    people = {"i", "we", "my", "our", "me", "us"}
-    for batch in batches:
-        words = batch["text"].fillna("").str.lower().str.split()
-        share = words.map(lambda w: sum(x in people for x in w) / len(w) if w else 0.0)
-        yield pd.DataFrame({"comment_id": batch["comment_id"], "noul": share.astype("float64")})
+    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+"), lambda w: w != "")
+    people = F.filter(words, lambda w: w.isin("i", "we", "my", "our", "me", "us"))
+    return F.when(F.size(words) > 0, F.size(people) / F.size(words)).otherwise(0.0)
 
 
 def score_items(
@@ -200,21 +200,27 @@ def assign_two_level(items: DataFrame, groups: DataFrame, cards: DataFrame, run_
 def merge_map(cards: DataFrame) -> DataFrame:
     """(card_id, final_id) along ``merged_into`` links; cycles and unknown targets are errors (ANS-14).
 
-    The taxonomy is a bounded dimension (checked), so chains are followed here.
+    Pointer doubling: every round sends each card to its target's target, so a
+    chain of n links takes log2(n) rounds. What has not met an unmerged card
+    after as many rounds as the longest possible chain needs is a cycle.
     """
-    status = {r[0]: r[1] for r in bounded_rows(cards.select("card_id", "status"), MAX_CARDS, "cards")}
-    rows = []
-    for card in sorted(status):
-        at, seen = card, set()
-        while status.get(at, "").startswith("merged_into:"):
-            if at in seen:
-                raise ValueError(f"merge cycle at {card}")
-            seen.add(at)
-            at = status[at].split(":", 1)[1]
-            if at not in status:
-                raise ValueError(f"{card} merges into unknown {at}")
-        rows.append((card, at))
-    return cards.sparkSession.createDataFrame(rows, "card_id string, final_id string")
+    merged = F.coalesce(F.col("status").startswith(MERGED), F.lit(False))
+    links = cut_lineage(
+        cards.groupBy("card_id").agg(F.max("status").alias("status")).select(
+            "card_id", F.when(merged, F.regexp_replace("status", f"^{MERGED}", "")).otherwise(F.col("card_id")).alias("final_id"),
+            (~merged).alias("done"),
+        )
+    )
+    known = links.select(F.col("card_id").alias("final_id"))
+    require_empty(links.join(known, "final_id", "left_anti").select("card_id", "final_id"), "cards merge into unknown ones")
+    for _ in range(links.count().bit_length() + 1):
+        if links.filter("NOT done").isEmpty():
+            break
+        hop = links.select(F.col("card_id").alias("final_id"), F.col("final_id").alias("__next"), F.col("done").alias("__done"))
+        moved = links.filter("NOT done").join(hop, "final_id").select("card_id", F.col("__next").alias("final_id"), F.col("__done").alias("done"))
+        links = cut_lineage(moved.unionByName(links.filter("done")))
+    require_empty(links.filter("NOT done").select("card_id"), "merge cycle")
+    return links.select("card_id", "final_id")
 
 
 def resolve_cards(rows: DataFrame, cards: DataFrame, column: str = "card_id") -> DataFrame:
@@ -222,17 +228,30 @@ def resolve_cards(rows: DataFrame, cards: DataFrame, column: str = "card_id") ->
     return rows.join(merge_map(cards).withColumnRenamed("card_id", column), column, "left")
 
 
-def taxonomy_problems(cards: DataFrame, groups: DataFrame, label_words: int = 8, statement_words: int = 20) -> DataFrame:
-    """(problem, key) rows; empty when the taxonomy is valid (ANS-15)."""
-    valid = F.col("status").isin("draft", "approved", "retired") | F.col("status").startswith("merged_into:")
+def taxonomy_problems(
+    cards: DataFrame, groups: DataFrame, label_words: int = 8, statement_words: int = 20,
+    most_groups: int = MAX_GROUPS, most_cards: int = MAX_CARDS_PER_GROUP,
+) -> DataFrame:
+    """(problem, key) rows; empty when the taxonomy is valid (ANS-15). Only active cards count towards a group's size."""
+    target = F.when(F.col("status").startswith(MERGED), F.regexp_replace("status", f"^{MERGED}", ""))
+    valid = F.coalesce(F.col("status").isin("draft", ACTIVE, "retired") | (target != ""), F.lit(False))
+    into = cards.filter(target != "").select("card_id", target.alias("target"))
+    known = cards.select(F.col("card_id").alias("target"))
+
+    def problem(name: str, rows: DataFrame, key: Column | str) -> DataFrame:
+        return rows.select(F.lit(name).alias("problem"), F.col(key).cast("string").alias("key") if isinstance(key, str) else key.alias("key"))
+
     checks = [
-        cards.groupBy("card_id").count().filter("count > 1").select(F.lit("duplicate_card").alias("problem"), F.col("card_id").alias("key")),
-        groups.groupBy("group_id").count().filter("count > 1").select(F.lit("duplicate_group").alias("problem"), F.col("group_id").alias("key")),
-        cards.join(groups, "group_id", "left_anti").select(F.lit("unknown_group").alias("problem"), F.col("card_id").alias("key")),
-        cards.filter(~valid).select(F.lit("bad_status").alias("problem"), F.col("card_id").alias("key")),
-        cards.groupBy("group_id").count().filter(F.col("count") > MAX_CARDS_PER_GROUP).select(F.lit("group_too_large").alias("problem"), F.col("group_id").alias("key")),
-        groups.filter(tx.word_count(F.col("group_label")) > label_words).select(F.lit("label_too_long").alias("problem"), F.col("group_id").alias("key")),
-        cards.filter(tx.word_count(F.col("statement")) > statement_words).select(F.lit("statement_too_long").alias("problem"), F.col("card_id").alias("key")),
+        problem("duplicate_card", cards.groupBy("card_id").count().filter("count > 1"), "card_id"),
+        problem("duplicate_group", groups.groupBy("group_id").count().filter("count > 1"), "group_id"),
+        problem("unknown_group", cards.join(groups, "group_id", "left_anti"), "card_id"),
+        problem("bad_status", cards.filter(~valid), "card_id"),
+        problem("unknown_merge_target", into.join(known, "target", "left_anti"), "card_id"),
+        problem("too_many_groups", groups.agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most_groups), "n"),
+        problem("group_too_large", cards.filter(F.col("status") == ACTIVE).groupBy("group_id").count().filter(F.col("count") > most_cards), "group_id"),
+        problem("no_label", groups.filter(F.trim(F.coalesce("group_label", F.lit(""))) == ""), "group_id"),
+        problem("label_too_long", groups.filter(tx.word_count(F.col("group_label")) > label_words), "group_id"),
+        problem("statement_too_long", cards.filter(tx.word_count(F.col("statement")) > statement_words), "card_id"),
     ]
     out = checks[0]
     for c in checks[1:]:
@@ -307,22 +326,25 @@ def combine_runs(runs: Sequence[DataFrame], version: str, check: bool = True) ->
 
 
 def merge_pairs(cards: DataFrame, top2: DataFrame, min_overlap: int = 3) -> DataFrame:
-    """Candidate pairs: co-listed cross-group pairs and pairs inside a group (ANS-21).
+    """Candidate pairs of active cards: co-listed ones of two groups and pairs inside a group (ANS-21).
 
-    Cards per group are bounded by the taxonomy rule (254, checked); co-listed
-    pairs come from two-element lists and are counted before any join.
+    Merged cards in the two-element lists count for the card they end in; lists
+    with an unknown or inactive card, or twice the same one, do not count. Active
+    cards per group are bounded by the taxonomy rule (254, checked); co-listed
+    pairs are counted before any join with the cards.
     """
+    active = cards.filter(F.col("status") == ACTIVE).select("card_id", "group_id")
     require_empty(
-        cards.groupBy("group_id").count().filter(F.col("count") > MAX_CARDS_PER_GROUP), "group too large for pairing"
+        active.groupBy("group_id").count().filter(F.col("count") > MAX_CARDS_PER_GROUP), "group too large for pairing"
     )
-    a = cards.select(F.col("card_id").alias("card_a"), "group_id")
-    b = cards.select(F.col("card_id").alias("card_b"), "group_id")
-    inside = a.join(b, "group_id").filter("card_a < card_b").select("card_a", "card_b")
-    listed = top2.select(F.least("first", "second").alias("card_a"), F.greatest("first", "second").alias("card_b"))
-    counts = listed.filter("card_a <> card_b").groupBy("card_a", "card_b").agg(F.count(F.lit(1)).alias("n"))
-    ga = cards.select(F.col("card_id").alias("card_a"), F.col("group_id").alias("ga"))
-    gb = cards.select(F.col("card_id").alias("card_b"), F.col("group_id").alias("gb"))
-    across = counts.filter(F.col("n") >= min_overlap).join(ga, "card_a").join(gb, "card_b").filter("ga <> gb")
+    a = active.select(F.col("card_id").alias("card_a"), F.col("group_id").alias("ga"))
+    b = active.select(F.col("card_id").alias("card_b"), F.col("group_id").alias("gb"))
+    inside = a.join(b, F.col("ga") == F.col("gb")).filter("card_a < card_b").select("card_a", "card_b")
+    final = merge_map(cards)
+    x, y = (final.select(F.col("card_id").alias(c), F.col("final_id").alias(f"__{c}")) for c in ("first", "second"))
+    counts = top2.groupBy("first", "second").agg(F.count(F.lit(1)).alias("n")).join(x, "first").join(y, "second")
+    counts = counts.groupBy(F.least("__first", "__second").alias("card_a"), F.greatest("__first", "__second").alias("card_b")).agg(F.sum("n").alias("n"))
+    across = counts.filter(F.col("n") >= min_overlap).join(a, "card_a").join(b, "card_b").filter("ga <> gb")
     return inside.unionByName(across.select("card_a", "card_b"))
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadgauge.operators.bootstrap import POINT, interval, ratio_replicates
-from threadgauge.operators.spread import value_ranks
+from threadgauge.operators.spread import ordered_rank, value_ranks
 
 
 def every():
@@ -42,42 +43,40 @@ def benjamini_hochberg(tests: DataFrame, p: str = "p", family: Sequence[str] = (
     return rows.withColumn("p_adj", adj).withColumn("rejected", F.coalesce(F.col("p_adj") <= alpha, F.lit(False))).drop("__ok", "__r", "__raw")
 
 
-def heaviest_clusters(rows: DataFrame, k: int, cluster: str = "cluster", weight: str = "weight") -> DataFrame:
-    """The k clusters with most weight; an ordered limit over per-cluster sums."""
-    sums = rows.groupBy(cluster).agg(F.sum(weight).alias("w"), F.sum(F.col(weight) * F.col("x")).alias("wx"))
-    return sums.orderBy(F.col("w").desc(), cluster).limit(k)
+def contributions(rows: DataFrame, cluster: str = "cluster", weight: str = "weight") -> DataFrame:
+    """(cluster, w, wx): weight and weighted sum of ``x``, its contribution, per cluster."""
+    return rows.groupBy(cluster).agg(
+        F.coalesce(F.sum(weight), F.lit(0.0)).alias("w"), F.coalesce(F.sum(F.col(weight) * F.col("x")), F.lit(0.0)).alias("wx")
+    )
 
 
 def leave_one_out(rows: DataFrame, k: int = 10, cluster: str = "cluster", weight: str = "weight") -> DataFrame:
-    """Weighted mean with each heavy cluster left out: range, largest share, flag (TST-3)."""
-    total = rows.agg(F.sum(weight).alias("tw"), F.sum(F.col(weight) * F.col("x")).alias("twx"))
-    heavy = heaviest_clusters(rows, k, cluster, weight)
+    """Weighted mean with each of the k clusters of largest contribution left out: range, largest share, flag (TST-3)."""
+    sums = contributions(rows, cluster, weight)
+    total = sums.agg(F.sum("w").alias("tw"), F.sum("wx").alias("twx"))
     tw, twx = total.select("tw").scalar(), total.select("twx").scalar()
     stat = F.try_divide(twx - F.col("wx"), tw - F.col("w"))
-    return heavy.agg(
-        F.min(stat).alias("min_stat"), F.max(stat).alias("max_stat"), F.max(F.col("w") / tw).alias("max_share"),
-        F.first(twx / tw).alias("stat"),
+    return sums.orderBy(F.col("wx").desc(), cluster).limit(k).agg(
+        F.min(stat).alias("min_stat"), F.max(stat).alias("max_stat"), F.coalesce(F.max(F.try_divide("wx", twx)), F.lit(0.0)).alias("max_share"),
+        F.first(F.try_divide(twx, tw)).alias("stat"),
     ).withColumn("flagged", F.col("max_share") > 0.10)
 
 
 def drop_top_share(rows: DataFrame, share: float, cluster: str = "cluster", weight: str = "weight") -> DataFrame:
-    """Weighted mean after dropping the ceil(share·clusters) heaviest clusters (TST-4).
+    """Weighted mean after dropping the ceil(share·clusters) clusters of largest contribution (TST-4).
 
-    The cut weight comes from bucketed ranks over cluster weights; ties at the
-    cut are broken by cluster id, again by buckets.
+    At least one is dropped and one must remain. Of equal contributions at the
+    cut the smaller cluster ids go first; ranks come from range partitions, so
+    no task holds all clusters, equal ones included.
     """
-    sums = rows.groupBy(cluster).agg(F.sum(weight).alias("w"), F.sum(F.col(weight) * F.col("x")).alias("wx"))
-    ranks = value_ranks(sums, [], "w", descending=True).withColumnRenamed("n", "n_tied")
-    n_drop = sums.agg(F.ceil(F.count(F.lit(1)) * share).alias("n")).scalar()
-    rows = sums.join(ranks, "w")
-    cut = F.col("n_below") + F.col("n_tied") > n_drop
-    sure = rows.filter(cut & (F.col("n_below") >= n_drop))
-    tied = rows.filter(cut & (F.col("n_below") < n_drop))
-    # Keep the last (n_below + n_tied - n_drop) of the tied clusters, ordered by id.
-    order = Window.partitionBy("w").orderBy(F.col(cluster).desc())
-    kept = tied.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= F.col("n_below") + F.col("n_tied") - n_drop).drop("__r")
-    both = sure.unionByName(kept)
-    return both.agg(F.count(F.lit(1)).alias("n_clusters"), F.try_divide(F.sum("wx"), F.sum("w")).alias("stat"))
+    ranked = ordered_rank(contributions(rows, cluster, weight), [F.col("wx").desc(), F.col(cluster).asc()], "__rank")
+    n = ranked.count()
+    n_drop = max(1, math.ceil(share * n))
+    if n_drop >= n:
+        raise ValueError(f"dropping {n_drop} of {n} clusters would leave none")
+    return ranked.filter(F.col("__rank") > n_drop).agg(
+        F.count(F.lit(1)).alias("n_clusters"), F.try_divide(F.sum("wx"), F.sum("w")).alias("stat")
+    )
 
 
 def author_capped_weights(rows: DataFrame, k: int, author: str = "author") -> DataFrame:

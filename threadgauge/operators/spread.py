@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadgauge.functions.hashing import HASH_BITS
+from threadgauge.session import cut_lineage
 
 BUCKET_BITS = 8
 ALL = "__all"
@@ -89,6 +90,20 @@ def take_by_hash(
     )
 
 
+def ordered_rank(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """1-based rank of every row in a total order.
+
+    Rows are dealt to range partitions and written; a small table of rows per
+    partition gives offsets, and rows are numbered inside their partition.
+    """
+    dealt = cut_lineage(df.repartitionByRange(*order).withColumn("__b", F.spark_partition_id()))
+    dealt, keys = _keyed(dealt, [])
+    offsets = _offsets(dealt, keys, F.count(F.lit(1))).select("__b", "__off")
+    inside = Window.partitionBy("__b").orderBy(*order)
+    ranked = dealt.withColumn("__r", F.row_number().over(inside)).join(offsets, "__b")
+    return ranked.withColumn(name, (F.col("__r") + F.col("__off")).cast("bigint")).drop("__b", "__r", "__off", ALL)
+
+
 def value_bounds(df: DataFrame, value: str, buckets: int) -> list[float]:
     """Cut points from approximate quantiles; only the cut points reach the driver."""
     probs = [i / buckets for i in range(1, buckets)]

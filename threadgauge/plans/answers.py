@@ -94,7 +94,7 @@ def _(t: Tables):
  FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents)""")
 def _(t: Tables):
     docs = t.documents.select(F.col("doc_id").alias("comment_id"), "text")
-    out = an.score_items(docs, "r1", "screen@1", "firsthand_problem", an.keyword_scorer)
+    out = an.score_items(docs, "r1", "screen@1", "firsthand_problem", an.keyword_scorer())
     return out.select("comment_id", "run_id", "question_set", "qtype", F.round("noul", 9).alias("noul"))
 
 
@@ -158,12 +158,14 @@ def _(t: Tables):
 
 
 @plan("ans_15_taxonomy_problems", """SELECT 'statement_too_long' AS problem, CAST(p_partkey AS VARCHAR) AS key FROM part WHERE len(regexp_split_to_array(p_name || ' ' || p_type, '\\s+')) > 2
- UNION ALL SELECT 'unknown_group', CAST(p_partkey AS VARCHAR) FROM part WHERE p_brand = 'Brand#7' UNION ALL SELECT 'bad_status', CAST(p_partkey AS VARCHAR) FROM part WHERE p_size = 1
- UNION ALL SELECT 'group_too_large', p_brand FROM part GROUP BY p_brand HAVING count(*) > 254""")
+ UNION ALL SELECT 'unknown_group', CAST(p_partkey AS VARCHAR) FROM part WHERE p_brand = 'Brand#7' UNION ALL SELECT 'bad_status', CAST(p_partkey AS VARCHAR) FROM part WHERE p_size IN (1, 4)
+ UNION ALL SELECT 'unknown_merge_target', CAST(p_partkey AS VARCHAR) FROM part WHERE p_size = 2
+ UNION ALL SELECT 'too_many_groups', CAST(count(DISTINCT p_brand) AS VARCHAR) FROM part WHERE p_brand <> 'Brand#7' HAVING count(DISTINCT p_brand) > 20
+ UNION ALL SELECT 'group_too_large', p_brand FROM part WHERE p_size > 4 GROUP BY p_brand HAVING count(*) > 70""")
 def _(t: Tables):
-    rows = t.part.select(F.col("p_partkey").cast("string").alias("card_id"), F.col("p_brand").alias("group_id"), F.concat_ws(" ", "p_name", "p_type").alias("statement"), F.expr("if(p_size = 1, 'odd', 'draft')").alias("status"))
+    rows = t.part.select(F.col("p_partkey").cast("string").alias("card_id"), F.col("p_brand").alias("group_id"), F.concat_ws(" ", "p_name", "p_type").alias("statement"), F.expr("case p_size when 1 then 'odd' when 2 then 'merged_into:none' when 3 then 'draft' when 4 then 'merged_into:' else 'approved' end").alias("status"))
     groups = t.part.select(F.col("p_brand").alias("group_id"), F.col("p_brand").alias("group_label")).distinct().filter("group_id <> 'Brand#7'")
-    return an.taxonomy_problems(rows, groups, statement_words=2)
+    return an.taxonomy_problems(rows, groups, statement_words=2, most_groups=20, most_cards=70)
 
 
 @plan("ans_16_changed_cards", """SELECT CAST(p_partkey AS VARCHAR) AS card_id, p_brand AS group_id, p_name AS statement, 'approved' AS status FROM part WHERE p_size % 10 = 0""")
@@ -224,9 +226,10 @@ def _(t: Tables):
 TOP2 = """top2 AS (SELECT 'c' || lpad(CAST((o_orderkey * 7 + o_custkey) % 25 AS VARCHAR), 2, '0') AS first, 'c' || lpad(CAST((o_orderkey * o_custkey) % 25 AS VARCHAR), 2, '0') AS second FROM orders)"""
 
 
-@plan("ans_21_merge_pairs", f"""WITH {CARDS}, {TOP2}, n AS (SELECT least(first, second) AS card_a, greatest(first, second) AS card_b, count(*) AS n FROM top2 WHERE first <> second GROUP BY ALL HAVING count(*) >= 40)
- SELECT a.card_id AS card_a, b.card_id AS card_b FROM cards a JOIN cards b ON a.group_id = b.group_id AND a.card_id < b.card_id
- UNION ALL SELECT card_a, card_b FROM n JOIN cards a ON a.card_id = card_a JOIN cards b ON b.card_id = card_b WHERE a.group_id <> b.group_id""")
+@plan("ans_21_merge_pairs", f"""WITH RECURSIVE {CARDS}, {FINAL}, {TOP2}, act AS (SELECT * FROM cards WHERE status = 'approved'), r AS (SELECT x.final_id AS first, y.final_id AS second FROM top2 JOIN final x ON x.card_id = first JOIN final y ON y.card_id = second),
+ n AS (SELECT least(first, second) AS card_a, greatest(first, second) AS card_b, count(*) AS n FROM r WHERE first <> second GROUP BY ALL HAVING count(*) >= 40)
+ SELECT a.card_id AS card_a, b.card_id AS card_b FROM act a JOIN act b ON a.group_id = b.group_id AND a.card_id < b.card_id
+ UNION ALL SELECT card_a, card_b FROM n JOIN act a ON a.card_id = card_a JOIN act b ON b.card_id = card_b WHERE a.group_id <> b.group_id""")
 def _(t: Tables):
     top = t.orders.select(F.format_string("c%02d", F.expr("(o_orderkey * 7 + o_custkey) % 25")).alias("first"), F.format_string("c%02d", F.expr("(o_orderkey * o_custkey) % 25")).alias("second"))
     return an.merge_pairs(cards(t), top, 40)

@@ -444,15 +444,15 @@ def _(t: Tables):
     return out.select("id", F.round("p_adj", 9).alias("p_adj"), "rejected")
 
 
-HEAVY = f"{CODED}, hc AS (SELECT cluster, sum(weight) AS w, sum(weight * card_p) AS wx FROM coded GROUP BY 1), hk AS (SELECT *, (SELECT sum(w) FROM hc) AS tw, (SELECT sum(wx) FROM hc) AS twx FROM hc ORDER BY w DESC, cluster LIMIT 10)"
+HEAVY = f"{CODED}, hc AS (SELECT cluster, coalesce(sum(weight), 0) AS w, coalesce(sum(weight * card_p), 0) AS wx FROM coded GROUP BY 1), hk AS (SELECT *, (SELECT sum(w) FROM hc) AS tw, (SELECT sum(wx) FROM hc) AS twx FROM hc ORDER BY wx DESC, cluster LIMIT 10)"
 
 
-@plan("tst_03_leave_one_out", f"WITH {HEAVY} SELECT round(min((twx - wx) / (tw - w)), 6) AS min_stat, round(max((twx - wx) / (tw - w)), 6) AS max_stat, round(max(w / tw), 6) AS max_share, round(any_value(twx / tw), 6) AS stat, max(w / tw) > 1e-1 AS flagged FROM hk")
+@plan("tst_03_leave_one_out", f"WITH {HEAVY} SELECT round(min((twx - wx) / (tw - w)), 6) AS min_stat, round(max((twx - wx) / (tw - w)), 6) AS max_stat, round(max(wx / twx), 6) AS max_share, round(any_value(twx / tw), 6) AS stat, max(wx / twx) > 1e-1 AS flagged FROM hk")
 def _(t: Tables):
     return rounded(rb.leave_one_out(coded(t).withColumn("x", F.col("card_p"))), "min_stat", "max_stat", "max_share", "stat")
 
 
-@plan("tst_04_drop_top_share", f"WITH {HEAVY}, k AS (SELECT *, row_number() OVER (ORDER BY w DESC, cluster) AS r, ceil(count(*) OVER () * 0.03::DOUBLE) AS d FROM hc) SELECT count(*) AS n_clusters, round(sum(wx) / sum(w), 6) AS stat FROM k WHERE r > d")
+@plan("tst_04_drop_top_share", f"WITH {HEAVY}, k AS (SELECT *, row_number() OVER (ORDER BY wx DESC, cluster) AS r, ceil(count(*) OVER () * 0.03::DOUBLE) AS d FROM hc) SELECT count(*) AS n_clusters, round(sum(wx) / sum(w), 6) AS stat FROM k WHERE r > d")
 def _(t: Tables):
     return rounded(rb.drop_top_share(coded(t).withColumn("x", F.col("card_p")), 0.03), "stat")
 
