@@ -53,8 +53,8 @@ def select_problems(assignments: DataFrame, final: DataFrame | None = None, top_
     return rows.join(keep.select("card_id"), "card_id", "left_semi").select("comment_id", "card_id")
 
 
-def reply_items(pairs: DataFrame, sentences: DataFrame, cap: int = TEXT_CAP) -> DataFrame:
-    """Runner items with capped text; problems without a sentence are skipped (REP-3)."""
+def reply_items(pairs: DataFrame, sentences: DataFrame, cap: int) -> DataFrame:
+    """Runner items with the first ``cap`` characters of the text, a rule of the scorer's input; problems without a sentence are skipped (REP-3)."""
     rows = pairs.join(sentences.select(F.col("comment_id").alias("problem_id"), "pain_sentence"), "problem_id")
     return rows.filter("pain_sentence IS NOT NULL").select(
         "reply_id", "problem_id", "kind", "time", F.substring("text", 1, cap).alias("text"), "pain_sentence"
@@ -159,11 +159,11 @@ def collect_mentions(problems: DataFrame, pairs: DataFrame, tools: DataFrame) ->
     )
 
 
-def confirm_items(mentions: DataFrame, pairs: DataFrame, sentences: DataFrame) -> DataFrame:
-    """One item per reply-side hit (MEN-2)."""
+def confirm_items(mentions: DataFrame, pairs: DataFrame, sentences: DataFrame, cap: int) -> DataFrame:
+    """One item per reply-side hit with the first ``cap`` characters of its text, a rule of the scorer's input (MEN-2)."""
     rows = mentions.filter("kind <> 'problem'").join(pairs.select(F.col("reply_id").alias("comment_id"), "text"), "comment_id")
     rows = rows.join(sentences.select(F.col("comment_id").alias("problem_id"), "pain_sentence"), "problem_id")
-    return rows.select("hit_id", F.col("comment_id").alias("reply_id"), "problem_id", "tool", F.substring("text", 1, TEXT_CAP).alias("text"), "pain_sentence")
+    return rows.select("hit_id", F.col("comment_id").alias("reply_id"), "problem_id", "tool", F.substring("text", 1, cap).alias("text"), "pain_sentence")
 
 
 def confirmed_hits(answers: DataFrame, cut: float = 0.5) -> DataFrame:

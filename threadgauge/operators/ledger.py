@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadgauge.operators.spread import bounded_rows, exact_quantiles, require_empty, value_ranks
+from threadgauge.operators.spread import exact_quantiles, ordered_rank, require_empty, value_ranks
 
 CALL = ["run_id", "logical_call_id", "attempt"]
 
@@ -17,9 +17,6 @@ def every():
     return Window.partitionBy()
 
 
-MAX_BALANCES = 10_000
-
-
 def unresolved_pending(rows: DataFrame) -> DataFrame:
     """Pending rows without a final row for the same call and attempt (LED-1)."""
     final = rows.filter("cost_class <> 'pending'").select(*CALL)
@@ -120,16 +117,17 @@ def run_rows(rows: DataFrame, phases: DataFrame, check: bool = True) -> DataFram
 def reconcile(balances: DataFrame, rows: DataFrame, worst_usd: float, epsilon: float = 0.005) -> DataFrame:
     """Consecutive balances against ledger spend in (start, end] (LED-6).
 
-    Balance records are few (checked); a ledger row finds its interval by the
-    number of balance times before it, without a range join.
+    Balance and spend times are ranked together: the number of balances before a
+    time is its interval, found without a range join or a collected list.
     """
-    times = sorted(r[0] for r in bounded_rows(balances.select("at").distinct(), MAX_BALANCES, "balances"))
-    before = F.size(F.filter(F.array(*[F.lit(x) for x in times]), lambda x: x < F.col("at_s")))
-    net = network_rows(rows).withColumn("at_s", F.coalesce("ended_s", "started_s")).withColumn("i", before)
-    spent = net.groupBy("i").agg(_usd().alias("calculated"), _unknown().alias("unknown_attempts"))
-    order = Window.orderBy("at")  # one row per balance record
-    steps = balances.withColumn("i", F.row_number().over(order)).withColumn("end", F.lead("at").over(order)).withColumn("next_usd", F.lead("usd").over(order))
-    out = steps.filter("end IS NOT NULL").join(spent, "i", "left").fillna(0.0, ["calculated"]).fillna(0, ["unknown_attempts"])
+    net = network_rows(rows).withColumn("at", F.coalesce("ended_s", "started_s").cast("double"))
+    spent = net.groupBy("at").agg(_usd().alias("calculated"), _unknown().alias("unknown_attempts"))
+    times = balances.select(F.col("at").cast("double").alias("at"), F.lit(1).alias("i")).unionByName(spent.select("at", F.lit(0).alias("i")))
+    before = value_ranks(times, [], "at", sums=["i"]).select("at", F.col("i_below").alias("i"))
+    spent = spent.join(before, "at").groupBy("i").agg(F.sum("calculated").alias("calculated"), F.sum("unknown_attempts").alias("unknown_attempts"))
+    steps = ordered_rank(balances, [F.col("at").asc(), F.col("usd").desc()], "i")
+    after = steps.select((F.col("i") - 1).alias("i"), F.col("at").alias("end"), F.col("usd").alias("next_usd"))
+    out = steps.join(after, "i").join(spent, "i", "left").fillna(0.0, ["calculated"]).fillna(0, ["unknown_attempts"])
     delta = F.col("usd") - F.col("next_usd")
     diff = delta - F.col("calculated")
     worst = F.col("unknown_attempts") * F.lit(worst_usd)

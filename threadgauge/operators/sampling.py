@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadgauge.functions import text as tx
-from threadgauge.functions.hashing import half_split, hash60, unit_interval
+from threadgauge.functions.hashing import HASH_BITS, half_split, hash60, unit_interval
 from threadgauge.operators import allocate as al
 from threadgauge.operators.spread import exact_quantiles, hash_rank, require_empty, take_by_hash
 from threadgauge.session import cut_lineage
@@ -143,18 +143,26 @@ def subsample(parent: DataFrame, n: int, seed: int) -> DataFrame:
     )
 
 
-def simple_sample(rows: DataFrame, n: int, seed: int, key: str = "comment_id") -> DataFrame:
-    """n rows by keyed hash, all when the table is smaller (SMP-21).
+def _quota(rows: DataFrame, n: int) -> DataFrame:
+    return rows.sparkSession.range(1).select(F.lit(n).cast("bigint").alias("n_take"))
 
-    An ordered limit keeps n rows per task before the merge.
-    """
-    return rows.orderBy(hash60(seed, F.col(key)), key).limit(n)
+
+def simple_sample(rows: DataFrame, n: int, seed: int, key: str = "comment_id") -> DataFrame:
+    """n rows by keyed hash, all when the table is smaller (SMP-21)."""
+    return take_by_hash(rows, [], hash60(seed, F.col(key)), [key], _quota(rows, n)).drop("draw_rank")
 
 
 def pps_sample(pool: DataFrame, n: int, seed: int, key: str = "comment_id", weight: str = "weight") -> DataFrame:
-    """Successive draws proportional to weight, by exponential keys (SMP-22)."""
-    clock = -F.log(unit_interval(seed, F.col(key))) / F.col(weight)
-    return pool.withColumn("clock", clock).orderBy("clock", key).limit(n)
+    """Successive draws proportional to weight, by exponential keys (SMP-22).
+
+    The clock is mapped to hash buckets in its own order, so the first n are
+    found like any other draw; about half of the buckets lie below the n-th.
+    """
+    pool = pool.withColumn("clock", -F.log(unit_interval(seed, F.col(key))) / F.col(weight))
+    near = pool.agg(F.lit(float(n)) / F.sum(weight)).scalar()
+    place = F.lit(1.0) - F.try_divide(near, near + F.col("clock"))
+    draw = F.least(F.floor(place * float(1 << HASH_BITS)), F.lit((1 << HASH_BITS) - 1))
+    return take_by_hash(pool, [], draw, ["clock", key], _quota(pool, n)).drop("draw_rank")
 
 
 def launch_sample(launches: DataFrame, n: int, seed: int, key: str = "story_id") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,13 +72,13 @@ def missing_parents(items: DataFrame) -> DataFrame:
     return wanted.join(items.select("id"), "id", "left_anti")
 
 
-def resolve_roots(items: DataFrame, max_rounds: int | None = None) -> DataFrame:
+def resolve_roots(items: DataFrame) -> DataFrame:
     """(id, story_id, depth) for every comment, null where unresolved (SNP-6).
 
     Pointer doubling: each round replaces a pointer by its target's pointer, so
     a thread of depth d needs log2(d) rounds. Chains that meet a missing item, a
-    non-comment non-root or a cycle never point at a root. Finished and dead
-    chains leave the loop; each round starts from a checkpointed table.
+    non-comment non-root or a cycle never point at a root. Only open chains are
+    written again in a round; what is finished or dead stays as it was written.
     """
     comments = items.filter("type = 'comment'").select("id", F.col("parent_id").alias("nxt"))
     kinds = items.select(
@@ -88,15 +88,16 @@ def resolve_roots(items: DataFrame, max_rounds: int | None = None) -> DataFrame:
     state = hot_lookup(comments, kinds, "nxt").select(
         "id", "nxt", F.lit(1).alias("dist"), F.coalesce("st", F.lit("dead")).alias("st")
     )
-    state = cut_lineage(state)
-    still = state.filter("st = 'open'").count()
-    limit = math.ceil(math.log2(max(still, 1))) + 2 if max_rounds is None else max_rounds
-    table = state
-    for _ in range(limit):
-        if still == 0:
+    settled, active = [], cut_lineage(state)
+    still = active.count()
+    for _ in range(still.bit_length() + 2):
+        settled.append(active.filter("st <> 'open'"))
+        active = active.filter("st = 'open'")
+        before, still = still, active.count()
+        # Open chains always lose members; if none did, only cycles are left.
+        if still == 0 or (still == before and len(settled) > 1):
             break
-        active = table.filter("st = 'open'")
-        target = table.select(
+        target = reduce(DataFrame.unionByName, settled, active).select(
             F.col("id").alias("nxt"), F.col("nxt").alias("nxt2"), F.col("dist").alias("dist2"), F.col("st").alias("st2")
         )
         # A comment answered by a third of all rows is one hot key here; the target
@@ -105,10 +106,8 @@ def resolve_roots(items: DataFrame, max_rounds: int | None = None) -> DataFrame:
             "id", F.col("nxt2").alias("nxt"), (F.col("dist") + F.col("dist2")).alias("dist"),
             F.coalesce("st2", F.lit("dead")).alias("st"),
         )
-        table = cut_lineage(moved.unionByName(table.filter("st <> 'open'")))
-        before, still = still, table.filter("st = 'open'").count()
-        if still == before:  # only cycles are left: open chains always lose members
-            break
+        active = cut_lineage(moved)
+    table = reduce(DataFrame.unionByName, settled, active.filter("st = 'open'"))
     root = F.col("st") == "root"
     return table.select(
         "id", F.when(root, F.col("nxt")).alias("story_id"), F.when(root, F.col("dist")).cast("smallint").alias("depth")
@@ -144,7 +143,7 @@ def comments_table(items: DataFrame, roots: DataFrame, start: int, end: int) ->
         F.col("id").alias("story_id"), tx.thread_type(F.col("type"), F.col("title")).alias("thread_type")
     )
     rows = items.filter("type = 'comment'").join(roots, "id")
-    rows = rows.join(types, "story_id", "left")  # a hot story is split by the adaptive skew join
+    rows = hot_lookup(rows, types, "story_id")
     time = F.col("time")
     reason = exclusion_reason(F.col("type"), time, F.col("state"), F.col("text_norm"), F.col("lang"), start, end)
     return rows.select(

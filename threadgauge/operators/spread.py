@@ -186,14 +186,15 @@ def hot_lookup(left: DataFrame, right: DataFrame, key: str, share: int = 512) ->
 
     Keys holding more than 1/``share`` of the left rows number fewer than
     ``share``; their right rows are sent to every task. The other keys shuffle.
+    Rows without a key match nothing and stay where they are.
     """
     counts = left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
     total = counts.agg(F.sum("__n")).scalar()
     hot = counts.filter(F.col("__n") * F.lit(share) > total).select(key, F.lit(True).alias("__hot"))
     tagged = left.join(F.broadcast(hot), key, "left")
     hot_right = F.broadcast(right.join(F.broadcast(hot.select(key)), key, "left_semi"))
-    on_hot = tagged.filter("__hot").join(hot_right, key, "left")
-    on_rest = tagged.filter("__hot IS NULL").join(right, key, "left")
+    on_hot = tagged.filter(F.col("__hot") | F.col(key).isNull()).join(hot_right, key, "left")
+    on_rest = tagged.filter(F.col("__hot").isNull() & F.col(key).isNotNull()).join(right, key, "left")
     return on_hot.unionByName(on_rest).drop("__hot")
 
 

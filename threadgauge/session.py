@@ -34,17 +34,27 @@ def local_session(cores: int = 8, **extra: str) -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors see: ``spark.checkpoint.dir``, or the context's checkpoint folder.
 
-    ``spark.checkpoint.dir`` (a shared folder) wins; only when neither it nor a
-    directory on the context is set, as in tests, is a local folder used.
+    Only a single-machine session (``local`` master, as in tests) gets a
+    temporary folder when neither is set; on a cluster that is an error.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if context.master != "local" and not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="threadgauge-"))
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="threadgauge-ckpt-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -55,7 +65,5 @@ def pin_session(spark: SparkSession) -> SparkSession:
 
 
 def new_home(spark: SparkSession) -> str:
-    """A new folder for written results, in the shared folder when the cluster names one."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    root = named or tempfile.mkdtemp(prefix="threadgauge-out-")
-    return f"{root}/out-{uuid.uuid4().hex}"
+    """A new folder for written results, below the shared folder."""
+    return f"{shared_folder(spark)}/out-{uuid.uuid4().hex}"

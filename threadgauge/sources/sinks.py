@@ -53,10 +53,15 @@ def publish(tables: dict[str, DataFrame], root: str, gates: Sequence[Callable[[s
         written = spark.read.parquet(f"{stage}/{name}")
         for gate in gates:
             require_empty(gate(name, written), f"gate failed for {name}")
-    fs.delete(hadoop.Path(old), True)
-    if fs.exists(hadoop.Path(live)):
-        fs.rename(hadoop.Path(live), hadoop.Path(old))
-    fs.rename(hadoop.Path(stage), hadoop.Path(live))
+    if fs.exists(hadoop.Path(old)) and not fs.delete(hadoop.Path(old), True):
+        raise OSError(f"cannot remove {old}")
+    present = fs.exists(hadoop.Path(live))
+    if present and not fs.rename(hadoop.Path(live), hadoop.Path(old)):
+        raise OSError(f"cannot move {live} aside")
+    if not fs.rename(hadoop.Path(stage), hadoop.Path(live)):
+        if present:
+            fs.rename(hadoop.Path(old), hadoop.Path(live))
+        raise OSError(f"cannot publish {stage} as {live}")
 
 
 def bounded_listing(rows: DataFrame, most: int = 300) -> DataFrame:
