@@ -171,10 +171,11 @@ def streamed_calls(t: Tables):
 
 @plan("str_02_pending_resolution", """WITH e AS (SELECT 'run' || CAST(user_id % 10 AS VARCHAR) AS run_id, event_id // 3 AS logical_call_id, event_id % 3 + 1 AS attempt, ts, event_type FROM events),
  w AS (SELECT least(max(ts), max(ts + INTERVAL 5 MINUTE) FILTER (event_type <> 'purchase')) - INTERVAL 10 MINUTE AS wm FROM e)
- SELECT run_id, logical_call_id, attempt, CASE event_type WHEN 'purchase' THEN 'unknown' WHEN 'error' THEN 'unknown' ELSE 'calculated' END AS cost_class FROM e, w WHERE event_type <> 'purchase' OR ts + INTERVAL 1 HOUR < wm""")
+ SELECT run_id, logical_call_id, attempt, CASE WHEN event_type = 'purchase' AND ts + INTERVAL 1 HOUR >= wm THEN 'pending' WHEN event_type IN ('purchase', 'error') THEN 'unknown' ELSE 'calculated' END AS cost_class FROM e, w""")
 def _(t: Tables):
     pending, final = streamed_calls(t)
-    out = jobs.drain(jobs.pending_resolution(pending, final), "append")
+    made = t.events.selectExpr("concat('run', user_id % 10) as run_id", "event_id div 3 as logical_call_id", "event_id % 3 + 1 as attempt", "cast(ts as timestamp) as ts")
+    out = jobs.with_open_calls(jobs.drain(jobs.pending_resolution(pending, final), "append"), made)
     return out.select("run_id", "logical_call_id", "attempt", "cost_class")
 
 
@@ -185,11 +186,13 @@ def _(t: Tables):
 
 
 @plan("str_04_period_counts", """WITH b AS (SELECT TIMESTAMP '2024-01-01' + to_seconds(CAST(floor(epoch(ts - TIMESTAMP '2024-01-01') / 216000) AS BIGINT) * 216000) AS period_start, event_type, (SELECT max(ts) FROM events) - INTERVAL 1 DAY AS wm FROM events)
- SELECT period_start, event_type, count(*) AS n FROM b WHERE period_start + INTERVAL 60 HOUR <= wm GROUP BY ALL""")
+ SELECT period_start, event_type, count(*) AS n, period_start + INTERVAL 60 HOUR <= wm AS closed FROM b GROUP BY ALL""")
 def _(t: Tables):
     rows = stream(t).withColumn("ts", F.col("ts").cast("timestamp"))
-    out = jobs.drain(jobs.period_counts(rows, "2024-01-01", 216_000), "append")
-    return out.select(F.col("period_start").cast("timestamp_ntz").alias("period_start"), "event_type", "n")
+    closed = jobs.drain(jobs.period_counts(rows, "2024-01-01", 216_000), "append")
+    counts = jobs.period_counts(t.events.withColumn("ts", F.col("ts").cast("timestamp")), "2024-01-01", 216_000)
+    out = jobs.with_open_periods(closed, counts)
+    return out.select(F.col("period_start").cast("timestamp_ntz").alias("period_start"), "event_type", "n", "closed")
 
 
 @plan("str_05_unique_requests", "SELECT DISTINCT CAST(user_id AS VARCHAR) || ':' || event_type AS request_key FROM events")

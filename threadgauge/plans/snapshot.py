@@ -95,10 +95,15 @@ def _(t: Tables):
 
 
 @plan("src_08_taxonomy_table", """SELECT 'c' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS card_id, 'g' || CAST(n_regionkey AS VARCHAR) AS group_id,
- r_name AS group_label, n_name AS statement, 'approved' AS status, n_used FROM nation JOIN region ON r_regionkey = n_regionkey
+ r_name AS group_label, n_name AS statement, 'v3' AS taxonomy_version, 'approved' AS status, CAST(NULL AS VARCHAR) AS author, CAST(NULL AS VARCHAR) AS created_at, n_used FROM nation JOIN region ON r_regionkey = n_regionkey
  JOIN (SELECT c_nationkey, count(*) AS n_used FROM customer GROUP BY ALL) ON c_nationkey = n_nationkey""")
 def _(t: Tables):
-    cards = readers.taxonomy(t.nation, t.region)
+    rows = t.nation.select(
+        F.format_string("c%02d", "n_nationkey").alias("card_id"), F.concat(F.lit("g"), F.col("n_regionkey")).alias("group_id"),
+        F.col("n_name").alias("statement"), F.lit("approved").alias("status"),
+    )
+    groups = t.region.select(F.concat(F.lit("g"), F.col("r_regionkey")).alias("group_id"), F.col("r_name").alias("group_label"))
+    cards = readers.taxonomy(rows, groups, "v3")
     used = t.customer.groupBy("c_nationkey").agg(F.count("*").alias("n_used"))
     key = F.substring("card_id", 2, 2).cast("int")
     return cards.join(used, key == F.col("c_nationkey")).drop("c_nationkey")
@@ -355,6 +360,15 @@ def _(t: Tables):
     return sn.normalize_items(readers.raw_records(t.spark, folder)).select("id", "type", "state", "text_sha256")
 
 
+@plan("src_05_answer_part_files", f"""{with_roles('answers')} SELECT comment_id, question_id, noul, part, seq FROM answers
+ QUALIFY row_number() OVER (PARTITION BY comment_id, question_id ORDER BY part DESC, seq DESC) = 1""")
+def _(t: Tables):
+    rows, folder = t.role("answers").select("comment_id", "question_id", "noul", "part", "seq"), scratch(t)
+    for n in range(7):
+        rows.filter(F.col("part") == n).drop("part").write.parquet(f"{folder}/part-{n}.parquet")
+    return readers.answer_parts(t.spark, f"{folder}/part-*.parquet", ["seq"])
+
+
 @plan("src_07_dimension", "SELECT p_brand AS name, count(*) AS n FROM part GROUP BY 1")
 def _(t: Tables):
     path = f"{scratch(t)}/brands.csv"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadgauge.operators.spread import latest_by
-from threadgauge.schemas import RAW_ITEM, conform
+from threadgauge.schemas import CARDS, RAW_ITEM, conform
 
 
 def raw_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -34,11 +34,11 @@ def union_by_name(first: DataFrame, *rest: DataFrame) -> DataFrame:
     return out
 
 
-def answer_parts(spark: SparkSession, path: str) -> DataFrame:
-    """``part-<n>.parquet`` files; the highest part wins per (comment, question) (SRC-5)."""
-    part = F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1).cast("bigint")
+def answer_parts(spark: SparkSession, path: str, then: Sequence[str] = ()) -> DataFrame:
+    """``part-<n>.parquet`` files; the highest part wins per (comment, question), ties by ``then`` (SRC-5)."""
+    part = F.regexp_extract(F.input_file_name(), r"part-(\d+)\.parquet", 1).cast("bigint")
     rows = spark.read.parquet(path).withColumn("part", part)
-    return latest_by(rows, ["comment_id", "question_id"], ["part"])
+    return latest_by(rows, ["comment_id", "question_id"], ["part", *then])
 
 
 def later_line_wins(rows: DataFrame, key: str, line: str) -> DataFrame:
@@ -53,10 +53,10 @@ def dimension(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     return conform(rows, ddl)
 
 
-def taxonomy(cards: DataFrame, groups: DataFrame) -> DataFrame:
-    """Every card with its group's label (SRC-8); nation and region play the two levels."""
-    return cards.join(groups, cards.n_regionkey == groups.r_regionkey).select(
-        F.concat(F.lit("c"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0")).alias("card_id"),
-        F.concat(F.lit("g"), F.col("n_regionkey").cast("string")).alias("group_id"),
-        F.col("r_name").alias("group_label"), F.col("n_name").alias("statement"), F.lit("approved").alias("status"),
-    )
+def taxonomy(cards: DataFrame, groups: DataFrame, version: str) -> DataFrame:
+    """CARDS rows: every card with its group's label and the version (SRC-8). Author and time may be missing."""
+    rows = cards.join(groups.select("group_id", "group_label"), "group_id").withColumn("taxonomy_version", F.lit(version))
+    for name in ("author", "created_at"):
+        if name not in cards.columns:
+            rows = rows.withColumn(name, F.lit(None).cast("string"))
+    return conform(rows, CARDS)

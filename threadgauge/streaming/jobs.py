@@ -82,6 +82,13 @@ def pending_resolution(pending: DataFrame, final: DataFrame, delay: str = "10 mi
     )
 
 
+def with_open_calls(resolved: DataFrame, pending: DataFrame) -> DataFrame:
+    """A drained resolution and the calls it still waits for, as ``pending`` (STR-2)."""
+    keys = ["run_id", "logical_call_id", "attempt"]
+    rest = pending.select(*keys, F.col("ts").alias("pending_ts")).join(resolved.select(*keys), keys, "left_anti")
+    return resolved.select(*rest.columns, "cost_class").unionByName(rest.withColumn("cost_class", F.lit("pending")))
+
+
 def latest_label(labels: DataFrame) -> DataFrame:
     """Last label per (comment, question) kept as streaming state (STR-3)."""
     return labels.groupBy("comment_id", "question_id").agg(F.max_by("value", "seq").alias("value"), F.max("seq").alias("seq"))
@@ -96,6 +103,13 @@ def period_counts(events: DataFrame, start: str, period_seconds: int, delay: str
     )
 
 
+def with_open_periods(closed: DataFrame, counts: DataFrame) -> DataFrame:
+    """Drained periods and those the watermark has not closed yet, from a batch count of the same log (STR-4)."""
+    keys = ["period_start", "event_type"]
+    rest = counts.join(closed.select(*keys), keys, "left_anti").select(*keys, "n", F.lit(False).alias("closed"))
+    return closed.select(*keys, "n", F.lit(True).alias("closed")).unionByName(rest)
+
+
 def unique_requests(requests: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Work list without repeats inside the watermark; the checkpoint makes it resumable (STR-5)."""
     return requests.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["request_key"])
