@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from threadgauge.llm import exact, simhash
+from threadgauge.llm import exact, nearcopies, simhash
 from threadgauge.llm.components import components
 
 SCHEMA = "doc_id bigint, text string, fp string, label int"
@@ -139,3 +139,51 @@ def test_keep_first_keeps_columns_and_one_of_equal_rows(spark):
     kept = exact.keep_first(spark.createDataFrame(rows, SCHEMA), exact.DigestIndex(spark))
     assert kept.columns == ["doc_id", "text", "fp", "label"]
     assert sorted(r["doc_id"] for r in kept.collect()) == [3, 4]
+
+
+def slow_near_copies(rows, least=0.8):
+    sets = []
+    for _, text in rows:
+        words = (text or "").encode().lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= least * len(a | b):
+                parent[find(i)] = find(j)
+    kept = {}
+    for i, (d, _) in enumerate(rows):
+        c = find(i)
+        kept[c] = d if kept.get(c) is None else kept[c] if d is None else min(kept[c], d)
+    return kept.values()
+
+
+@pytest.mark.parametrize("block", [nearcopies.BLOCK, 300])
+def test_pipeline_drops_near_copies_with_a_few_edited_words(spark, monkeypatch, block):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(400)]
+    rows = [r for r in corpus() if r[0] != 907]
+    for i in range(12):
+        base = [rng.choice(words) for _ in range(rng.randint(60, 300))]
+        for k in range(6):
+            text = base[:]
+            for _ in range(k * len(text) // 150):
+                text[rng.randrange(len(text))] = rng.choice(words)
+            rows.append((2000 + 10 * i + k, " ".join(text)))
+    rows.append((3000, "long " * 30000 + "text"))
+    docs = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], SCHEMA)
+    monkeypatch.setattr(nearcopies.keep_one, "__defaults__", (*nearcopies.keep_one.__defaults__[:-1], block))
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    want = sorted(map(str, slow_near_copies(rows)))
+    assert kept.columns == docs.columns
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == want
+    assert simhash.keep_one(docs).count() > len(want)
+    assert nearcopies.keep_one(docs.limit(0)).count() == 0
