@@ -78,6 +78,23 @@ def test_languages(spark):
     assert langid.identify(spark.createDataFrame([], DOCS)).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+def test_letter_noise_and_unlearned_scripts_go(spark):
+    rng = random.Random(21)
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text", "lang")
+    noise = {}
+    for alphabet in ("abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщыэюя", "αβγδεζηθικλμνξοπρστυφχψω"):
+        for n in (20, 50, 300) * 10:
+            noise[1_000_000 + len(noise)] = " ".join("".join(rng.choice(alphabet) for _ in range(rng.randint(2, 9))) for _ in range(n))
+    clean = [r for r in docs.orderBy("doc_id").collect() if r["text"] and r["lang"] and len(r["text"].split()) >= 60][:200]
+    short = {2_000_000 + i: " ".join(r["text"].split()[20:40]) for i, r in enumerate(clean)}
+    extra = spark.createDataFrame([(i, t, None) for i, t in [*noise.items(), *short.items()]], docs.schema)
+    kept = {r["doc_id"] for r in langid.keep_identified(docs.union(extra)).select("doc_id").collect()}
+    assert len(kept & set(noise)) <= 0.02 * len(noise)
+    assert len(kept & set(short)) >= 0.97 * len(short)
+    assert len(kept & {r["doc_id"] for r in clean}) >= 0.98 * len(clean)
+
+
 def test_profile_of_long_text_is_the_sum_of_its_ngrams(monkeypatch):
     text = "abc défg hij " * 40
     whole = langid.profiles([text])

@@ -25,7 +25,11 @@ DIMENSIONS = 512
 GRAM = 3
 PER_LANGUAGE = 1500
 UNDETERMINED = "und"
-LEAST = 0.02
+# Dimensions where texts are turned away: noise of a cosine has a standard deviation of 1 / sqrt(dimensions).
+FILTER_DIMENSIONS = 2048
+NOISE = 3.3
+SHARE = 1 / 3
+_CUTS = tuple(1 << k for k in range(3, 15))
 _CHARS_AT_ONCE = 1 << 19
 
 
@@ -69,7 +73,7 @@ def _bundle(parts: list[tuple[int, np.ndarray]], out: np.ndarray, gram: int) ->
     owner = np.concatenate(owners)
     rows, local = np.unique(owner, return_inverse=True)
     dimensions = out.shape[1]
-    width = 4096
+    width = max(1, 4096 * DIMENSIONS // dimensions)
     for at in range(0, len(found), width):
         some = found[at : at + width]
         bound = np.ones((len(some), dimensions), dtype=np.int8)
@@ -190,15 +194,95 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     )
 
 
+def _length_class(text: str | None, gram: int) -> int:
+    """Number of binary digits of the number of n-grams."""
+    return max(len(_codes(text or "")) - gram + 1, 0).bit_length()
+
+
+def _cut_cosines(batches: Iterator[pa.RecordBatch], model: dict[str, np.ndarray], gram: int) -> Iterator[pa.RecordBatch]:
+    sole("languages", int)
+    for batch in batches:
+        for at in range(0, len(batch), 16):
+            part = batch.slice(at, 16)
+            cuts, owners = [], []
+            for text, lang in zip(part.column("text").to_pylist(), part.column("lang").to_pylist(), strict=True):
+                if lang in model:
+                    mine = [text[:c] for c in _CUTS if c < len(text)] + [text]
+                    cuts += mine
+                    owners += [lang] * len(mine)
+            found = profiles(cuts, len(next(iter(model.values()))), gram)
+            norm = np.linalg.norm(found, axis=1)
+            cosine = [float(v @ model[k] / n) if n > 0 else 0.0 for v, k, n in zip(found, owners, norm, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([_length_class(c, gram) for c in cuts], pa.int32()), pa.array(cosine, pa.float64())], ["class", "cosine"]
+            )
+
+
+def thresholds(
+    docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+    per_language: int = PER_LANGUAGE, gram: int = GRAM,
+) -> dict[int, float]:
+    """For each length class the least cosine of a text of a learned language.
+
+    Held-out documents, about ``per_language`` of each language, are cut to many
+    lengths; the threshold is a third of the median cosine with their own
+    language, which junk among them hardly moves, and at least ``NOISE`` standard
+    deviations of noise.
+    """
+    if not model:
+        return {}
+    known = docs.select(
+        F.col(id_col).cast("bigint").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")
+    ).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & held_out("doc_id", 4, 2))
+    shares = {r["lang"]: per_language / r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not shares:
+        return {}
+    share = F.create_map(*[F.lit(x) for pair in sorted(shares.items()) for x in pair])[F.col("lang")]
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) / F.lit(1 << 31)
+    cosines = known.filter(draw < share).select("lang", "text").mapInArrow(partial(_cut_cosines, model=model, gram=gram), "class int, cosine double")
+    noise = NOISE / np.sqrt(len(next(iter(model.values()))))
+    medians = cosines.groupBy("class").agg(F.percentile_approx("cosine", 0.5, 10000).alias("m")).collect()
+    return {r["class"]: max(float(noise), SHARE * r["m"]) for r in medians}
+
+
+def accepted(text: Column, model: dict[str, np.ndarray], least: dict[int, float], gram: int = GRAM) -> Column:
+    """Whether the best cosine reaches the threshold of the text's length class; a class not in ``least`` takes the one below."""
+    matrix = np.stack(list(model.values())) if model else np.zeros((0, FILTER_DIMENSIONS), dtype=np.float32)
+    noise = float(NOISE / np.sqrt(matrix.shape[1]))
+    steps = np.full(64, noise)
+    for k in range(1, 64):
+        steps[k] = least.get(k, steps[k - 1])
+
+    @pandas_udf("boolean")
+    def of(texts: pd.Series) -> pd.Series:
+        sole("languages", int)  # lets go of what an earlier operator remembered
+        out: list[bool] = []
+        for at in range(0, len(texts), 256):
+            part = texts.iloc[at : at + 256].tolist()
+            found = profiles(part, matrix.shape[1], gram)
+            norm = np.linalg.norm(found, axis=1)
+            if not len(matrix):
+                out += [False] * len(part)
+                continue
+            best = (found @ matrix.T).max(axis=1) / np.where(norm > 0, norm, 1)
+            out += ((norm > 0) & (best >= steps[[_length_class(t, gram) for t in part]])).tolist()
+        return pd.Series(out, dtype=bool)
+
+    return of(text)
+
+
 def keep_identified(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = LEAST, **options: int
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float | None = None,
+    per_language: int = PER_LANGUAGE, dimensions: int = FILTER_DIMENSIONS, gram: int = GRAM,
 ) -> DataFrame:
-    """The rows of ``docs`` whose text is of some learned language with a cosine of at least ``least``, with their columns.
+    """The rows of ``docs`` whose text is like some learned language, with their columns.
 
-    ``least`` is far below what a text of a learned language reaches; it turns
-    away texts without letters and letters in no language's order.
+    The cosine has to reach the threshold for the text's length (see
+    ``thresholds``), or ``least`` for all lengths if given. Texts without letters,
+    in other scripts or of letters in no language's order go; texts of a few
+    words lie close to noise, so some of either kind fall on the wrong side.
     """
     name = free_name(docs, "__language")
-    model = train(docs, id_col, text_col, lang_col, **options)
-    found = docs.withColumn(name, predict(F.col(text_col), model))
-    return found.filter((F.col(f"{name}.lang") != UNDETERMINED) & (F.col(f"{name}.score") >= least)).drop(name)
+    model = train(docs, id_col, text_col, lang_col, per_language, dimensions, gram)
+    limits = thresholds(docs, model, id_col, text_col, lang_col, per_language, gram) if least is None else dict.fromkeys(range(64), least)
+    return docs.withColumn(name, accepted(F.col(text_col), model, limits, gram)).filter(name).drop(name)
