@@ -120,6 +120,14 @@ def test_main_text(page, text):
     assert mainpage.main_text(page or "") == text
 
 
+def test_path_ratios_decide_beside_landmarks():
+    long = "A long sentence of the main text, with marks, and with more of it. " * 4
+    page = f"<body><div>{f'<p>{long}</p>' * 6}</div><article><p>Small teaser.</p></article></body>"
+    assert mainpage.main_text(page).count("A long sentence") == 24
+    page = f"<body><article><p>{long * 4}</p></article><article><p>{long}</p></article><article><p>{long}</p></article></body>"
+    assert mainpage.main_text(page).count("A long sentence") == 24
+
+
 def test_extract_table(spark):
     rows = [(1, "u", "<p>a</p>", 1), (1, "u", "<p>a</p>", 1), (None, None, None, 1)]
     got = mainpage.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string, text int")).collect()

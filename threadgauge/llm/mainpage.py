@@ -5,8 +5,9 @@ figures: characters per node and punctuation per node. Both are smoothed over
 neighbouring nodes in page order and multiplied. Paths at or above a share of
 the page's spread of that product are content. Paths through a tag, role, class
 or id that names a menu, header, footer, advert, form or comments are never
-content. All other paths inside one article or main element share one figure,
-the sum of its paths, and elements far below the page's largest are left out.
+content. Paths are always chosen by their figure. An article or main element is
+a further weight: its paths count at least as its mean block, times the share
+of the page that it holds, so a small teaser lifts nothing.
 """
 
 from __future__ import annotations
@@ -166,7 +167,6 @@ def main_text(page: str, share: float = SHARE) -> str:
     may = [i for i, b in enumerate(found) if b[2]]
     if not may:
         return ""
-    marked = [i for i in may if found[i][3] >= 0]
     paths = {p: k for k, p in enumerate(dict.fromkeys(found[i][0] for i in may))}
     own = np.array([paths[found[i][0]] for i in may])
     chars = np.array([len(found[i][1]) for i in may], dtype=float)
@@ -179,14 +179,14 @@ def main_text(page: str, share: float = SHARE) -> str:
         ratios.append(np.convolve(padded, SMOOTH, mode="valid"))
     fused = ratios[0] * ratios[1]
     by_path = np.bincount(own, fused) / per
-    if marked:
-        # All paths of a landmark share one figure: what the landmark holds is kept or left out together.
-        owner = np.array([found[i][3] for i in may])
-        total = {k: fused[owner == k].sum() for k in set(owner.tolist()) if k >= 0}
-        best = max(total.values())
-        return " ".join(found[i][1] for i in marked if total[found[i][3]] >= share * best)
+    by_block = by_path[own]
+    owner = np.array([found[i][3] for i in may])
+    for k in set(owner[owner >= 0].tolist()):
+        inside = owner == k
+        weight = fused[inside].sum() / fused.sum() * fused[inside].mean()
+        by_block[inside] = np.maximum(by_block[inside], weight)
     limit = min(share * fused.std(), by_path.max())
-    return " ".join(found[i][1] for i, k in zip(may, own, strict=True) if by_path[k] >= limit)
+    return " ".join(found[i][1] for i, figure in zip(may, by_block, strict=True) if figure >= limit)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
