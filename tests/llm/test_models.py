@@ -128,6 +128,20 @@ def test_path_ratios_decide_beside_landmarks():
     assert mainpage.main_text(page).count("A long sentence") == 24
 
 
+@pytest.mark.parametrize("names", [
+    "class='content with-sidebar'", "class='layout has-sidebar'", "class='main no-comments'", "class='post share-enabled'", "id='article-header-and-body'", "class='sidebar'",
+])
+def test_names_of_wrappers_keep_the_text(names):
+    text = "The main text of this page, with marks. And more of it, too."
+    assert mainpage.main_text(f"<body><div {names}><p>{text}</p></div></body>") == text
+
+
+@pytest.mark.parametrize("name", ["ad", "site-header", "comments-list", "sidebarInner", "cookie_notice", "reader-comments", "nav-wrapper-2"])
+def test_named_parts_go(name):
+    text = "The main text of this page, with marks. And more of it, too."
+    assert mainpage.main_text(f"<body><div><p>{text}</p></div><div class='x {name}'><p>{text} Or not.</p></div></body>") == text
+
+
 def test_extract_table(spark):
     rows = [(1, "u", "<p>a</p>", 1), (1, "u", "<p>a</p>", 1), (None, None, None, 1)]
     got = mainpage.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string, text int")).collect()

@@ -57,12 +57,27 @@ PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：]")
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAMES = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+# Words that qualify a part's name, and endings that only say that it is a box.
+QUALIFIERS = frozenset("with has no without is not and or hide show".split())
+BOXES = frozenset("wrapper wrap container inner outer list item items box area section block bar links link panel group row form menu".split())
 SMOOTH = np.array([0.1, 0.2, 0.4, 0.2, 0.1])
 SHARE = 0.5
 
 
-def _unwanted(tag: str, attributes: str) -> bool:
-    """Whether a tag or its names mark a part of the page that is no content."""
+def _names_part(token: str) -> bool:
+    """Whether a class or id, whole or by its last word (endings for boxes aside), is the name of a part of the page."""
+    if token.lower() in NAMED:
+        return True
+    words = [w for w in (p.lower() for p in _PART.findall(token)) if not w.isdigit()]
+    if not QUALIFIERS.isdisjoint(words):
+        return False
+    while len(words) > 1 and words[-1] in BOXES and words[-1] not in NAMED:
+        words.pop()
+    return bool(words) and words[-1] in NAMED
+
+
+def _unwanted(tag: str, attributes: str, named: bool = True) -> bool:
+    """Whether a tag or (if ``named``) its names mark a part of the page that is no content."""
     if tag in UNSEEN:
         return True
     if not attributes or tag in ("html", "body"):
@@ -73,15 +88,16 @@ def _unwanted(tag: str, attributes: str) -> bool:
             return True
         if name == "role" and value.lower() in ROLES:
             return True
-        if name in ("class", "id"):
-            words = [p.lower() for p in _PART.findall(value)]
-            if any(w in NAMED for w in words):
-                return True
+        if named and name in ("class", "id") and any(map(_names_part, value.split())):
+            return True
     return False
 
 
-def blocks(page: str) -> list[tuple[str, str, bool, int]]:
-    """(path of block tags, text, whether it may be content, number of its outermost landmark or -1) of each block in page order."""
+def blocks(page: str, named: bool = True) -> list[tuple[str, str, bool, int]]:
+    """(path of block tags, text, whether it may be content, number of its outermost landmark or -1) of each block in page order.
+
+    Without ``named`` classes and ids rule nothing out.
+    """
     out: list[tuple[str, str, bool, int]] = []
     stack: list[tuple[str, bool]] = []  # block tag, unwanted from here on
     marks: list[int] = []
@@ -144,7 +160,7 @@ def blocks(page: str) -> list[tuple[str, str, bool, int]]:
             if tag == "hr":
                 flush()
             continue
-        unwanted = _unwanted(tag, m.group(3) or "")
+        unwanted = _unwanted(tag, m.group(3) or "", named)
         if tag in INLINE and not unwanted:
             continue
         flush()
@@ -165,6 +181,10 @@ def main_text(page: str, share: float = SHARE) -> str:
     """The content blocks of a page in order, joined by one space; empty if there are none."""
     found = blocks(page)
     may = [i for i, b in enumerate(found) if b[2]]
+    if not may:
+        # Names that leave nothing are wrong about this page.
+        found = blocks(page, named=False)
+        may = [i for i, b in enumerate(found) if b[2]]
     if not may:
         return ""
     paths = {p: k for k, p in enumerate(dict.fromkeys(found[i][0] for i in may))}
