@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadgauge.llm import archive, bpe, exact, frames, langid, mainpage, packing, simhash, toxicity, vptree
+from threadgauge.llm import archive, bpe, divergence, exact, frames, langid, mainpage, negatives, packing, simhash, toxicity, vptree, whitening
 from threadgauge.llm.common import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +71,19 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(table(spark, folder, "documents"))
 
 
+def op11_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.quality(table(spark, folder, "documents"))
+
+
+def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, moved)
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -98,6 +111,27 @@ SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
 FROM t JOIN m USING (h)
 """
 
+OP13_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x
+  FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = len(embedding)
+),
+s AS (
+  SELECT a.vec_id AS anchor_id, a.label AS anchor_label, c.vec_id, c.label, CAST(list_inner_product(a.x, c.x) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id AND a.label IS NOT NULL AND c.label IS NOT NULL
+),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE label = anchor_label
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE label <> anchor_label AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_bpe_round_trip": op2_bpe_round_trip,
@@ -109,7 +143,10 @@ QUERIES: dict[str, Query] = {
     "op8_nearest_vectors": op8_nearest_vectors,
     "op9_warc_archive": op9_warc_archive,
     "op10_language_id": op10_language_id,
+    "op11_quality_rules": op11_quality_rules,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_hard_negatives": op13_hard_negatives,
     "pipeline": pipeline,
 }
 
-SQL: dict[str, str] = {"op5_exact_dedup": OP5_SQL, "op9_warc_archive": OP9_SQL}
+SQL: dict[str, str] = {"op5_exact_dedup": OP5_SQL, "op9_warc_archive": OP9_SQL, "op13_hard_negatives": OP13_SQL}
