@@ -1,30 +1,35 @@
 """Stratified cluster bootstrap as Spark jobs (EST-1, EST-2).
 
 Rows collapse to (stratum, cluster) units first. A stratum with m units gets m
-draws per replicate. Units are laid out in blocks of a few thousand; draws are
-first counted per block (multinomial over equal slots) and then placed inside
-the block, which together is exactly multinomial(m, 1/m). No draw is shuffled to
-a unit: a block and its draw counts meet in one task, and only replicate totals
-leave it. A stratum of any size is spread over its blocks.
+draws per replicate. Units are laid out in blocks of a few thousand. How many
+draws of a replicate fall into a block follows from a tree of binomial splits of
+the stratum's blocks: each node deals its draws over its two halves, keyed by
+seed and node, so every block finds its own numbers by walking from the root, and
+together they are exactly multinomial(m, 1/m). No draw is a row: a task holds one
+block and only its replicate totals leave it. A stratum of any size spreads over
+its blocks, and a replicate costs a walk of logarithmic length per block.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import partial
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadgauge.functions.hashing import hash32, hash60
+from threadgauge.functions.hashing import hash60
 from threadgauge.operators.spread import hash_rank
 from threadgauge.session import cut_lineage
 
 BLOCK = 4096
-SLICE = 65_536
+REPLICATES = 2000
 POINT = -1
+# Cells of a task's working arrays: replicates go through a block in pieces of this size.
+CELLS = 1 << 21
 # Fixed values of the draw stream: golden-ratio step and a 27-bit mixing factor.
 STEP = 2654435769
 MIX = 73244475
@@ -39,72 +44,78 @@ def collapse(rows: DataFrame, values: Sequence[str], entity: Sequence[str] = (),
     ).agg(*[F.sum(F.col(v).cast("double")).alias(v) for v in values])
 
 
-def _mixed(x: Column) -> Column:
-    """One round of the 32-bit mixing function, in plain integer arithmetic."""
-    return (F.shiftright(x, 16).bitwiseXOR(x) * F.lit(MIX)) % F.lit(WORD + 1)
+def split_counts(seed: int, stratum: str, number: int, m: int, n_rep: int, block: int = BLOCK, fewer: int = 0) -> np.ndarray:
+    """Draws of each replicate in block ``number`` of a stratum of ``m`` units.
 
-
-def _block_counts(sizes: DataFrame, n_rep: int, seed: int, block: int, fewer: int) -> DataFrame:
-    """(stratum, b, rep, n): draws that fall into each block of each stratum."""
-    reps = F.explode(F.sequence(F.lit(0), F.lit(n_rep - 1))).alias("rep")
-    small = sizes.filter(F.col("m") <= block).select("stratum", F.lit(0).cast("bigint").alias("b"), reps, (F.col("m") - fewer).alias("n"))
-    big = sizes.filter(F.col("m") > block)
-    slices = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("m") - 1 - fewer) / SLICE))).alias("s")
-    # A few rows here stand for very many draws: fix the task count, since the
-    # adaptive planner would merge tasks that look small.
-    session = sizes.sparkSession
-    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
-    spread = big.select("stratum", "m", reps).select("*", slices).repartition(tasks, "stratum", "rep", "s")
-    first = F.col("s") * SLICE
-    last = F.least(first + SLICE, F.col("m") - fewer) - 1
-    base = hash32(seed, "block", F.col("rep"), F.col("stratum"), F.col("s")).alias("base")
-    steps = F.explode(F.sequence(F.lit(0).cast("bigint"), last - first)).alias("j")
-    drawn = spread.select("stratum", "m", "rep", base, steps)
-    x = _mixed(_mixed((F.col("base") + F.col("j") * F.lit(STEP)) % F.lit(WORD + 1)))
-    drawn = drawn.select("stratum", "m", "rep", F.shiftright(x, 16).bitwiseXOR(x).alias("v"))
-    at = F.floor(F.col("v").cast("double") * F.col("m") / F.lit(float(WORD + 1)))
-    counted = drawn.groupBy("stratum", F.floor(at / block).alias("b"), "rep").agg(F.count(F.lit(1)).alias("n"))
-    return small.unionByName(counted)
-
-
-def _inside(seed: int, entity: list[str], values: list[str]):
-    """Replicate totals of one block: draw counts times unit sums."""
-
-    def total(key, units: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
-        stratum, block = key
-        if units.empty:
-            return pd.DataFrame({"rep": [], **{c: [] for c in entity + values}})
-        size = int(units["mb"].iloc[0])
-        if entity:
-            cells = units[entity].drop_duplicates().reset_index(drop=True)
-            code = units[entity].merge(cells.reset_index(), on=entity, how="left")["index"].to_numpy()
-        else:
-            cells, code = pd.DataFrame(index=[0]), np.zeros(len(units), dtype=np.int64)
-        width = len(values)
-        sums = np.zeros((size, len(cells) * width))
-        for j, v in enumerate(values):
-            sums[units["slot"].to_numpy(), code * width + j] = units[v].to_numpy(dtype=float)
-        reps = [POINT, *counts["rep"].tolist()]
-        mult = np.ones((len(reps), size))
-        for i, (rep, n) in enumerate(zip(counts["rep"], counts["n"], strict=True), start=1):
-            digest = hashlib.md5(f"{seed}|{rep}|{stratum}|{block}".encode()).hexdigest()
-            x = (np.uint64(int(digest[:8], 16)) + np.arange(n, dtype=np.uint64) * np.uint64(STEP)) & np.uint64(WORD)
-            for _ in range(2):
-                x = (((x >> np.uint64(16)) ^ x) * np.uint64(MIX)) & np.uint64(WORD)
-            x = (x >> np.uint64(16)) ^ x
-            mult[i] = np.bincount((x % np.uint64(size)).astype(np.int64), minlength=size)
-        out = (mult @ sums).reshape(len(reps) * len(cells), width)
-        frame = pd.DataFrame(out, columns=values)
-        frame.insert(0, "rep", np.repeat(np.array(reps, dtype=np.int32), len(cells)))
+    All blocks below a node repeat the same draw for it, so the numbers of a
+    replicate add up to m - fewer. More replicates do not change the first ones.
+    """
+    n = np.full(n_rep, max(m - fewer, 0), dtype=np.int64)
+    low, high = 0, -(-m // block)
+    while high - low > 1:
+        middle = (low + high) // 2
+        share = (middle - low) * block / (min(high * block, m) - low * block)
+        key = int(hashlib.md5(f"{seed}|split|{stratum}|{low}|{high}".encode()).hexdigest(), 16)
+        left = np.random.Generator(np.random.Philox(key=key)).binomial(n, share)
+        n, low, high = (left, low, middle) if number < middle else (n - left, middle, high)
+    return n
+
+
+def slot_counts(seed: int, stratum: str, number: int, size: int, reps: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """(replicates x slots): how often each slot of a block is drawn when ``n`` draws fall into it."""
+    if not len(reps) or not n.any():
+        return np.zeros((len(reps), size))
+    base = np.array([int(hashlib.md5(f"{seed}|{r}|{stratum}|{number}".encode()).hexdigest()[:8], 16) for r in reps.tolist()], dtype=np.uint64)
+    word, draw = np.uint64(WORD), np.arange(n.max(), dtype=np.uint64)
+    x = (base[:, None] + draw * np.uint64(STEP)) & word
+    for _ in range(2):
+        x = (((x >> np.uint64(16)) ^ x) * np.uint64(MIX)) & word
+    x = ((x >> np.uint64(16)) ^ x) % np.uint64(size)
+    place = x.astype(np.int64) + np.arange(len(reps))[:, None] * size
+    drawn = place.ravel() if n.min() == n.max() else place[draw < n[:, None].astype(np.uint64)]
+    return np.bincount(drawn, minlength=len(reps) * size).reshape(len(reps), size).astype(np.float64)
+
+
+def _block_totals(units: pd.DataFrame, entity: list[str], values: list[str], n_rep: int, seed: int, block: int, fewer: int) -> Iterator[pd.DataFrame]:
+    """Replicate totals per entity of one block, some replicates at a time."""
+    stratum, number, size, m = (units[c].iloc[0] for c in ("stratum", "b", "mb", "m"))
+    code = units.groupby(entity, dropna=False, sort=False).ngroup().to_numpy() if entity else np.zeros(len(units), dtype=np.int64)
+    order = np.argsort(code, kind="stable")
+    starts = np.flatnonzero(np.r_[True, np.diff(code[order]) > 0])
+    cells = units[entity].iloc[order[starts]].reset_index(drop=True)
+    slots, amounts = units["slot"].to_numpy()[order], [units[v].to_numpy(dtype=float)[order] for v in values]
+    n = split_counts(seed, stratum, int(number), int(m), n_rep, block, fewer)
+    at_once = max(1, CELLS // max(int(size), len(units), int(n.max(initial=0))))
+    for first in range(-1, n_rep, at_once):
+        reps = np.arange(first, min(first + at_once, n_rep))
+        drawn = slot_counts(seed, stratum, int(number), int(size), reps[reps >= 0], n[reps[reps >= 0]])
+        if first < 0:
+            drawn = np.concatenate([np.ones((1, int(size))), drawn])
+        taken = drawn[:, slots]
+        out = pd.DataFrame({"rep": np.repeat(reps.astype(np.int32), len(cells))})
         for c in entity:
-            frame[c] = np.tile(cells[c].to_numpy(dtype=object), len(reps))
-        return frame[["rep", *entity, *values]]
-
-    return total
+            out[c] = np.tile(cells[c].to_numpy(dtype=object), len(reps))
+        for v, amount in zip(values, amounts, strict=True):
+            out[v] = np.add.reduceat(taken * amount, starts, axis=1).ravel()
+        yield out
+
+
+def _blocks(frames: Iterator[pd.DataFrame], **options: object) -> Iterator[pd.DataFrame]:
+    """Totals of each block of a partition sorted by block; only the open block is held."""
+    held: list[pd.DataFrame] = []
+    for frame in frames:
+        new = frame["stratum"].ne(frame["stratum"].shift()) | frame["b"].ne(frame["b"].shift())
+        for _, part in frame.groupby(new.cumsum(), sort=False):
+            if held and (held[-1]["stratum"].iloc[0], held[-1]["b"].iloc[0]) != (part["stratum"].iloc[0], part["b"].iloc[0]):
+                yield from _block_totals(pd.concat(held, ignore_index=True), **options)
+                held = []
+            held.append(part)
+    if held:
+        yield from _block_totals(pd.concat(held, ignore_index=True), **options)
 
 
 def resample(
-    rows: DataFrame, values: Sequence[str], entity: Sequence[str] = (), n_rep: int = 200, seed: int = 0,
+    rows: DataFrame, values: Sequence[str], entity: Sequence[str] = (), n_rep: int = REPLICATES, seed: int = 0,
     stratum: str = "stratum", cluster: str = "cluster", block: int = BLOCK, fewer: int = 0,
 ) -> DataFrame:
     """(rep, *entity, *values): replicate totals; rep -1 holds the plain totals (EST-2).
@@ -129,16 +140,17 @@ def resample(
     number = F.floor((F.col("pos") - 1) / block)
     placed = placed.join(sizes, "stratum").select(
         *ids.columns, number.alias("b"), ((F.col("pos") - 1) % block).alias("slot"),
-        F.least(F.lit(block), F.col("m") - number * block).alias("mb"),
+        F.least(F.lit(block), F.col("m") - number * block).alias("mb"), "m",
     )
     located = units.join(placed, ["stratum", "cluster"]) if entity else placed
-    counts = _block_counts(sizes, n_rep, seed, block, fewer)
-    counts = counts.select(F.col("stratum").alias("in_stratum"), F.col("b").alias("in_block"), "rep", "n")
     ddl = ", ".join(["rep int", *[f"{e} string" for e in entity], *[f"{v} double" for v in values]])
-    left = located.select("stratum", "b", "slot", "mb", *entity, *values)
-    blocks = left.groupBy("stratum", "b").cogroup(counts.groupBy("in_stratum", "in_block")).applyInPandas(
-        _inside(seed, entity, values), ddl
-    )
+    # A few rows here stand for very many draws: fix the task count, since the
+    # adaptive planner would merge tasks that look small.
+    session = rows.sparkSession
+    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
+    dealt = located.select("stratum", "b", "slot", "mb", "m", *entity, *values).repartition(tasks, "stratum", "b").sortWithinPartitions("stratum", "b")
+    work = partial(_blocks, entity=entity, values=values, n_rep=n_rep, seed=seed, block=block, fewer=fewer)
+    blocks = dealt.mapInPandas(work, ddl)
     return blocks.groupBy("rep", *entity).agg(*[F.sum(v).alias(v) for v in values])
 
 

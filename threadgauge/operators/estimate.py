@@ -6,17 +6,23 @@ Replicate tables hold replicates × entities rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
+from functools import partial
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadgauge.functions.hashing import hash60
 from threadgauge.operators.bootstrap import (
-    POINT, finite_ratio, interval, ratio_estimates, ratio_replicates, resample, share_replicates,
+    POINT, REPLICATES, finite_ratio, interval, ratio_estimates, ratio_replicates, resample, share_replicates,
 )
 from threadgauge.operators.robust import benjamini_hochberg, bootstrap_p
-from threadgauge.operators.spread import hash_rank
+
+# Draws or cells of a class that a simulation holds at once, and simulations of a card that are one row of work.
+DRAWN_AT_ONCE = 1 << 21
+SIMS_AT_ONCE = 25
 
 
 def every():
@@ -24,7 +30,7 @@ def every():
     return Window.partitionBy()
 
 
-def rao_wu(rows: DataFrame, n_rep: int = 200, seed: int = 0, min_hits: int = 30, **options) -> DataFrame:
+def rao_wu(rows: DataFrame, n_rep: int = REPLICATES, seed: int = 0, min_hits: int = 30, **options) -> DataFrame:
     """Weighted proportion with rescaled m-1 draws and sampling fractions (EST-5).
 
     ``rows``: y, weight, stratum, cluster, fraction (constant per stratum) and
@@ -64,7 +70,7 @@ def rao_wu(rows: DataFrame, n_rep: int = 200, seed: int = 0, min_hits: int = 30,
     )
 
 
-def ppi_replicates(rows: DataFrame, gold: DataFrame, by: Sequence[str] = (), lam: float | None = None, n_rep: int = 200, seed: int = 0, **options) -> DataFrame:
+def ppi_replicates(rows: DataFrame, gold: DataFrame, by: Sequence[str] = (), lam: float | None = None, n_rep: int = REPLICATES, seed: int = 0, **options) -> DataFrame:
     """(rep, *by, theta, lam, naive, gold_only): PPI++ means (EST-6).
 
     ``rows``: yhat, weight; ``gold``: y, yhat, weight, sel (selection
@@ -134,7 +140,7 @@ def panel_buckets(period: str = "period") -> Column:
     return F.when(inside, F.array(F.lit("all"), half, quarter, F.col(period))).otherwise(F.array(F.lit("all")))
 
 
-def domain_shares(rows: DataFrame, gold: DataFrame, min_gold: int = 10, min_n: int = 30, n_rep: int = 200, seed: int = 0) -> DataFrame:
+def domain_shares(rows: DataFrame, gold: DataFrame, min_gold: int = 10, min_n: int = 30, n_rep: int = REPLICATES, seed: int = 0) -> DataFrame:
     """Domain share among firsthand rows per period and overall (EST-9).
 
     The PPI ratio replaces the naive share where a period has enough gold
@@ -185,7 +191,7 @@ def difference(reps: DataFrame, first: str, second: str, keys: Sequence[str] = (
     )
 
 
-def taxonomy_shares(rows: DataFrame, levels: Sequence[str] = ("group_id", "card_id"), n_rep: int = 200, seed: int = 0) -> DataFrame:
+def taxonomy_shares(rows: DataFrame, levels: Sequence[str] = ("group_id", "card_id"), n_rep: int = REPLICATES, seed: int = 0) -> DataFrame:
     """Shares per population, level and bucket, and H2-H1 with adjusted p (EST-10)."""
     out = None
     for population, phases in (("pos", ["pos"]), ("pos+neg", ["pos", "neg"])):
@@ -211,7 +217,7 @@ def taxonomy_shares(rows: DataFrame, levels: Sequence[str] = ("group_id", "card_
     return out
 
 
-def share_panel(rows: DataFrame, level: str, n_rep: int = 200, seed: int = 0) -> DataFrame:
+def share_panel(rows: DataFrame, level: str, n_rep: int = REPLICATES, seed: int = 0) -> DataFrame:
     """Shares for all, halves, quarters and months with shared replicates (EST-11)."""
     reps = share_replicates(rows, level, panel_buckets(), n_rep=n_rep, seed=seed)
     return interval(reps, ["bucket", "id"], "share", n="n")
@@ -297,7 +303,7 @@ def chao_shen(counts: DataFrame, keys: Sequence[str], x: str = "x") -> DataFrame
     return rows.groupBy(*keys).agg((-F.sum(term)).alias("entropy"))
 
 
-def card_breadth(rows: DataFrame, n_rep: int = 200, seed: int = 0, sparse_below: int = 100) -> DataFrame:
+def card_breadth(rows: DataFrame, n_rep: int = REPLICATES, seed: int = 0, sparse_below: int = 100) -> DataFrame:
     """Entropy of the domain mix per card with interval (EST-16); each card resamples its own units."""
     strata = F.concat_ws("~", "card_id", F.col("stratum").cast("string"))
     flat = rows.filter("domain IS NOT NULL").select(strata.alias("stratum"), "cluster", "card_id", "domain", F.lit(1.0).alias("x"))
@@ -329,24 +335,54 @@ def top_cluster_shares(rows: DataFrame, cluster: str, k: int = 3) -> DataFrame:
     )
 
 
+def top_counts(rng: np.random.Generator, draws: int, cells: int, k: int) -> list[int]:
+    """The k largest counts when ``draws`` fall evenly on ``cells``; halves are dealt first while both numbers are large."""
+    if not draws:
+        return []
+    if min(draws, cells) > DRAWN_AT_ONCE:
+        half = cells // 2
+        left = int(rng.binomial(draws, half / cells))
+        return sorted(top_counts(rng, left, half, k) + top_counts(rng, draws - left, cells - half, k))[-k:]
+    if cells <= 4 * draws:
+        counts = rng.multinomial(draws, np.full(cells, 1 / cells)) if draws > DRAWN_AT_ONCE else np.bincount(rng.integers(0, cells, draws))
+    else:
+        counts = np.unique(rng.integers(0, cells, draws), return_counts=True)[1]
+    return np.sort(np.partition(counts, max(len(counts) - k, 0))[-k:]).tolist()
+
+
+def _null_shares(frames: Iterator[pd.DataFrame], sizes: np.ndarray, cells: np.ndarray, k: int, seed: int) -> Iterator[pd.DataFrame]:
+    share = sizes * cells / (sizes * cells).sum()
+    for frame in frames:
+        out = []
+        for card, n, first, last in frame[["card_id", "n", "first", "last"]].itertuples(index=False):
+            for sim in range(first, last):
+                key = int(hashlib.md5(f"{seed}|band|{card}|{sim}".encode()).hexdigest(), 16)
+                rng = np.random.Generator(np.random.Philox(key=key))
+                falls = rng.multinomial(n, share)
+                top = [c for i in np.flatnonzero(falls).tolist() for c in top_counts(rng, int(falls[i]), int(cells[i]), k)]
+                out.append((card, sum(sorted(top)[-k:]) / n))
+        yield pd.DataFrame(out, columns=["card_id", "s"])
+
+
 def null_band(rows: DataFrame, cluster: str, sims: int = 500, seed: int = 0, k: int = 3) -> DataFrame:
-    """2.5/97.5 percentiles of the top-k share if a card's n problems fell on clusters ∝ size (EST-17).
+    """2.5/97.5 percentiles of the top-k share if a card's n problems fell on clusters in proportion to their size (EST-17).
 
-    A cluster drawn in proportion to its size is the cluster of a uniformly drawn
-    row, so a draw is a row position; draws meet positions in one shuffle.
+    Clusters of one size are alike, so a simulation deals the n draws over the
+    classes of equal size and then evenly inside each class, and only the largest
+    counts are kept. No draw is a row: a task gets a card and a few simulations.
+    The classes (at most the root of twice the number of rows) go to every task.
     """
-    base = rows.filter(F.col(cluster).isNotNull()).select("comment_id", "card_id", F.col(cluster).alias("k"))
-    placed = hash_rank(base, [], hash60(seed, F.col("comment_id")), ["comment_id"], "pos").select("pos", "k")
-    total = base.agg(F.count(F.lit(1))).scalar()
-    numbered = hash_rank(base.select("card_id", "comment_id"), ["card_id"], hash60(seed, "n", F.col("comment_id")), ["comment_id"], "i")
-    draws = numbered.select("card_id", "i", F.explode(F.sequence(F.lit(0), F.lit(sims - 1))).alias("sim")).withColumn(
-        "pos", hash60(seed, "band", F.col("sim"), F.col("card_id"), F.col("i")) % total + 1
-    )
-    hits = draws.join(placed, "pos").groupBy("card_id", "sim", "k").agg(F.count(F.lit(1)).alias("c"))
-    order = Window.partitionBy("card_id", "sim").orderBy(F.col("c").desc(), "k")
-    top = hits.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).groupBy("card_id", "sim").agg(F.sum("c").alias("c"))
-    size = base.groupBy("card_id").agg(F.count(F.lit(1)).alias("n"))
-    shares = top.join(size, "card_id").withColumn("s", F.col("c") / F.col("n"))
+    base = rows.filter(F.col(cluster).isNotNull())
+    sized = base.groupBy(cluster).agg(F.count(F.lit(1)).alias("size")).groupBy("size").agg(F.count(F.lit(1)).alias("cells"))
+    classes = [(r["size"], r["cells"]) for r in sized.orderBy("size").collect()]
+    sizes, cells = (np.array([c[i] for c in classes], dtype=np.int64) for i in (0, 1))
+    first = F.explode(F.sequence(F.lit(0), F.lit(sims - 1), F.lit(SIMS_AT_ONCE))).alias("first")
+    todo = base.groupBy("card_id").agg(F.count(F.lit(1)).alias("n")).select(F.col("card_id").cast("string").alias("card_id"), "n", first)
+    todo = todo.withColumn("last", F.least(F.col("first") + SIMS_AT_ONCE, F.lit(sims)))
+    session = rows.sparkSession
+    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
+    work = partial(_null_shares, sizes=sizes, cells=cells, k=k, seed=seed)
+    shares = todo.repartition(tasks, "card_id", "first").mapInPandas(work, "card_id string, s double")
     q = F.percentile("s", F.array(F.lit(0.025), F.lit(0.975))).alias("q")
     return shares.groupBy("card_id").agg(q).select("card_id", F.col("q")[0].alias("null_lo"), F.col("q")[1].alias("null_hi"))
 
@@ -360,7 +396,7 @@ def concentration_flags(rows: DataFrame, min_n: int = 50, thread_bar: float = 0.
     return n.join(t, "card_id", "left").join(a, "card_id", "left").withColumn("flagged", F.when(F.col("n") >= min_n, over))
 
 
-def launch_shares(launches: DataFrame, complaints: DataFrame, n_rep: int = 200, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def launch_shares(launches: DataFrame, complaints: DataFrame, n_rep: int = 1000, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Launch share per card, match rate, and launch/complaint ratio on paired replicates (EST-18).
 
     ``launches``: story_id, period, weight, card_id (null when unmatched);
@@ -460,7 +496,7 @@ def rank_stability(reps: DataFrame, components: Sequence[str], weights: dict[str
     )
 
 
-def component_replicates(rows: DataFrame, shrink: DataFrame, severity_cut: float = 2.5, n_rep: int = 200, seed: int = 0) -> DataFrame:
+def component_replicates(rows: DataFrame, shrink: DataFrame, severity_cut: float = 2.5, n_rep: int = REPLICATES, seed: int = 0) -> DataFrame:
     """(rep, card_id, share, change, paid, severity3) on shared draws (EST-22)."""
     shares = share_replicates(rows, "card_id", half_buckets(), n_rep=n_rep, seed=seed)
     diff = difference(shares, "H1", "H2").join(shrink.select("id", "factor"), "id", "left")

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from threadgauge.functions import text as tx
 from threadgauge.operators.bootstrap import POINT, finite_ratio, interval, resample
 from threadgauge.operators.spread import latest_by, require_empty, value_ranks
+from threadgauge.session import cut_lineage
 
 MIN_JOIN_COVERAGE = 0.9
+CUTS = 64
 
 
 def _confusion(rows: DataFrame, said: Column, by: Sequence[str]) -> DataFrame:
@@ -63,25 +65,48 @@ def threshold_for_recall(rows: DataFrame, target: float) -> DataFrame:
     return ranks.agg(F.max(F.when(reached, F.col("score"))).alias("threshold"))
 
 
-def threshold_by_lower_bound(rows: DataFrame, target: float, alpha: float = 0.05, **options) -> DataFrame:
-    """Largest threshold whose one-sided bootstrap recall bound reaches the target (MET-3).
-
-    Positive weight is resampled per distinct score, then added up from the top
-    inside each replicate: a window holds the distinct scores of one replicate.
-    """
-    pos = rows.filter("y = 1").select("stratum", "cluster", F.col("score").alias("cut"), F.col("weight").alias("w"))
-    none = rows.filter("y <> 1").select("stratum", "cluster", F.lit(-1.0).alias("cut"), F.lit(0.0).alias("w"))
-    reps = resample(pos.unionByName(none), ["w"], ["cut"], **options).withColumn("cut", F.col("cut").cast("double")).filter("cut >= 0")
-    above = Window.partitionBy("rep").orderBy(F.col("cut").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    recall = finite_ratio(F.sum("w").over(above), F.sum("w").over(Window.partitionBy("rep")))
-    reps = reps.withColumn("recall", recall)
-    bounds = reps.groupBy("cut").agg(
+def _recall_bounds(pos: DataFrame, none: DataFrame, cuts: list[float], alpha: float, **options) -> list[tuple[float, float | None, float | None]]:
+    """(cut, lower bound, point) of the recall at each of a few rising cuts: scores fall into the gaps between them."""
+    gap = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("score")))
+    flat = pos.select("stratum", "cluster", gap.alias("gap"), "w").unionByName(none.withColumn("gap", F.lit(0)))
+    reps = resample(flat, ["w"], ["gap"], **options).withColumn("gap", F.col("gap").cast("int"))
+    above = Window.partitionBy("rep").orderBy(F.col("gap").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    reps = reps.withColumn("recall", finite_ratio(F.sum("w").over(above), F.sum("w").over(Window.partitionBy("rep"))))
+    found = reps.filter("gap > 0").groupBy("gap").agg(
         F.percentile(F.when(F.col("rep") >= 0, F.col("recall")), F.lit(alpha)).alias("lower"),
         F.max(F.when(F.col("rep") == POINT, F.col("recall"))).alias("point"),
-    ).filter(F.col("lower") >= target - 1e-12)
-    return bounds.agg(
-        F.max("cut").alias("threshold"), F.max_by("lower", "cut").alias("recall_lower_bound"), F.max_by("point", "cut").alias("point_recall")
     )
+    return [(cuts[r["gap"] - 1], r["lower"], r["point"]) for r in found.orderBy("gap").collect()]
+
+
+def threshold_by_lower_bound(rows: DataFrame, target: float, alpha: float = 0.05, cuts: int = CUTS, **options) -> DataFrame:
+    """Largest threshold whose one-sided bootstrap recall bound reaches the target (MET-3).
+
+    Recall falls as the threshold rises in every replicate, and so does its bound.
+    So a round asks for the bound at a few scores only and the next one looks
+    between the two neighbours where it crosses the target, on the same draws: the
+    result is that of all scores, while a replicate never has more than ``cuts``
+    rows. Nulls if no score reaches the target.
+    """
+    pos = cut_lineage(rows.filter("y = 1").select("stratum", "cluster", F.col("score").cast("double").alias("score"), F.col("weight").alias("w")))
+    none = rows.filter("y <> 1").select("stratum", "cluster", F.lit(0.0).alias("w"))
+    best, inside = (None, None, None), pos.filter("score IS NOT NULL")
+    while True:
+        values = [r[0] for r in inside.select("score").distinct().limit(cuts + 1).collect()]
+        if len(values) > cuts:
+            shares = F.array(*[F.lit((i + 0.5) / cuts) for i in range(cuts)])
+            values = inside.agg(F.percentile_approx("score", shares, 100 * cuts)).first()[0]
+        values = sorted(set(values))
+        if not values:
+            break
+        good = [b for b in _recall_bounds(pos, none, values, alpha, **options) if b[1] is not None and b[1] >= target - 1e-12]
+        over = [v for v in values if not good or v > good[-1][0]]
+        if good:
+            best = good[-1]
+            inside = inside.filter(F.col("score") > best[0])
+        inside = inside.filter(F.col("score") < over[0]) if over else inside
+    schema = "threshold double, recall_lower_bound double, point_recall double"
+    return rows.sparkSession.createDataFrame([best], schema)
 
 
 def reliability_bins(rows: DataFrame, bins: int = 10) -> DataFrame:

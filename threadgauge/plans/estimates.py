@@ -10,12 +10,13 @@ from threadgauge.operators import robust as rb
 from threadgauge.plans.registry import Tables, plan
 from threadgauge.plans.roles import cte, h32, h60
 
-R = 40
+R = 1000  # shares, tools and launches
+R_PPI = 2000
 PROBLEMS = f"problems AS ({cte('problems')})"
 
 
-def boot(name: str, src: str, keys: list[str], values: list[str], n_rep: int = R, seed: int = 0, block: int = bs.BLOCK, fewer: int = 0) -> str:
-    """CTEs giving ``<name>(rep, keys, values)`` from ``src(stratum, cluster, keys, values)``."""
+def boot(name: str, src: str, keys: list[str], values: list[str], n_rep: int = R, seed: int = 0, fewer: int = 0) -> str:
+    """CTEs giving ``<name>(rep, keys, values)`` from ``src(stratum, cluster, keys, values)``, strata of one block."""
     k = "".join(f"{c}, " for c in keys)
     p = name
 
@@ -25,14 +26,9 @@ def boot(name: str, src: str, keys: list[str], values: list[str], n_rep: int = R
     return f"""{p}_u AS (SELECT coalesce(CAST(stratum AS VARCHAR), '') AS stratum, coalesce(CAST(cluster AS VARCHAR), '') AS cluster, {k}{', '.join(f'sum({v})::DOUBLE AS {v}' for v in values)} FROM {src} GROUP BY ALL),
  {p}_ids AS (SELECT stratum, cluster, row_number() OVER (PARTITION BY stratum ORDER BY {h60(str(seed), 'stratum', 'cluster')}, cluster) - 1 AS pos FROM (SELECT DISTINCT stratum, cluster FROM {p}_u)),
  {p}_m AS (SELECT stratum, count(*) AS m FROM {p}_ids GROUP BY 1),
- {p}_d AS (SELECT stratum, m, rep, unnest(range(m - {fewer})) AS k FROM {p}_m, (SELECT unnest(range({n_rep})) AS rep)),
- {p}_e AS (SELECT stratum, m, rep, ({h32(str(seed), "'block'", 'rep', 'stratum', 'k // 65536')} + (k % 65536) * {bs.STEP}) % 4294967296 AS x0 FROM {p}_d WHERE m > {block}),
- {p}_f AS (SELECT stratum, m, rep, {mixed('x0')} AS x1 FROM {p}_e), {p}_o AS (SELECT stratum, m, rep, {mixed('x1')} AS x2 FROM {p}_f),
- {p}_n AS (SELECT stratum, m, rep, 0 AS b, m - {fewer} AS n FROM {p}_m, (SELECT unnest(range({n_rep})) AS rep) WHERE m <= {block} AND m > {fewer}
- UNION ALL SELECT stratum, m, rep, CAST(floor(CAST(xor(x2 >> 16, x2) AS DOUBLE) * m / 4294967296e0) AS BIGINT) // {block} AS b, count(*) AS n FROM {p}_o GROUP BY ALL),
- {p}_x AS (SELECT stratum, rep, b, least({block}, m - b * {block}) AS mb, ({h32(str(seed), 'rep', 'stratum', 'b')} + unnest(range(n)) * {bs.STEP}) % 4294967296 AS x0 FROM {p}_n),
- {p}_y AS (SELECT stratum, rep, b, mb, {mixed('x0')} AS x1 FROM {p}_x), {p}_z AS (SELECT stratum, rep, b, mb, {mixed('x1')} AS x2 FROM {p}_y),
- {p}_h AS (SELECT rep, stratum, b * {block} + xor(x2 >> 16, x2) % mb AS pos, count(*) AS c FROM {p}_z GROUP BY ALL),
+ {p}_x AS (SELECT stratum, rep, m, ({h32(str(seed), 'rep', 'stratum', '0')} + unnest(range(m - {fewer})) * {bs.STEP}) % 4294967296 AS x0 FROM {p}_m, (SELECT unnest(range({n_rep})) AS rep)),
+ {p}_y AS (SELECT stratum, rep, m, {mixed('x0')} AS x1 FROM {p}_x), {p}_z AS (SELECT stratum, rep, m, {mixed('x1')} AS x2 FROM {p}_y),
+ {p}_h AS (SELECT rep, stratum, xor(x2 >> 16, x2) % m AS pos, count(*) AS c FROM {p}_z GROUP BY ALL),
  {p}_s AS (SELECT rep, {k}{', '.join(f'sum(c * {v}) AS {v}' for v in values)} FROM (SELECT * FROM {p}_h JOIN {p}_ids USING (stratum, pos) JOIN {p}_u USING (stratum, cluster)) GROUP BY ALL),
  {p}_g AS (SELECT g.rep AS grep, {''.join(f'e.{c} AS g_{c}, ' for c in keys)}s.* FROM (SELECT unnest(range({n_rep})) AS rep) g CROSS JOIN (SELECT DISTINCT {k}1 AS one FROM {p}_u) e LEFT JOIN {p}_s s ON s.rep = g.rep{''.join(f' AND s.{c} IS NOT DISTINCT FROM e.{c}' for c in keys)}),
  {p} AS (SELECT grep AS rep, {''.join(f'g_{c} AS {c}, ' for c in keys)}{', '.join(f'coalesce({v}, 0) AS {v}' for v in values)} FROM {p}_g
@@ -78,14 +74,20 @@ def line(t: Tables):
     )
 
 
-@plan("est_02_cluster_bootstrap", f"WITH {LARGE}, {boot('b', 'line', [], ['q', 'o'], 20, 5)} SELECT rep, round(q, 4) AS q, round(o, 4) AS o FROM b")
+@plan("est_02_cluster_bootstrap", None)
 def _(t: Tables):
-    return rounded(bs.resample(line(t), ["q", "o"], n_rep=20, seed=5), "q", "o", digits=4)
+    return rounded(bs.resample(line(t), ["q", "o"], n_rep=R_PPI, seed=5), "q", "o", digits=4)
 
 
-@plan("est_02_bootstrap_many_blocks", f"WITH {CODED}, {boot('b', 'coded', ['phase'], ['weight'], 10, 6, 64)} SELECT rep, phase, round(weight, 4) AS weight FROM b")
+@plan("est_02_bootstrap_many_blocks", None)
 def _(t: Tables):
-    return rounded(bs.resample(coded(t), ["weight"], ["phase"], n_rep=10, seed=6, block=64), "weight", digits=4)
+    return rounded(bs.resample(coded(t), ["weight"], ["phase"], n_rep=R_PPI, seed=6, block=64), "weight", digits=4)
+
+
+@plan("est_02_draws_per_replicate", f"WITH {LARGE}, m AS (SELECT stratum, count(DISTINCT cluster) AS m FROM line GROUP BY 1) SELECT rep, stratum, CAST(m AS DOUBLE) AS units FROM m, (SELECT unnest(range(-1, {R_PPI})) AS rep)")
+def _(t: Tables):
+    units = line(t).select("stratum", "cluster").distinct().withColumn("units", F.lit(1.0))
+    return bs.resample(units, ["units"], ["stratum"], n_rep=R_PPI, seed=5, block=256)
 
 
 def ratio_sql(num: str, den: str, keys: list[str], src: str = "coded", within: bool = False, seed: int = 0, n_rep: int = R) -> str:
@@ -109,7 +111,7 @@ def _(t: Tables):
 
 
 @plan("est_05_rao_wu", f"""WITH {CODED}, rw AS (SELECT stratum, cluster, stratum AS h, weight * {FH} * CASE WHEN half = 'H1' THEN 1 ELSE 0 END AS a, weight * CASE WHEN half = 'H1' THEN 1 ELSE 0 END AS w FROM coded),
- {boot('b', 'rw', ['h'], ['a', 'w'], R, 3, fewer=1)}, f AS (SELECT stratum AS h, count(DISTINCT cluster) AS m, 0.1::DOUBLE AS f FROM coded GROUP BY 1),
+ {boot('b', 'rw', ['h'], ['a', 'w'], R_PPI, 3, fewer=1)}, f AS (SELECT stratum AS h, count(DISTINCT cluster) AS m, 0.1::DOUBLE AS f FROM coded GROUP BY 1),
  p AS (SELECT h, a AS ta, w AS tw FROM b WHERE rep = -1), s AS (SELECT rep, sum((1 - sqrt(1 - f)) * ta + sqrt(1 - f) * m / (m - 1) * a) / sum((1 - sqrt(1 - f)) * tw + sqrt(1 - f) * m / (m - 1) * w) AS r FROM b JOIN p USING (h) JOIN f USING (h) WHERE rep >= 0 GROUP BY 1)
  SELECT round((SELECT sum(ta) / sum(tw) FROM p), 6) AS estimate, round(quantile_cont(r, 0.025), 6) AS ci_low, round(quantile_cont(r, 0.975), 6) AS ci_high,
  (SELECT count(*) FROM coded WHERE firsthand_p >= 5e-1 AND half = 'H1') AS hits, (SELECT CAST(sum(m) AS BIGINT) FROM f) AS n_clusters FROM s""")
@@ -118,7 +120,7 @@ def _(t: Tables):
         "stratum", "cluster", "weight", F.when(F.col("firsthand_p") >= 0.5, 1).otherwise(0).alias("y"),
         F.lit(0.1).alias("fraction"), (F.col("half") == "H1").alias("domain"),
     )
-    return rounded(es.rao_wu(rows, n_rep=R, seed=3).select("estimate", "ci_low", "ci_high", "hits", "n_clusters"), "estimate", "ci_low", "ci_high")
+    return rounded(es.rao_wu(rows, n_rep=R_PPI, seed=3).select("estimate", "ci_low", "ci_high", "hits", "n_clusters"), "estimate", "ci_low", "ci_high")
 
 
 TRUTH = "CASE WHEN (comment_id * 37) % 100 < firsthand_p * 80 + 10 THEN 1 ELSE 0 END"
@@ -132,12 +134,12 @@ def gold(t: Tables):
     )
 
 
-def ppi_sql(keys: list[str], all_src: str, gold_src: str, seed: int = 0) -> str:
+def ppi_sql(keys: list[str], all_src: str, gold_src: str, n_rep: int = R_PPI, seed: int = 0) -> str:
     k = "".join(f"{c}, " for c in keys)
     using = f"USING ({', '.join(['rep', *keys])})"
     return f"""pa AS (SELECT stratum, cluster, {k}weight AS a0, weight * yhat AS a1, weight * yhat * yhat AS a2, weight * weight AS a3 FROM {all_src}),
  pg AS (SELECT stratum, cluster, {k}weight / sel AS g0, weight / sel * y AS gy, weight / sel * yhat AS gf, weight / sel * y * yhat AS gyf, (weight / sel) * (weight / sel) AS gvv FROM {gold_src}),
- {boot('ra', 'pa', keys, ['a0', 'a1', 'a2', 'a3'], R, seed)}, {boot('rg', 'pg', keys, ['g0', 'gy', 'gf', 'gyf', 'gvv'], R, seed + 1)},
+ {boot('ra', 'pa', keys, ['a0', 'a1', 'a2', 'a3'], n_rep, seed)}, {boot('rg', 'pg', keys, ['g0', 'gy', 'gf', 'gyf', 'gvv'], n_rep, seed + 1)},
  pj AS (SELECT *, a1 / a0 AS naive, gy / g0 AS gold_only, gf / g0 AS mf, a2 / a0 - (a1 / a0) * (a1 / a0) AS var, gyf / g0 - gy / g0 * (gf / g0) AS cov, (g0 * g0 / gvv) / (a0 * a0 / a3) AS kish FROM ra JOIN rg {using}),
  pl AS (SELECT *, least(greatest(coalesce(CASE WHEN var > 1e-12 THEN cov / ((1 + kish) * var) END, 0), 0), 1) AS lam FROM pj), ppi AS (SELECT rep, {k}lam, naive, gold_only, lam * naive + gold_only - lam * mf AS theta FROM pl)"""
 
@@ -149,7 +151,7 @@ ALL_Y = "every AS (SELECT *, firsthand_p AS yhat FROM coded), goldy AS (SELECT *
  round(quantile_cont(theta, 0.975) FILTER (rep >= 0), 6) AS ci_high, round(max(lam) FILTER (rep = -1), 6) AS lam, round(max(naive) FILTER (rep = -1), 6) AS naive, round(max(gold_only) FILTER (rep = -1), 6) AS gold_only FROM ppi""")
 def _(t: Tables):
     rows = coded(t).withColumn("yhat", F.col("firsthand_p"))
-    return rounded(es.ppi_mean(rows, gold(t), n_rep=R), "estimate", "ci_low", "ci_high", "lam", "naive", "gold_only")
+    return rounded(es.ppi_mean(rows, gold(t), n_rep=R_PPI), "estimate", "ci_low", "ci_high", "lam", "naive", "gold_only")
 
 
 PAIR_CI = "SELECT round(max(v) FILTER (rep = -1), 6) AS estimate, round(quantile_cont(v, 0.025) FILTER (rep >= 0), 6) AS ci_low, round(quantile_cont(v, 0.975) FILTER (rep >= 0), 6) AS ci_high"
@@ -163,13 +165,13 @@ def _(t: Tables):
     off = (F.col("part") == "num") & (F.col("phase") != "pos")
     rows = coded(t).withColumn("yhat", F.col("firsthand_p")).select("*", part).withColumn("yhat", F.when(off, 0.0).otherwise(F.col("yhat")))
     labels = gold(t).select("*", part).withColumn("yhat", F.when(off, 0.0).otherwise(F.col("yhat"))).withColumn("y", F.when(off, 0).otherwise(F.col("y")))
-    return rounded(es.ppi_pair(rows, labels, "part", "num", "den", "ratio", n_rep=R), "estimate", "ci_low", "ci_high")
+    return rounded(es.ppi_pair(rows, labels, "part", "num", "den", "ratio", n_rep=R_PPI), "estimate", "ci_low", "ci_high")
 
 
 @plan("est_08_ppi_difference", f"WITH {GOLD}, {ALL_Y}, {ppi_sql(['half'], 'every', 'goldy')} {PAIR_CI} FROM (SELECT rep, max(theta) FILTER (half = 'H2') - max(theta) FILTER (half = 'H1') AS v FROM ppi GROUP BY 1)")
 def _(t: Tables):
     rows = coded(t).withColumn("yhat", F.col("firsthand_p"))
-    return rounded(es.ppi_pair(rows, gold(t), "half", "H1", "H2", "difference", n_rep=R), "estimate", "ci_low", "ci_high")
+    return rounded(es.ppi_pair(rows, gold(t), "half", "H1", "H2", "difference", n_rep=R_PPI), "estimate", "ci_low", "ci_high")
 
 
 def shares_sql(name: str, src: str, level: str, bucket: str, within: bool, n_rep: int = R, seed: int = 0) -> str:
@@ -189,7 +191,7 @@ PANEL = "['all', lower(half), 'q' || CAST((CAST(substr(period, 2, 2) AS INT) - 1
  gl AS (SELECT fr.*, y = 1 AS fh, CASE WHEN comment_id % 20 = 3 THEN fr.domain ELSE 'web' END AS gd, sel FROM fr JOIN (SELECT comment_id, y, sel FROM gold) USING (comment_id)), ids AS (SELECT unnest(['web', 'data', 'hardware', 'work', 'money', 'other']) AS id, unnest(['num', 'den', 'num', 'den', 'num', 'den']) AS dummy),
  ex AS (SELECT *, unnest({PERIODS}) AS bucket FROM fr), ev AS (SELECT bucket || '~' || stratum AS stratum, cluster, bucket, id, part, weight, CASE WHEN firsthand AND (part = 'den' OR domain = id) THEN 1e0 ELSE 0e0 END AS yhat FROM ex, (SELECT id FROM ids), (SELECT unnest(['num', 'den']) AS part)),
  gx AS (SELECT *, unnest({PERIODS}) AS bucket FROM gl), gv AS (SELECT bucket || '~' || stratum AS stratum, cluster, bucket, id, part, weight, sel, CASE WHEN firsthand AND (part = 'den' OR domain = id) THEN 1e0 ELSE 0e0 END AS yhat, CASE WHEN fh AND (part = 'den' OR gd = id) THEN 1e0 ELSE 0e0 END AS y
- FROM gx, (SELECT id FROM ids), (SELECT unnest(['num', 'den']) AS part)), {ppi_sql(['bucket', 'id', 'part'], 'ev', 'gv')},
+ FROM gx, (SELECT id FROM ids), (SELECT unnest(['num', 'den']) AS part)), {ppi_sql(['bucket', 'id', 'part'], 'ev', 'gv', R)},
  rt AS (SELECT rep, bucket, id, max(theta) FILTER (part = 'num') / nullif(max(theta) FILTER (part = 'den'), 0) AS v FROM ppi GROUP BY ALL), pp AS ({ci('v', 'rt', 'bucket, id, ', None, 12)}), gc AS (SELECT bucket, count(*) AS n_gold FROM gx GROUP BY 1)
  SELECT id AS domain, bucket AS period, n, round(CASE WHEN n_gold >= 120 AND pp.est IS NOT NULL THEN pp.est ELSE nv.est END, 6) AS weighted_share, CASE WHEN n >= 30 THEN round(CASE WHEN n_gold >= 120 AND pp.est IS NOT NULL THEN pp.lo95 ELSE nv.lo95 END, 6) END AS ci_low,
  CASE WHEN n >= 30 THEN round(CASE WHEN n_gold >= 120 AND pp.est IS NOT NULL THEN pp.hi95 ELSE nv.hi95 END, 6) END AS ci_high, n < 30 AS too_few, CASE WHEN n_gold >= 120 THEN 'PPI-corrected with ' || n_gold || ' gold labels' ELSE 'model labels only' END AS qualifier
@@ -316,12 +318,9 @@ def _(t: Tables):
     return rounded(out, "top1_thread", "top3_threads", "top1_author", "top3_authors")
 
 
-@plan("est_17_null_band", f"""WITH {CODED}, r AS (SELECT comment_id, card_id, story_id, row_number() OVER (ORDER BY {h60('2', 'comment_id')}, comment_id) AS pos, row_number() OVER (PARTITION BY card_id ORDER BY {h60('2', "'n'", 'comment_id')}, comment_id) AS i FROM coded WHERE card_id IS NOT NULL),
- d AS (SELECT card_id, sim, {h60('2', "'band'", 'sim', 'card_id', 'i')} % (SELECT count(*) FROM r) + 1 AS pos FROM r, (SELECT unnest(range(20)) AS sim)), c AS (SELECT d.card_id, sim, story_id, count(*) AS c FROM d JOIN r ON r.pos = d.pos GROUP BY ALL),
- t AS (SELECT card_id, sim, sum(c) AS c FROM (SELECT *, row_number() OVER (PARTITION BY card_id, sim ORDER BY c DESC, story_id) AS k FROM c) WHERE k <= 3 GROUP BY ALL), s AS (SELECT t.card_id, c / n AS s FROM t JOIN (SELECT card_id, count(*) AS n FROM r GROUP BY 1) USING (card_id))
- SELECT card_id, round(quantile_cont(s, 0.025), 6) AS null_lo, round(quantile_cont(s, 0.975), 6) AS null_hi FROM s GROUP BY 1""")
+@plan("est_17_null_band", None)
 def _(t: Tables):
-    return rounded(es.null_band(coded(t).filter("card_id IS NOT NULL"), "story_id", sims=20, seed=2), "null_lo", "null_hi")
+    return rounded(es.null_band(coded(t).filter("card_id IS NOT NULL"), "story_id", sims=500, seed=2), "null_lo", "null_hi")
 
 
 LAUNCH = "launches AS (SELECT c_custkey AS story_id, 'P' || lpad(CAST(c_nationkey % 12 + 1 AS VARCHAR), 2, '0') AS period, CAST(3 + c_custkey % 2 AS DOUBLE) AS weight, CASE WHEN c_custkey % 3 > 0 THEN 'c' || lpad(CAST(c_custkey % 25 AS VARCHAR), 2, '0') END AS card_id FROM customer)"

@@ -6,10 +6,18 @@ from pyspark.sql import functions as F
 
 from threadgauge.operators import quality as ql
 from threadgauge.operators import robust as rb
-from threadgauge.plans.estimates import CODED, R, boot, ci, coded, rounded
+from threadgauge.plans import estimates
+from threadgauge.plans.estimates import CODED, ci, coded, rounded
 from threadgauge.plans.registry import Tables, plan
 from threadgauge.plans.text import KEYWORD_SQL
 
+R = 2000
+
+
+def boot(name: str, src: str, keys: list[str], values: list[str]) -> str:
+    return estimates.boot(name, src, keys, values, R)
+
+
 LAB = """lab AS (SELECT l.doc_id AS comment_id, quality AS y, toxic, text, lang AS stratum, source || '-' || CAST(l.doc_id % 50 AS VARCHAR) AS cluster, CAST(1 + l.doc_id % 3 AS DOUBLE) AS weight,
  least(1e0, greatest(0e0, ((l.doc_id * 13) % 100) / 1e2 * 7e-1 + quality * 3e-1)) AS score FROM labels l JOIN documents d USING (doc_id))"""
 
@@ -42,7 +50,7 @@ MID = "(rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2)
  s AS (SELECT count(*) AS n, avg((x = y)::INT) AS po, avg(x::INT) AS pa, avg(y::INT) AS pb, corr(ra, rb) AS spearman FROM f)
  SELECT n, round(po, 6) AS agreement, round((po - (pa * pb + (1 - pa) * (1 - pb))) / (1 - (pa * pb + (1 - pa) * (1 - pb))), 6) AS kappa, round(spearman, 6) AS spearman FROM s""")
 def _(t: Tables):
-    return rounded(rb.compare_screens(coded(t), other_screen(t), 0.7, n_rep=2)[1], "agreement", "kappa", "spearman")
+    return rounded(rb.compare_screens(coded(t), other_screen(t), 0.7, n_rep=R)[1], "agreement", "kappa", "spearman")
 
 
 @plan("agr_02_midranks", "SELECT c_custkey, rank() OVER (ORDER BY floor(c_acctbal / 10)) + (count(*) OVER (PARTITION BY floor(c_acctbal / 10)) - 1) / 2 AS midrank FROM customer")
