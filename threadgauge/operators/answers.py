@@ -325,6 +325,24 @@ def combine_runs(runs: Sequence[DataFrame], version: str, check: bool = True) ->
     return out
 
 
+def combine_pain(tables: Sequence[DataFrame], check: bool = True) -> DataFrame:
+    """(comment_id, pain_sentence) of several runs; runs that disagree on a comment are an error (ANS-20).
+
+    A null sentence is one of its own: null against a text is a disagreement.
+    """
+    out = tables[0].select("comment_id", "pain_sentence")
+    for df in tables[1:]:
+        out = out.unionByName(df.select("comment_id", "pain_sentence"))
+    texts, nulls = F.col("least").eqNullSafe(F.col("most")), F.col("nulls").isin(0, F.col("n"))
+    held = out.groupBy("comment_id").agg(
+        F.min("pain_sentence").alias("least"), F.max("pain_sentence").alias("most"),
+        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("pain_sentence").isNull(), 1)).alias("nulls"),
+    )
+    if check:
+        require_empty(held.filter(~(texts & nulls)).select("comment_id"), "runs disagree on the pain sentence")
+    return held.select("comment_id", F.col("least").alias("pain_sentence"))
+
+
 def merge_pairs(cards: DataFrame, top2: DataFrame, min_overlap: int = 3) -> DataFrame:
     """Candidate pairs of active cards: co-listed ones of two groups and pairs inside a group (ANS-21).
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 from threadgauge.functions.hashing import sha_id63
 from threadgauge.operators.cards import union_all
 from threadgauge.operators.estimate import fix_shares
-from threadgauge.operators.spread import bounded_rows, require_empty, value_bounds, value_ranks
+from threadgauge.operators.spread import require_empty, value_bounds, value_ranks
 from threadgauge.session import cut_lineage
 
 NONE = "none"
@@ -101,7 +100,7 @@ def unsolved_by_problem(answers: DataFrame, mapping: DataFrame, threshold: float
 # ---- mentions ----------------------------------------------------------------------
 
 SHORT = 3
-MAX_TERMS = 20_000
+ATOM = r"(?U)\w+|\W"
 
 
 def dictionary_terms(tools: DataFrame) -> DataFrame:
@@ -113,32 +112,59 @@ def dictionary_terms(tools: DataFrame) -> DataFrame:
     return terms.select(F.when(exact, F.col("term")).otherwise(F.lower("term")).alias("term"), "tool", exact.alias("exact")).distinct()
 
 
+def _is_word(atom: Column) -> Column:
+    return atom.rlike(r"(?U)^\w")
+
+
+def phrase_index(terms: DataFrame) -> DataFrame:
+    """(term, exact, head, n): a term's first atom and number of atoms; an atom is a run of word characters or any other character."""
+    listed = terms.select("term", "exact").distinct().withColumn("atoms", F.regexp_extract_all("term", F.lit(ATOM), F.lit(0)))
+    return listed.select("term", "exact", F.col("atoms")[0].alias("head"), F.size("atoms").alias("n"))
+
+
 def find_mentions(texts: DataFrame, tools: DataFrame, text: str = "text") -> DataFrame:
     """Input columns but the text, plus one row per tool named in it (TXT-11).
 
-    The dictionary is a bounded configuration (checked): its terms become two
-    whole-word patterns, longest term first, and found terms join back to tools.
+    Whole-word occurrences start and end between atoms, so they are found by
+    joins: each place of a text meets the numbers of atoms of the terms that start
+    with its atom, and the phrases of those lengths meet the terms. Of what is
+    found in a text, from left to right, the longest term at a place counts and
+    nothing that overlaps it; exact terms and the others do not hide each other.
+    A dictionary may be of any size: Spark broadcasts it if it is small and
+    shuffles the places otherwise. Null texts name nothing.
     """
     terms = dictionary_terms(tools)
-    listed = bounded_rows(terms.select("term", "exact").distinct(), MAX_TERMS, "dictionary terms")
-
-    def found(exact: bool) -> Column:
-        words = sorted((r[0] for r in listed if r[1] == exact), key=lambda w: (-len(w), w))
-        if not words:
-            return F.array().cast("array<string>")
-        body = "|".join(re.escape(w) for w in words)
-        flags = "(?U)" if exact else "(?iU)"
-        hits = F.regexp_extract_all(F.col(text), F.lit(rf"{flags}(?<!\w)(?:{body})(?!\w)"), F.lit(0))
-        return hits if exact else F.transform(hits, F.lower)
-
+    index = phrase_index(terms)
+    heads = index.groupBy("exact", "head").agg(F.collect_set("n").alias("__lengths"))
+    longest = index.agg(F.max("n")).first()[0] or 0
     keep = [c for c in texts.columns if c != text]
-    rows = texts.filter(F.col(text).isNotNull())
-    hits = F.array_distinct(F.concat(
-        F.transform(found(True), lambda w: F.struct(w.alias("term"), F.lit(True).alias("exact"))),
-        F.transform(found(False), lambda w: F.struct(w.alias("term"), F.lit(False).alias("exact"))),
+    # Rows that agree in all other columns are told apart by their text.
+    rows = texts.filter(F.col(text).isNotNull() & (F.col(text) != "")).select(
+        *keep, F.xxhash64(text).alias("__print"), F.regexp_extract_all(text, F.lit(ATOM), F.lit(0)).alias("__atoms")
+    )
+    places = F.transform(F.sequence(F.lit(1), F.size("__atoms")), lambda i: F.struct(
+        i.alias("pos"), F.get("__atoms", i - 1).alias("atom"), F.get("__atoms", i - 2).alias("before"), F.slice("__atoms", i, longest + 1).alias("gram"),
     ))
-    spread = rows.select(*keep, F.explode(hits).alias("__h")).select(*keep, "__h.term", "__h.exact")
-    return spread.join(terms, ["term", "exact"]).select(*keep, "tool").distinct()
+    row = [*keep, "__print"]
+    starts = rows.select(*row, F.explode(places).alias("__p")).filter(~F.coalesce(_is_word(F.col("__p.before")), F.lit(False)))
+    both = F.explode(F.array(
+        F.struct(F.lit(True).alias("exact"), F.col("__p.atom").alias("head")), F.struct(F.lit(False).alias("exact"), F.lower("__p.atom").alias("head"))
+    )).alias("__h")
+    starts = starts.select(*row, "__p", both).select(*row, F.col("__p.pos").alias("__pos"), F.col("__p.gram").alias("__gram"), "__h.exact", "__h.head")
+    tried = starts.join(heads, ["exact", "head"]).select(*row, "exact", "__pos", "__gram", F.explode("__lengths").alias("__n"))
+    tried = tried.filter((F.col("__n") <= F.size("__gram")) & ~F.coalesce(_is_word(F.get("__gram", F.col("__n"))), F.lit(False)))
+    phrase = F.array_join(F.slice("__gram", F.lit(1), F.col("__n")), "")
+    tried = tried.select(*row, "exact", "__pos", "__n", F.when(F.col("exact"), phrase).otherwise(F.lower(phrase)).alias("term"))
+    hits = tried.join(index.select("exact", "term"), ["exact", "term"])
+    found = hits.groupBy(*row, "exact").agg(
+        F.sort_array(F.collect_set(F.struct(F.col("__pos").alias("pos"), (-F.col("__n")).alias("less"), "term"))).alias("__hits")
+    )
+    none = F.struct(F.lit(0).alias("end"), F.array().cast("array<string>").alias("terms"))
+    taken = F.aggregate("__hits", none, lambda s, h: F.when(
+        h["pos"] >= s["end"], F.struct((h["pos"] - h["less"]).alias("end"), F.array_union(s["terms"], F.array(h["term"])).alias("terms"))
+    ).otherwise(s), lambda s: s["terms"])
+    named = found.select(*row, "exact", F.explode(taken).alias("term"))
+    return named.join(terms, ["term", "exact"]).select(*keep, "tool").distinct()
 
 
 def collect_mentions(problems: DataFrame, pairs: DataFrame, tools: DataFrame) -> DataFrame:

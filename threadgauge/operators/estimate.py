@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadgauge.operators.bootstrap import (
-    POINT, REPLICATES, finite_ratio, interval, ratio_estimates, ratio_replicates, resample, share_replicates,
+    ALL_KEY, POINT, REPLICATES, finite_ratio, interval, ratio_estimates, ratio_replicates, resample, share_replicates,
 )
 from threadgauge.operators.robust import benjamini_hochberg, bootstrap_p
 
@@ -84,7 +84,11 @@ def ppi_replicates(rows: DataFrame, gold: DataFrame, by: Sequence[str] = (), lam
     )
     ra = resample(a, ["a0", "a1", "a2", "a3"], by, n_rep=n_rep, seed=seed, **options)
     rg = resample(g, ["g0", "gy", "gf", "gyf", "gvv"], by, n_rep=n_rep, seed=seed + 1, **options)
-    rows = ra.join(rg, ["rep", *by])
+    return _corrected(ra.join(rg, ["rep", *by]), by, lam)
+
+
+def _corrected(rows: DataFrame, by: Sequence[str], lam: float | None) -> DataFrame:
+    """The PPI++ mean of each row of joined totals, with λ, the naive and the gold-only mean."""
     rows = rows.withColumn("naive", finite_ratio(F.col("a1"), F.col("a0"))).withColumn("gold_only", finite_ratio(F.col("gy"), F.col("g0")))
     mf = finite_ratio(F.col("gf"), F.col("g0"))
     var = finite_ratio(F.col("a2"), F.col("a0")) - F.col("naive") * F.col("naive")
@@ -147,28 +151,37 @@ def domain_shares(rows: DataFrame, gold: DataFrame, min_gold: int = 10, min_n: i
     labels; intervals of thin cells are hidden. ``gold``: comment_id, fh,
     gold_domain, sel.
     """
-    firsthand = rows.filter("firsthand AND domain IS NOT NULL")
     reps = share_replicates(rows.filter("firsthand"), "domain", period_buckets(), within=True, n_rep=n_rep, seed=seed)
     naive = interval(reps, ["bucket", "id"], "share", n="n")
-    names = [r[0] for r in firsthand.select("domain").distinct().orderBy("domain").collect()]
     every = rows.withColumn("bucket", F.explode(period_buckets()))
     labelled = every.join(gold, "comment_id")
     counts = labelled.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_gold"))
-    outcome = F.explode(F.array(*[F.lit(d) for d in names])).alias("id")
-
-    def long(df: DataFrame, is_gold: bool) -> DataFrame:
-        wide = df.select("*", outcome).select("*", F.explode(F.array(F.lit("num"), F.lit("den"))).alias("part"))
-        hit = F.col("firsthand") & F.when(F.col("part") == "num", F.coalesce(F.col("domain") == F.col("id"), F.lit(False))).otherwise(F.lit(True))
-        cols = ["bucket", "id", "part", "cluster", "weight", F.concat_ws("~", "bucket", "stratum").alias("stratum"), hit.cast("double").alias("yhat")]
-        if is_gold:
-            truth = F.col("fh") & F.when(F.col("part") == "num", F.coalesce(F.col("gold_domain") == F.col("id"), F.lit(False))).otherwise(F.lit(True))
-            cols += [truth.cast("double").alias("y"), "sel"]
-        return wide.select(*cols)
-
-    both = ppi_replicates(long(every, False), long(labelled, True), ["bucket", "id", "part"], n_rep=n_rep, seed=seed)
-    ratio = both.groupBy("rep", "bucket", "id").agg(
-        finite_ratio(F.max(F.when(F.col("part") == "num", F.col("theta"))), F.max(F.when(F.col("part") == "den", F.col("theta")))).alias("v")
+    w, v = F.col("weight").cast("double"), F.col("weight") / F.col("sel")
+    f, y = flag(F.col("firsthand")), flag(F.col("fh"))
+    same = flag(F.col("fh") & (F.col("gold_domain") == F.col("domain")))
+
+    def part(df: DataFrame, key: Column, sums: dict[str, Column], names: Sequence[str]) -> DataFrame:
+        values = [sums.get(c, F.lit(0.0)).alias(c) for c in names]
+        return df.select(F.concat_ws("~", "bucket", "stratum").alias("stratum"), "cluster", "bucket", key.alias("id"), *values)
+
+    # A row counts for its own domain only, and for the bucket as a whole: no row is repeated per domain.
+    a_names, g_names, whole = ["a0", "a1", "a2", "a3"], ["g0", "gy", "gf", "gyf", "gvv"], F.lit(ALL_KEY)
+    in_model = F.col("firsthand") & F.col("domain").isNotNull()
+    a = part(every, whole, {"a0": w, "a1": w * f, "a2": w * f, "a3": w * w}, a_names).unionByName(
+        part(every.filter(in_model), F.col("domain"), {"a1": w, "a2": w}, a_names)
     )
+    g = part(labelled, whole, {"g0": v, "gy": v * y, "gf": v * f, "gyf": v * y * f, "gvv": v * v}, g_names).unionByName(
+        part(labelled.filter(in_model), F.col("domain"), {"gf": v, "gyf": v * same}, g_names)
+    ).unionByName(part(labelled.filter(F.col("fh") & F.col("gold_domain").isNotNull()), F.col("gold_domain"), {"gy": v}, g_names))
+    ra = resample(a, a_names, ["bucket", "id"], n_rep=n_rep, seed=seed)
+    rg = resample(g, g_names, ["bucket", "id"], n_rep=n_rep, seed=seed + 1)
+    totals = ra.filter(F.col("id") == ALL_KEY).drop("id").join(rg.filter(F.col("id") == ALL_KEY).drop("id"), ["rep", "bucket"])
+    den = _corrected(totals, ["bucket"], None).select("rep", "bucket", F.col("theta").alias("den"))
+    own = ra.filter(F.col("id") != ALL_KEY).select("rep", "bucket", "id", "a1", "a2").join(
+        rg.filter(F.col("id") != ALL_KEY).select("rep", "bucket", "id", "gy", "gf", "gyf"), ["rep", "bucket", "id"], "left"
+    ).fillna(0.0, ["gy", "gf", "gyf"])
+    num = _corrected(own.join(totals.select("rep", "bucket", "a0", "a3", "g0", "gvv"), ["rep", "bucket"]), ["bucket", "id"], None)
+    ratio = num.join(den, ["rep", "bucket"]).select("rep", "bucket", "id", finite_ratio(F.col("theta"), F.col("den")).alias("v"))
     ppi = interval(ratio, ["bucket", "id"], "v").select("bucket", "id", F.col("est").alias("p"), F.col("lo95").alias("plo"), F.col("hi95").alias("phi"))
     out = naive.join(counts, "bucket", "left").join(ppi, ["bucket", "id"], "left")
     use = (F.coalesce("n_gold", F.lit(0)) >= min_gold) & F.col("p").isNotNull()

@@ -223,6 +223,12 @@ def _(t: Tables):
     return an.combine_runs([a, b], "t1").drop("taxonomy_version")
 
 
+@plan("ans_20_combine_pain", "SELECT doc_id AS comment_id, text AS pain_sentence FROM documents WHERE doc_id IS NOT NULL GROUP BY ALL")
+def _(t: Tables):
+    rows = t.documents.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("comment_id"), F.col("text").alias("pain_sentence"))
+    return an.combine_pain([rows.filter("comment_id % 3 < 2"), rows.filter("comment_id % 3 > 0")])
+
+
 TOP2 = """top2 AS (SELECT 'c' || lpad(CAST((o_orderkey * 7 + o_custkey) % 25 AS VARCHAR), 2, '0') AS first, 'c' || lpad(CAST((o_orderkey * o_custkey) % 25 AS VARCHAR), 2, '0') AS second FROM orders)"""
 
 

@@ -194,12 +194,11 @@ def _(t: Tables):
     return rounded(cd.entity_counts(coded(t), "group_id"), ["top_thread_share"])
 
 
-FUNNEL_ROWS = f"{PROBLEMS}, fr AS (SELECT *, phase = 'pos' AND firsthand_p >= 5e-1 AS firsthand FROM problems WHERE firsthand_p >= 2e-1)"
+FUNNEL_ROWS = f"{PROBLEMS}, fr AS (SELECT *, phase = 'pos' AND firsthand_p >= 5e-1 AS firsthand FROM problems)"
 
 
 def funnel_rows(t: Tables):
-    rows = t.role("problems")
-    return rows.filter("firsthand_p >= 0.2").withColumn("firsthand", F.expr("phase = 'pos' AND firsthand_p >= 0.5"))
+    return t.role("problems").withColumn("firsthand", F.expr("phase = 'pos' AND firsthand_p >= 0.5"))
 
 
 @plan("crd_17_funnel", f"""WITH {FUNNEL_ROWS} SELECT 'all' AS step, count(*) AS count FROM orders UNION ALL SELECT 'eligible', count(*) FROM orders WHERE o_orderstatus <> 'P' UNION ALL SELECT 'screened', count(*) FROM fr

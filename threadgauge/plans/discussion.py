@@ -168,9 +168,9 @@ def _(t: Tables):
     return t.documents.select(ds.tokens(F.col("text")).alias("t")).select(F.explode(ds.terms(F.col("t"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
 
 
-@plan("txt_13_lexical_exclusion", rf"""WITH w AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[\s,;]+')) AS term FROM documents) SELECT term, NOT (regexp_matches(term, '\d{{4,}}') OR regexp_matches(term, '(?:https?|ftp|www)\.|^www$|^(?:https?|ftp)$|\b[\w-]+\.(?:{ds.TLDS})\b') OR regexp_matches(term, '\S+@\S+') OR regexp_matches(term, '(?:^|\s)@\w+')) AS ok FROM w WHERE regexp_matches(term, '^[ -~]+$')""")
+@plan("txt_13_lexical_exclusion", rf"""WITH w AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[\s,;]+')) AS term FROM documents) SELECT term, NOT (regexp_matches(term, '\d{{4,}}') OR regexp_matches(term, '(?:https?|ftp|www)\.|^www$|^(?:https?|ftp)$|\b[\w-]+\.(?:{ds.TLDS})\b') OR regexp_matches(term, '\S+@\S+') OR regexp_matches(term, '(?:^|\s)@\w+')) AS ok FROM w""")
 def _(t: Tables):
-    words = t.documents.select(F.explode(F.split(F.lower("text"), r"[\s,;]+")).alias("term")).distinct().filter(F.col("term").rlike("^[ -~]+$"))
+    words = t.documents.select(F.explode(F.split(F.lower("text"), r"[\s,;]+")).alias("term")).distinct()
     return words.select("term", ds.lexical_ok(F.col("term")).alias("ok"))
 
 

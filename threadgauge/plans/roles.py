@@ -69,7 +69,7 @@ ROLES: dict[str, tuple[str, list[str]]] = {
         " when (conv_id + turn) % 17 = 2 then 'dead' else 'ok' end) as raw_state",
         "1704067200 + conv_id * 21600 + turn * 97 as time",
         "concat((case conv_id % 6 when 0 then 'Ask HN: ' when 1 then 'Show HN: ' when 2 then 'Launch HN: '"
-        " when 3 then 'Tell HN: ' else '' end), substr(text, 1, 40)) as title",
+        " when 3 then 'Tell HN: ' else '' end), text) as title",
         "concat(role, cast(conv_id % 13 as string)) as author",
         "text",
         "conv_id",
