@@ -100,6 +100,7 @@ def unsolved_by_problem(answers: DataFrame, mapping: DataFrame, threshold: float
 # ---- mentions ----------------------------------------------------------------------
 
 SHORT = 3
+SLOTS = 1 << 16
 ATOM = r"(?U)\w+|\W"
 
 
@@ -122,6 +123,24 @@ def phrase_index(terms: DataFrame) -> DataFrame:
     return listed.select("term", "exact", F.col("atoms")[0].alias("head"), F.size("atoms").alias("n"))
 
 
+def _slot(atom: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lower(atom)), F.lit(SLOTS)).cast("int")
+
+
+def _may_start(index: DataFrame):
+    """A test of atoms that passes all first atoms of the terms, by their slots in a bitmap of fixed size, and few others."""
+    slots = index.select(_slot(F.col("head")).alias("s")).distinct()
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("s", F.lit(64)))
+    held = {r["i"]: r["w"] for r in slots.groupBy(F.floor(F.col("s") / 64).alias("i")).agg(F.bit_or(bit).alias("w")).collect()}
+    words = F.array(*[F.lit(held.get(i, 0)).cast("bigint") for i in range(SLOTS // 64)])
+
+    def passes(atom: Column) -> Column:
+        word = F.get(words, F.call_function("shiftright", _slot(atom), F.lit(6)))
+        return F.call_function("shiftright", word, _slot(atom).bitwiseAND(63)).bitwiseAND(F.lit(1).cast("bigint")) == 1
+
+    return passes
+
+
 def find_mentions(texts: DataFrame, tools: DataFrame, text: str = "text") -> DataFrame:
     """Input columns but the text, plus one row per tool named in it (TXT-11).
 
@@ -130,7 +149,8 @@ def find_mentions(texts: DataFrame, tools: DataFrame, text: str = "text") -> Dat
     with its atom, and the phrases of those lengths meet the terms. Of what is
     found in a text, from left to right, the longest term at a place counts and
     nothing that overlaps it; exact terms and the others do not hide each other.
-    A dictionary may be of any size: Spark broadcasts it if it is small and
+    A bitmap of first atoms spares most places before they become rows. A
+    dictionary may be of any size: Spark broadcasts it if it is small and
     shuffles the places otherwise. Null texts name nothing.
     """
     terms = dictionary_terms(tools)
@@ -142,7 +162,9 @@ def find_mentions(texts: DataFrame, tools: DataFrame, text: str = "text") -> Dat
     rows = texts.filter(F.col(text).isNotNull() & (F.col(text) != "")).select(
         *keep, F.xxhash64(text).alias("__print"), F.regexp_extract_all(text, F.lit(ATOM), F.lit(0)).alias("__atoms")
     )
-    places = F.transform(F.sequence(F.lit(1), F.size("__atoms")), lambda i: F.struct(
+    passes = _may_start(index)
+    some = F.filter(F.sequence(F.lit(1), F.size("__atoms")), lambda i: passes(F.get("__atoms", i - 1)))
+    places = F.transform(some, lambda i: F.struct(
         i.alias("pos"), F.get("__atoms", i - 1).alias("atom"), F.get("__atoms", i - 2).alias("before"), F.slice("__atoms", i, longest + 1).alias("gram"),
     ))
     row = [*keep, "__print"]
