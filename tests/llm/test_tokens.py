@@ -64,6 +64,21 @@ def test_remembered_library_encoding(path):
     assert tokens.LibraryCoder(path).encode_batch(texts()) == [as_bytes(w.ids) for w in want]
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_blocks_with_a_small_store_equal_the_library(path):
+    rng = random.Random(17)
+    parts = ["don't", "I'll", "we're", "it's,", "a.b.", "x,y", "No.7", "...", "?!", "word.", "Word,", "ÜBER", "straße:", "İstanbul", "ǅ", "e\u0301", "日本", "12", "3.5", "<|endoftext|>", "<|ENDOFTEXT|>", "\x1f", ""]
+    gaps = [" ", " ", " ", " ", "\n", "\n", "  ", "\t", "\u3000", "\x85", "\n\n", " \n"]
+    mixed = ["".join(rng.choice(parts) + rng.choice(gaps[: 6 if k % 3 else 12]) for _ in range(rng.randint(0, 30))) for k in range(800)]
+    mixed += [" lead", "trail ", "\nlead", "trail\n", ".", " . ", "a.\nb, c. d", "s\u0307. İ. ß.\n"]
+    want = library(path).encode_batch(mixed, add_special_tokens=False)
+    coder = tokens.LibraryCoder(path, remembered=40)
+    for at in range(0, len(mixed), 50):
+        ids, counts = coder.encode(mixed[at : at + 50], 7)
+        got = [part.tolist() for part in np.split(ids, np.cumsum(counts)[:-1])]
+        assert got == [[*w.ids, 7] for w in want[at : at + 50]]
+
+
 def test_encode_and_decode_tables(spark):
     rows = [(1, "Hello there", 1), (2, None, 1), (2, "", 1), (None, "x", 1)]
     coded = bpe.encode(spark.createDataFrame(rows, SCHEMA), BYTES)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from threadgauge.llm.bpe import _blocks
 from threadgauge.llm.common import written
-from threadgauge.llm.tokens import library_coder
+from threadgauge.llm.tokens import REMEMBERED, library_coder
 
 END = 1
 FRAME_BYTES = 1 << 18
@@ -133,7 +133,6 @@ def _write(batches: Iterator[pa.RecordBatch], path: str, folder: str, end: int)
     context = TaskContext.get()
     part = context.partitionId()
     name = f"{folder}/part-{part:06d}-{context.taskAttemptId()}.zst"
-    tail = np.array([end], dtype="<u4").tobytes()
     writer = sink = None
     for batch in batches:
         for at, texts in _blocks(batch, "text"):
@@ -143,8 +142,10 @@ def _write(batches: Iterator[pa.RecordBatch], path: str, folder: str, end: int)
                 sink = system.open_output_stream(inner, compression=None)
                 writer = FrameWriter(sink)
             names = batch.column("doc_id").slice(at, len(texts)).to_pylist()
-            for doc_id, ids in zip(names, library_coder(path).encode_batch(texts), strict=True):
-                writer.add(doc_id, ids + tail)
+            ids, counts = library_coder(path, REMEMBERED).encode(texts, end)
+            ends = np.cumsum(counts)
+            for doc_id, i, j in zip(names, (ends - counts).tolist(), ends.tolist(), strict=True):
+                writer.add(doc_id, ids[i:j].tobytes())
     if writer is None:
         return
     writer.close()

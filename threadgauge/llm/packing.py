@@ -21,13 +21,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadgauge.llm.bpe import _blocks
-from threadgauge.llm.common import written
-from threadgauge.llm.tokens import library_coder
+from threadgauge.llm.common import sole, written
+from threadgauge.llm.tokens import REMEMBERED, library_coder
 
 CAPACITY = 1024
 END = 2
 RANKED_AT_ONCE = 4096
-REMEMBERED = 200_000
 
 
 def pieces_of(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -38,18 +37,20 @@ def pieces_of(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def _cut(batches: Iterator[pa.RecordBatch], path: str, end: int, capacity: int) -> Iterator[pa.RecordBatch]:
     coder = library_coder(path, REMEMBERED)
-    tail = np.array([end], dtype="<u4").tobytes()
     for batch in batches:
         for at, texts in _blocks(batch, "text"):
-            owner, rows = [], []
-            for k, ids in enumerate(coder.encode_batch(texts)):
-                ids += tail
-                for j, (start, length) in enumerate(pieces_of(len(ids) // 4, capacity)):
-                    owner.append(at + k)
-                    rows.append((j, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
-            piece, start, length, crc = zip(*rows, strict=True)
+            ids, counts = coder.encode(texts, end)
+            first = (counts - 1) % capacity + 1
+            pieces = (counts - first) // capacity + 1
+            owner = np.repeat(np.arange(len(counts)), pieces)
+            piece = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            start = np.where(piece == 0, 0, first[owner] + (piece - 1) * capacity)
+            length = np.where(piece == 0, first[owner], capacity)
+            begin = 4 * ((np.cumsum(counts) - counts)[owner] + start)
+            raw = memoryview(ids.view(np.uint8))
+            crc = [zlib.crc32(raw[i:j]) for i, j in zip(begin.tolist(), (begin + 4 * length).tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(owner)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
+                [batch.column("doc_id").take(pa.array(at + owner)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())],
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
@@ -239,6 +240,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def _place(batches: Iterator[pa.RecordBatch], places: np.ndarray) -> Iterator[pa.RecordBatch]:
+    sole("places", int)  # lets go of what an earlier operator remembered
     keys = places[:, 0] << 48 | places[:, 1]
     for batch in batches:
         rank = batch.column("rank").to_numpy()
