@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
 from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,13 +54,25 @@ def sole(key: object, make: Callable[[], T]) -> T:
     """What ``make`` gives for ``key``, kept in this worker until another key is asked for.
 
     Workers outlive stages; the memory of one operator must not stay beside the next one's.
+    So it also goes back to the system, from Arrow's pool and from the allocator.
     """
     if key not in _SOLE:
         _SOLE.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
         _SOLE[key] = make()
     return _SOLE[key]
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts go to Python workers ``rows`` at a time in this session, if it takes more so far."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """``base``, with underscores added until no column of ``df`` has that name."""
     taken = {c.lower() for c in df.columns}
