@@ -395,6 +395,17 @@ def _(t: Tables):
     return t.spark.read.parquet(path)
 
 
+@plan("snk_04_written_label_sets", """SELECT c_mktsegment AS label_set, c_custkey AS comment_id, 0.5::DOUBLE AS selection_prob FROM customer WHERE c_mktsegment NOT IN ('BUILDING')
+ UNION ALL SELECT 'BUILDING', s_suppkey, 0.25::DOUBLE FROM supplier""")
+def _(t: Tables):
+    path = f"{scratch(t)}/labels"
+    old = t.customer.select(F.col("c_mktsegment").alias("label_set"), F.col("c_custkey").alias("comment_id"), F.lit(0.5).alias("selection_prob"))
+    new = t.supplier.select(F.lit("BUILDING").alias("label_set"), F.col("s_suppkey").alias("comment_id"), F.lit(0.25).alias("selection_prob"))
+    for rows in (old, new):
+        sinks.write_label_sets(rows, path)
+    return sinks.read_label_sets(t.spark, path, "label_set string, comment_id bigint, selection_prob double")
+
+
 @plan("snk_05_gated_publish", "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1")
 def _(t: Tables):
     from threadgauge.operators.gates import forbidden_fields
