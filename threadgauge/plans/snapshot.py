@@ -327,12 +327,15 @@ def _(t: Tables):
     return sinks.replace_label_sets(old, new)
 
 
-@plan("snk_06_conform", "SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CAST(o_totalprice AS INTEGER) // 1 * 0 AS zero FROM orders")
+@plan("snk_06_conform", "SELECT o_orderkey, CAST(floor(o_totalprice) AS INTEGER) AS whole, CAST(o_totalprice AS DOUBLE) AS price, o_orderstatus FROM orders")
 def _(t: Tables):
     from threadgauge.schemas import conform
 
-    rows = t.orders.select("o_orderkey", F.lit("0").alias("zero"))
-    return conform(rows, "o_orderkey bigint, zero int")
+    rows = t.orders.select(
+        F.lit("dropped").alias("extra"), "o_orderstatus", F.col("o_totalprice").cast("string").alias("price"),
+        F.floor("o_totalprice").cast("string").alias("whole"), F.col("o_orderkey").cast("string").alias("o_orderkey"),
+    )
+    return conform(rows, "o_orderkey bigint, whole int, price double, o_orderstatus string")
 
 
 @plan("snk_07_bounded_listing", """SELECT doc_id AS id, source AS domain, CAST(n_chars AS DOUBLE) / 1000 AS severity_raw,
