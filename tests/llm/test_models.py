@@ -4,7 +4,9 @@ import base64
 import hashlib
 import os
 import random
+import time
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -225,3 +227,72 @@ def test_pipeline_stages_take_effect(spark):
     assert len(set(texts)) == len(texts)
     packed = corpus_pipeline.run(spark, FOLDER)
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == {r["doc_id"] for r in now.select("doc_id").collect()}
+
+
+@pytest.mark.parametrize(
+    "piece",
+    ["<a ", "<a href='x", "<div>x", '<a b=">"', "</b>", "<b hidden>x", '<p title="x>y', "3 < 5 ", "<script>", "<textarea></b", "<![CDATA[", "<!--", "<article>x</article>"],
+)
+def test_main_text_of_broken_pages_is_linear(piece):
+    def seconds(size):
+        page = piece * (size // len(piece))
+        began = time.process_time()
+        mainpage.main_text(page)
+        return time.process_time() - began
+
+    seconds(10_000)
+    assert seconds(800_000) < 20 * max(seconds(100_000), 0.02)
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<p class='it's'>Hello, you.</p>", "Hello, you."),
+        ("<p it's>Hello, you.</p>", "Hello, you."),
+        ('<p title="5 > 4">Hello, you.</p>', "Hello, you."),
+        ('<p title="5 > 4" class="x>Hello, you.</p>', "Hello, you."),
+        ("<p>Hello, you.</p><a href='x", "Hello, you."),
+        ("<p>3 < 5 &amp; 4, fine.</p>", "3 < 5 & 4, fine."),
+        ("<article><header><h1>Title here.</h1></header><p>Body one. Body two.</p></article>", "Title here. Body one. Body two."),
+        ("<header><h1>Site, name.</h1></header><article><p>Body one. Body two.</p></article>", "Body one. Body two."),
+    ],
+)
+def test_main_text_markup_rules(page, text):
+    assert mainpage.main_text(page) == text
+
+
+class _Naive(HTMLParser):
+    """Text of well-formed pages by the standard parser: everything outside the parts that the page names."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.off, self.out = [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag != "br":
+            self.off.append((tag, tag in mainpage.UNSEEN or any(k == "class" and v in mainpage.NAMED for k, v in attrs)))
+
+    def handle_endtag(self, tag):
+        while self.off and self.off.pop()[0] != tag:
+            pass
+
+    def handle_data(self, data):
+        if not any(bad for _, bad in self.off):
+            self.out.append(data)
+
+
+def test_main_text_of_generated_pages_equals_the_standard_parser():
+    draw = random.Random(7)
+    words = "river stone, market light. window paper; engine garden? cloud letter! &amp; &eacute;t&eacute;".split()
+    for _ in range(200):
+        body = []
+        for _ in range(draw.randint(1, 12)):
+            line = " ".join(draw.choices(words, k=draw.randint(30, 60)))
+            body.append(f"<p>{line} <b>{draw.choice(words)}</b></p>")
+            if draw.random() < 0.4:
+                part = draw.choice(["nav", "aside", "footer", "form", "div class='sidebar'", "div class='cookie'", "div class='comments'"])
+                body.append(f"<{part}><a href='/x>y'>{draw.choice(words)}</a></{part.split()[0]}>")
+        page = f"<html><head><title>No</title><style>p {{}}</style></head><body><nav>Home</nav><article>{''.join(body)}</article><script>var a = '<p>';</script></body></html>"
+        naive = _Naive()
+        naive.feed(page)
+        assert mainpage.main_text(page) == " ".join(" ".join(naive.out).split())

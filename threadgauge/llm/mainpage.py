@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import html as htmllib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,7 +55,8 @@ NAMED = frozenset(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：]")
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r">|=\s*([\"'])")
 _NAMES = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 # Words that qualify a part's name, and endings that only say that it is a box.
@@ -76,9 +78,12 @@ def _names_part(token: str) -> bool:
     return bool(words) and words[-1] in NAMED
 
 
-def _unwanted(tag: str, attributes: str, named: bool = True) -> bool:
-    """Whether a tag or (if ``named``) its names mark a part of the page that is no content."""
-    if tag in UNSEEN:
+def _unwanted(tag: str, attributes: str, named: bool = True, in_article: bool = False) -> bool:
+    """Whether a tag or (if ``named``) its names mark a part of the page that is no content.
+
+    A header inside an article is the article's own.
+    """
+    if tag in UNSEEN and not (in_article and tag == "header"):
         return True
     if not attributes or tag in ("html", "body"):
         return False
@@ -88,18 +93,91 @@ def _unwanted(tag: str, attributes: str, named: bool = True) -> bool:
             return True
         if name == "role" and value.lower() in ROLES:
             return True
-        if named and name in ("class", "id") and any(map(_names_part, value.split())):
-            return True
+        if named and name in ("class", "id"):
+            if any(_names_part(t) and not (in_article and t.lower().endswith("header")) for t in value.split()):
+                return True
     return False
 
 
-def blocks(page: str, named: bool = True) -> list[tuple[str, str, bool, int]]:
-    """(path of block tags, text, whether it may be content, number of its outermost landmark or -1) of each block in page order.
+def _after_raw(page: str, tag: str, at: int) -> int:
+    """Where the page goes on after the end tag of a raw text element; the page's end if it has none."""
+    end = re.compile(rf"</{re.escape(tag)}\s*>?", re.I).search(page, at)
+    return end.end() if end else len(page)
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """("text", text, ""), ("open", tag, attributes) and ("close", tag, "") in page order, in time linear in the page.
 
-    Without ``named`` classes and ids rule nothing out.
+    A quote opens a value only after ``=``. Where it is never closed, the tag
+    ends at the next ``>``. Where no unquoted ``>`` follows at all, quotes count
+    for nothing from that tag on. A tag without any ``>`` ends with the page, as
+    do unclosed comments. Raw text elements come without their content.
     """
-    out: list[tuple[str, str, bool, int]] = []
-    stack: list[tuple[str, bool]] = []  # block tag, unwanted from here on
+    at, n, quotes = 0, len(page), True
+
+    def tag_end(start: int) -> int:
+        """Position of the ``>`` of a tag whose name ends at ``start``, or -1."""
+        nonlocal quotes
+        i = start
+        while quotes:
+            m = _STOP.search(page, i)
+            if m is None:
+                # Happens once: from here on the first plain ``>`` counts.
+                quotes = False
+                break
+            if not m.group(1):
+                return m.start()
+            closing = page.find(m.group(1), m.end())
+            if closing < 0:
+                # The last quote of its kind on the page, so this happens once a kind.
+                return page.find(">", m.end())
+            i = closing + 1
+        return page.find(">", start)
+
+    while at < n:
+        start = page.find("<", at)
+        if start < 0:
+            yield "text", htmllib.unescape(page[at:]), ""
+            return
+        if start > at:
+            yield "text", htmllib.unescape(page[at:start]), ""
+        m = _TAG.match(page, start)
+        if m:
+            end = tag_end(m.end())
+            if end < 0:
+                return
+            at, tag = end + 1, m.group(2).lower()
+            if m.group(1):
+                yield "close", tag, ""
+                continue
+            yield "open", tag, page[m.end() : end]
+            if tag in RAW:
+                at = _after_raw(page, tag, at)
+        elif page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = end + 3 if end >= 0 else n
+        elif page.startswith("<![CDATA[", start):
+            end = page.find("]]>", start + 9)
+            yield "text", page[start + 9 : end if end >= 0 else n], ""
+            at = end + 3 if end >= 0 else n
+        elif page.startswith(("<!", "<?"), start):
+            end = page.find(">", start)
+            at = end + 1 if end >= 0 else n
+        else:
+            yield "text", "<", ""
+            at = start + 1
+
+
+def blocks(page: str, named: bool = True) -> list[tuple[int, str, bool, int]]:
+    """(number of the path of block tags, text, whether it may be content, number of its outermost landmark or -1) of each block in page order.
+
+    Without ``named`` classes and ids rule nothing out. Paths are numbered by
+    parent and tag, so deep pages cost no more than flat ones.
+    """
+    out: list[tuple[int, str, bool, int]] = []
+    numbers: dict[tuple[int, str], int] = {}
+    stack: list[tuple[str, bool, int]] = []  # block tag, unwanted from here on, path
+    opened: Counter[str] = Counter()
     marks: list[int] = []
     text: list[str] = []
     bad, landmarks = 0, 0
@@ -109,70 +187,52 @@ def blocks(page: str, named: bool = True) -> list[tuple[str, str, bool, int]]:
             found = " ".join("".join(text).split())
             text.clear()
             if found:
-                out.append(("/".join(t for t, _ in stack), found, not bad, marks[0] if marks else -1))
+                out.append((stack[-1][2] if stack else -1, found, not bad, marks[0] if marks else -1))
 
-    def close(k: int) -> None:
+    def pop() -> str:
         nonlocal bad
-        while len(stack) > k:
-            tag, unwanted = stack.pop()
-            bad -= unwanted
-            if tag in LANDMARKS:
-                marks.pop()
+        tag, unwanted, _ = stack.pop()
+        opened[tag] -= 1
+        bad -= unwanted
+        if tag in LANDMARKS:
+            marks.pop()
+        return tag
 
-    at, n = 0, len(page)
-    while at < n:
-        m = _TOKEN.search(page, at)
-        if not m:
-            rest = page[at:]
-            cut = re.search(r"<[a-zA-Z/!?]", rest)
-            text.append(htmllib.unescape(rest[: cut.start()] if cut else rest))
-            break
-        if m.start() > at:
-            text.append(htmllib.unescape(page[at : m.start()]))
-        at = m.end()
-        name = m.group(2)
-        if name is None:
-            if m.group().startswith("<![CDATA["):
-                text.append(m.group()[9:].removesuffix("]]>"))
-            continue
-        tag = name.lower()
-        if m.group(1):
-            if tag == "br":
+    for kind, value, attributes in tokens(page):
+        if kind == "text":
+            text.append(value)
+        elif kind == "close":
+            if value == "br":
                 text.append(" ")
-            elif tag in INLINE:
-                if any(t == tag for t, _ in stack):
-                    flush()
-                    close(max(i for i, (t, _) in enumerate(stack) if t == tag))
-            else:
+                continue
+            if value not in INLINE:
+                flush()
+            if opened[value]:
                 flush()
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        close(i)
-                        break
-            continue
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>?", re.I).search(page, at)
-            at = end.end() if end else n
+                while pop() != value:
+                    pass
+        elif value in RAW:
             flush()
-            continue
-        if tag in VOID:
+        elif value in VOID:
             text.append(" ")
-            if tag == "hr":
+            if value == "hr":
                 flush()
-            continue
-        unwanted = _unwanted(tag, m.group(3) or "", named)
-        if tag in INLINE and not unwanted:
-            continue
-        flush()
-        if stack and tag in CLOSES.get(stack[-1][0], ()):
-            close(len(stack) - 1)
-        if (m.group(3) or "").rstrip().endswith("/") and tag in INLINE:
-            continue
-        stack.append((tag, unwanted))
-        bad += unwanted
-        if tag in LANDMARKS:
-            marks.append(landmarks)
-            landmarks += 1
+        else:
+            unwanted = _unwanted(value, attributes, named, opened["article"] > 0)
+            if value in INLINE and not unwanted:
+                continue
+            flush()
+            if stack and value in CLOSES.get(stack[-1][0], ()):
+                pop()
+            if attributes.rstrip().endswith("/") and value in INLINE:
+                continue
+            path = numbers.setdefault((stack[-1][2] if stack else -1, value), len(numbers))
+            stack.append((value, unwanted, path))
+            opened[value] += 1
+            bad += unwanted
+            if value in LANDMARKS:
+                marks.append(landmarks)
+                landmarks += 1
     flush()
     return out
 
@@ -201,10 +261,11 @@ def main_text(page: str, share: float = SHARE) -> str:
     by_path = np.bincount(own, fused) / per
     by_block = by_path[own]
     owner = np.array([found[i][3] for i in may])
-    for k in set(owner[owner >= 0].tolist()):
-        inside = owner == k
-        weight = fused[inside].sum() / fused.sum() * fused[inside].mean()
-        by_block[inside] = np.maximum(by_block[inside], weight)
+    inside = owner >= 0
+    if inside.any():
+        sums, sizes = np.bincount(owner[inside], fused[inside]), np.bincount(owner[inside])
+        weight = sums / fused.sum() * sums / np.maximum(sizes, 1)
+        by_block[inside] = np.maximum(by_block[inside], weight[owner[inside]])
     limit = min(share * fused.std(), by_path.max())
     return " ".join(found[i][1] for i, figure in zip(may, by_block, strict=True) if figure >= limit)
 
@@ -224,7 +285,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """(page_id, url, text, n_chars) of every row; ``n_chars`` counts code points.
 
     Null html is empty and gives an empty text. Broken markup ends where the page
-    ends. Repeated rows give equal texts; other columns are ignored; no rows give
+    ends (rules in ``tokens``); time is linear in the page, broken or not. Repeated rows give equal texts; other columns are ignored; no rows give
     no rows.
     """
     rows = pages.select(
