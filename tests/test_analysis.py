@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 
 import pytest
@@ -146,3 +147,22 @@ def test_display_label_cap(spark):
     rows = spark.createDataFrame([("a", "Full text")], "k string, full string")
     with pytest.raises(ValueError):
         rp.display_labels(rows, spark.createDataFrame([("a", "x" * 40)], "k string, short string"), "k", "full")
+
+
+def test_tail_of_the_normal_law(spark):
+    points = [0.0, 0.3, -1.0, 1.96, 4.5, -7.0, 12.0]
+    got = spark.createDataFrame([(z,) for z in points], "z double").select("z", ds.two_sided_p(F.col("z")).alias("p")).collect()
+    assert all(abs(r.p / math.erfc(abs(r.z) / math.sqrt(2)) - 1) < 1.3e-7 for r in got)
+
+
+def test_term_counts_by_hand(spark):
+    text = "Rust's build fails; c++ builds, build c++. rust build a++ 9lives node.js. +++ x"
+    rows = spark.createDataFrame([("g", "ann", text), ("g", "ann", "build"), ("g", None, "build"), ("g", "", "Builds"), (None, "ann", "build"), ("g", "bob", "")], "group_id string, author string, text string")
+    got = {(r.author, r.term): (r.c, r.n) for r in ds.term_counts(rows).collect()}
+    assert got["ann", "build"] == (4, 2) and got["ann", "c++"] == (2, 1) and got["ann", "rust build"] == (2, 1) and got["ann", "node.js"] == (1, 1)
+    assert got[None, "build"] == (1, 1) and got["", "builds"] == (1, 1) and ("ann", "x") not in got
+    stats, words, totals = ds.term_stats(rows, least=2)
+    kept = {r.canon: (r.cnt, r.n_comments, r.n_authors) for r in stats.collect()}
+    assert kept == {"build": (7, 5, 1)}
+    assert [(r.canon, r.corpus, r.display, sorted(r.words)) for r in words.collect()] == [("build", 7, "build", ["build", "builds"])]
+    assert [r.n for r in totals.collect()] == [sum(c for c, _ in got.values())]

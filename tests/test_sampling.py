@@ -191,3 +191,25 @@ def test_frame_v1_tiers(spark):
     assert {r.comment_id: r.stratum for r in sp.frame_v1(comments, stories, (5, 50)).collect()} == {1: "P01|story|e1", 2: "P01|story|e0"}
     cut = sp.engagement_cutpoints(spark.createDataFrame([(5,), (50,), (500,)], "descendants long")).first()
     assert (cut.lo, cut.hi) == (5, 50)
+
+
+def test_ranks_follow_the_rows_not_a_fixed_number_of_buckets(spark, monkeypatch):
+    monkeypatch.setattr(spread, "RANGE_ROWS", 50)
+    rows = spark.range(2000).select(F.when(F.col("id") % 3 == 0, None).otherwise(F.lit("k")).alias("k"), F.concat(F.lit("same-prefix-" * 4), F.col("id") % 1000).alias("v"))
+    got = spread.value_ranks(rows, ["k"], "v", bucket="b")
+    sizes = got.groupBy("b").agg(F.sum("n").alias("n")).collect()
+    assert len(sizes) > 20 and max(r.n for r in sizes) < 400
+    frame = rows.toPandas()
+    for key, part in frame.groupby("k", dropna=False):
+        values = sorted(part["v"])
+        mine = {r.v: (r.n, r.n_below) for r in got.collect() if (r.k or "") == ("k" if key == "k" else "")}
+        assert mine == {v: (values.count(v), values.index(v)) for v in set(values)}
+
+
+def test_hash_buckets_grow_as_the_root_of_the_largest_key(spark):
+    for n, most in ((100, 40), (40_000, 600)):
+        rows = spark.range(n).withColumn("k", F.when(F.col("id") % 4 == 0, F.col("id")))
+        dealt = spread._prefixed(rows, ["k"], hash60(F.lit("s"), F.col("id").cast("string")))
+        sizes = dealt.groupBy("k", "__b").count().agg(F.max("count"), F.countDistinct("__b")).first()
+        assert sizes[0] < most and sizes[1] <= 2 * n**0.5 + 2
+    assert spread.hash_rank(spark.range(0), [], F.col("id"), ["id"]).count() == 0

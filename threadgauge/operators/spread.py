@@ -1,8 +1,11 @@
 """Ranks, draws and quantiles that never hold one key's rows in one task.
 
 A plain window puts every row of a key into one task. Here each key is cut into
-buckets (by hash or by value bounds); a small table of bucket counts gives the
-offset of every bucket and rows are ordered only inside their bucket.
+buckets, by hash prefix or by range partition; a small table of bucket counts
+gives the offset of every bucket and rows are ordered only inside their bucket.
+How many buckets there are follows the number of rows: of the largest key's n
+rows, a hash bucket holds about the root and so does the table of its buckets; a
+range bucket holds about ``RANGE_ROWS`` rows at most.
 """
 
 from __future__ import annotations
@@ -15,7 +18,8 @@ from pyspark.sql import functions as F
 from threadgauge.functions.hashing import HASH_BITS
 from threadgauge.session import cut_lineage
 
-BUCKET_BITS = 8
+RANGE_ROWS = 1 << 20
+MOST_BITS = 30
 ALL = "__all"
 
 
@@ -34,6 +38,22 @@ def _offsets(bucketed: DataFrame, keys: list[str], amount: Column) -> DataFrame:
     )
 
 
+def _prefixed(df: DataFrame, keys: list[str], draw: Column) -> DataFrame:
+    """``df`` with a hash ``__h`` and its bucket ``__b``: the prefix of half as many bits as the largest key's row count has."""
+    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n"))
+    bits = largest.select(F.least(F.ceil(F.log2(F.greatest("n", F.lit(1))) / 2), F.lit(MOST_BITS)).cast("int")).scalar()
+    hashed = df.withColumn("__h", draw)
+    return hashed.withColumn("__b", F.call_function("shiftright", F.col("__h"), F.lit(HASH_BITS) - F.coalesce(bits, F.lit(0))))
+
+
+def ranged(df: DataFrame, order: Sequence[Column | str], rows: int) -> DataFrame:
+    """``df`` written in range partitions of ``order``, numbered in ``__b``; more partitions than usual if ``rows`` need them."""
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    needed = -(-rows // RANGE_ROWS)
+    dealt = df.repartitionByRange(needed, *order) if needed > usual else df.repartitionByRange(*order)
+    return cut_lineage(dealt.withColumn("__b", F.spark_partition_id()))
+
+
 def join_nulls(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner join on ``keys`` where null equals null; the keys appear once."""
     renamed = right.withColumnsRenamed({k: f"__k_{k}" for k in keys})
@@ -46,13 +66,10 @@ def join_nulls(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFr
 
 def hash_rank(
     df: DataFrame, keys: Sequence[str], draw: Column, tie: Sequence[str], name: str = "draw_rank",
-    bits: int = BUCKET_BITS,
 ) -> DataFrame:
     """1-based rank inside ``keys`` by a 60-bit hash, ties by ``tie``."""
     df, keys = _keyed(df, keys)
-    bucketed = df.withColumn("__h", draw).withColumn(
-        "__b", F.shiftright(F.col("__h"), HASH_BITS - bits)
-    )
+    bucketed = _prefixed(df, keys, draw)
     offsets = _offsets(bucketed, keys, F.count(F.lit(1)))
     inside = Window.partitionBy(*keys, "__b").orderBy("__h", *tie)
     ranked = bucketed.withColumn("__r", F.row_number().over(inside))
@@ -64,7 +81,7 @@ def hash_rank(
 
 def take_by_hash(
     df: DataFrame, keys: Sequence[str], draw: Column, tie: Sequence[str], quota: DataFrame,
-    n: str = "n_take", name: str = "draw_rank", bits: int = BUCKET_BITS,
+    n: str = "n_take", name: str = "draw_rank",
 ) -> DataFrame:
     """The ``n`` rows with the smallest hash in each key, exact at any key size.
 
@@ -75,9 +92,7 @@ def take_by_hash(
     keys = list(keys)
     if not keys:
         df, quota, keys = df.withColumn(ALL, F.lit(0)), quota.withColumn(ALL, F.lit(0)), [ALL]
-    bucketed = df.withColumn("__h", draw).withColumn(
-        "__b", F.shiftright(F.col("__h"), HASH_BITS - bits)
-    )
+    bucketed = _prefixed(df, keys, draw)
     offsets = _offsets(bucketed, keys, F.count(F.lit(1)))
     wanted = join_nulls(offsets, quota.select(*keys, F.col(n).alias("__take")), keys).filter("__off < __take")
     inside = Window.partitionBy(*keys, "__b").orderBy("__h", *tie)
@@ -96,51 +111,40 @@ def ordered_rank(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame
     Rows are dealt to range partitions and written; a small table of rows per
     partition gives offsets, and rows are numbered inside their partition.
     """
-    dealt = cut_lineage(df.repartitionByRange(*order).withColumn("__b", F.spark_partition_id()))
-    dealt, keys = _keyed(dealt, [])
+    dealt, keys = _keyed(ranged(df, order, df.count()), [])
     offsets = _offsets(dealt, keys, F.count(F.lit(1))).select("__b", "__off")
     inside = Window.partitionBy("__b").orderBy(*order)
     ranked = dealt.withColumn("__r", F.row_number().over(inside)).join(offsets, "__b")
     return ranked.withColumn(name, (F.col("__r") + F.col("__off")).cast("bigint")).drop("__b", "__r", "__off", ALL)
 
 
-def value_bounds(df: DataFrame, value: str, buckets: int) -> list[float]:
-    """Cut points from approximate quantiles; only the cut points reach the driver."""
-    probs = [i / buckets for i in range(1, buckets)]
-    found = df.select(F.col(value).cast("double").alias("v")).approxQuantile("v", probs, 0.002)
-    return sorted(set(found))
-
-
 def value_ranks(
     df: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str] = (), descending: bool = False,
-    buckets: int = 32,
+    bucket: str | None = None,
 ) -> DataFrame:
     """One row per (keys, value): ``n`` rows, ``n_below`` rows ordered before it.
 
     ``sums`` columns are added up per value and, as ``<c>_below``, over all
-    values ordered before it. Equal values are merged before anything is sorted.
+    values ordered before it. Equal values are merged before anything is sorted;
+    keys and values are then dealt to range partitions, so a large key spreads
+    over many. ``bucket`` names a column for the range partition, which grows in
+    the order asked for.
     """
-    df, keys = _keyed(df, keys)
-    merged = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in sums]
-    )
-    bounds = value_bounds(df, value, buckets)
-    bucket = F.lit(0)
-    for b in bounds:
-        bucket = bucket + F.when(F.col(value) > F.lit(b), 1).otherwise(0)
-    merged = merged.withColumn("__b", -bucket if descending else bucket)
+    df, keys = _keyed(df.filter(F.col(value).isNotNull()), keys)
+    merged = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in sums])
     order = F.col(value).desc() if descending else F.col(value).asc()
+    dealt = ranged(merged, [*[F.col(k) for k in keys if k != ALL], order], df.count())
     inside = Window.partitionBy(*keys, "__b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     totals = ["n", *sums]
-    steps = merged.groupBy(*keys, "__b").agg(*[F.sum(c).alias(f"__s_{c}") for c in totals])
+    steps = dealt.groupBy(*keys, "__b").agg(*[F.sum(c).alias(f"__s_{c}") for c in totals])
     steps = steps.select(
         *keys, "__b",
         *[F.coalesce(F.sum(f"__s_{c}").over(before), F.lit(0)).alias(f"__o_{c}") for c in totals],
     )
-    out = join_nulls(merged, steps, [*keys, "__b"])
+    out = join_nulls(dealt, steps, [*keys, "__b"])
     return out.select(
-        *[k for k in keys if k != ALL], value, *totals,
+        *[k for k in keys if k != ALL], value, *totals, *([F.col("__b").alias(bucket)] if bucket else []),
         *[
             (F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"__o_{c}")).alias(f"{c}_below")
             for c in totals

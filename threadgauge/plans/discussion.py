@@ -203,7 +203,8 @@ TSTATS = f"""{GROUPED.replace("'that'", "'nicht'")}, k AS (SELECT comment_id, gr
 @plan("trm_02_anonymous_terms", f"WITH {TSTATS} SELECT group_id, canon, display, CAST(cnt AS BIGINT) AS cnt, n_comments, n_authors FROM an")
 def _(t: Tables):
     rows = grouped_docs(t)
-    out = ds.anonymous_terms(*ds.term_stats(rows), rows)
+    stats, words, _totals = ds.term_stats(rows, least=20)
+    out = ds.anonymous_terms(stats, words, rows)
     return out.select("group_id", "canon", "display", "cnt", "n_comments", "n_authors")
 
 
