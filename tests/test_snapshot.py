@@ -1,3 +1,4 @@
+import gzip
 import random
 
 from pyspark.sql import functions as F
@@ -111,3 +112,22 @@ def test_item_loader_rejects_unknown_ids(spark):
     empty = comments.filter("false")
     with pytest.raises(ValueError):
         sn.load_items(spark.createDataFrame([(2,)], "id long"), comments, empty.withColumn("title", F.lit("")), empty)
+
+
+def test_broken_lines_of_a_gzip_shard(spark, tmp_path):
+    lines = [
+        '{"id": 5000, "state": "ok", "item": {"text": "a"}}', '{"id": 5001, "state": "o', "", '{"id": 5002, "state": "failed", "item": null}', "null", "[1]",
+        '{"id": "x", "state": "ok"}', '{"id": 5004, "state": "ok", "extra": 1}', "not json",
+    ]
+    path = tmp_path / "shard_000005000.jsonl.gz"
+    path.write_bytes(gzip.compress("\n".join(lines).encode()))
+    good = readers.raw_records(spark, str(path))
+    assert sorted((r.id, r.state) for r in good.collect()) == [(5000, "ok"), (5002, "failed"), (5004, "ok")]
+    bad = readers.broken_lines(spark, str(path))
+    found = sorted((r.position, r.id, r.shard, r.block, r.n_bytes) for r in bad.collect())
+    assert found == [(n, i, 5000, 0, len(lines[n - 1])) for n, i in ((2, 5001), (5, None), (6, None), (7, None), (9, None))]
+    expected = spark.createDataFrame([(5, 8), (6, 3)], "shard bigint, n_lines bigint")
+    status = sn.shard_status(good, expected, 1000, broken=bad.withColumn("shard", F.expr("shard div 1000")))
+    assert sorted(map(tuple, status.collect())) == [(5, 8, 3, 1, 5, "corrupt"), (6, 3, 0, 0, 0, "missing")]
+    wanted = spark.range(5000, 5005)
+    assert sorted(r.id for r in sn.refetch_list(wanted, good).collect()) == [5001, 5002, 5003]

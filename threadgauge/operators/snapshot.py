@@ -231,22 +231,30 @@ def verify_table(df: DataFrame, name: str, contract: str, expected_rows: int, ex
     )
 
 
-def shard_status(records: DataFrame, expected: DataFrame, size: int, id_col: str = "id", state: str = "state") -> DataFrame:
+def shard_status(records: DataFrame, expected: DataFrame, size: int, id_col: str = "id", state: str = "state", broken: DataFrame | None = None) -> DataFrame:
     """Per shard: missing, corrupt, partial or complete (SNP-17).
 
-    ``expected`` holds (shard, n_lines) as announced by shard metadata.
+    ``expected`` holds (shard, n_lines) as announced by shard metadata;
+    ``broken`` a row with ``shard`` per line that is no record. A shard with such
+    a line is corrupt, and its count is added as ``n_broken``.
     """
     shard = F.floor(F.col(id_col) / size).cast("bigint")
     seen = records.groupBy(shard.alias("shard")).agg(
         F.count(F.lit(1)).alias("n_seen"), F.count(F.when(F.col(state) == "failed", 1)).alias("n_failed")
     )
+    counted = expected.join(seen, "shard", "left")
+    n_broken = F.lit(0)
+    if broken is not None:
+        counted = counted.join(broken.groupBy("shard").agg(F.count(F.lit(1)).alias("n_broken")), "shard", "left")
+        n_broken = F.coalesce("n_broken", F.lit(0))
     status = (
-        F.when(F.col("n_seen").isNull(), "missing").when(F.col("n_seen") != F.col("n_lines"), "corrupt")
+        F.when(F.col("n_seen").isNull() & (n_broken == 0), "missing")
+        .when((n_broken > 0) | (F.col("n_seen") != F.col("n_lines")), "corrupt")
         .when(F.col("n_failed") > 0, "partial").otherwise("complete")
     )
-    return expected.join(seen, "shard", "left").select(
+    return counted.select(
         "shard", "n_lines", F.coalesce("n_seen", F.lit(0)).alias("n_seen"),
-        F.coalesce("n_failed", F.lit(0)).alias("n_failed"), status.alias("status"),
+        F.coalesce("n_failed", F.lit(0)).alias("n_failed"), *([n_broken.alias("n_broken")] if broken is not None else []), status.alias("status"),
     )
 
 

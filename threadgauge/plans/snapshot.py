@@ -363,6 +363,34 @@ def _(t: Tables):
     return sn.normalize_items(readers.raw_records(t.spark, folder)).select("id", "type", "state", "text_sha256")
 
 
+def broken_shards(t: Tables) -> str:
+    """Folder of gzip shards of 50 conversations with the lines of some ids cut short."""
+    folder = f"{scratch(t)}/broken"
+    line = F.to_json(F.struct(F.expr("conv_id * 100 + turn").alias("id"), F.expr("if(turn % 5 = 4, 'failed', 'ok')").alias("state"), F.struct("text").alias("item")))
+    cut = F.expr("(conv_id * 100 + turn) % 97 = 5")
+    rows = t.conversations.withColumn("line", line)
+    rows = rows.select(F.expr("conv_id div 50").alias("shard"), F.when(cut, F.expr("substring(line, 1, length(line) - 3)")).otherwise(F.col("line")).alias("value"))
+    rows.write.partitionBy("shard").option("compression", "gzip").text(folder)
+    return folder
+
+
+BROKEN = "c AS (SELECT conv_id * 100 + turn AS id, conv_id // 50 AS shard, (conv_id * 100 + turn) % 97 = 5 AS broken, turn % 5 = 4 AS failed FROM conversations)"
+
+
+@plan("src_01_broken_lines", f"WITH {BROKEN} SELECT shard, id, count(*) AS n FROM c WHERE broken GROUP BY ALL")
+def _(t: Tables):
+    bad = readers.broken_lines(t.spark, broken_shards(t))
+    return bad.filter("position >= 1 AND block = 0").groupBy("shard", "id").agg(F.count("*").alias("n"))
+
+
+@plan("snp_17_status_with_broken_lines", f"""WITH {BROKEN}, s AS (SELECT shard, count(*) AS n_lines, count(*) FILTER (NOT broken) AS n_seen, count(*) FILTER (failed AND NOT broken) AS n_failed, count(*) FILTER (broken) AS n_broken FROM c GROUP BY 1)
+ SELECT *, CASE WHEN n_broken > 0 THEN 'corrupt' WHEN n_failed > 0 THEN 'partial' ELSE 'complete' END AS status FROM s""")
+def _(t: Tables):
+    folder = broken_shards(t)
+    expected = t.conversations.groupBy(F.expr("conv_id div 50").alias("shard")).agg(F.count("*").alias("n_lines"))
+    return sn.shard_status(readers.raw_records(t.spark, folder), expected, 5000, broken=readers.broken_lines(t.spark, folder))
+
+
 @plan("src_05_answer_part_files", f"""{with_roles('answers')} SELECT comment_id, question_id, noul, part, seq FROM answers
  QUALIFY row_number() OVER (PARTITION BY comment_id, question_id ORDER BY part DESC, seq DESC) = 1""")
 def _(t: Tables):
