@@ -182,7 +182,7 @@ def _(t: Tables):
 @plan("str_03_latest_label", "SELECT user_id AS comment_id, event_type AS question_id, arg_max(value, event_id) AS value, max(event_id) AS seq FROM events GROUP BY ALL")
 def _(t: Tables):
     rows = stream(t).select(F.col("user_id").alias("comment_id"), F.col("event_type").alias("question_id"), "value", F.col("event_id").alias("seq"))
-    return jobs.final_state(jobs.drain(jobs.latest_label(rows), "update"), ["comment_id", "question_id"])
+    return jobs.latest_label(rows)
 
 
 @plan("str_04_period_counts", """WITH b AS (SELECT TIMESTAMP '2024-01-01' + to_seconds(CAST(floor(epoch(ts - TIMESTAMP '2024-01-01') / 216000) AS BIGINT) * 216000) AS period_start, event_type, (SELECT max(ts) FROM events) - INTERVAL 1 DAY AS wm FROM events)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from threadgauge.operators.spread import latest_by
 from threadgauge.session import new_home
+from threadgauge.sources.readers import union_by_name
 
 BATCH = "__batch"
 
@@ -22,8 +23,8 @@ def read_stream(spark: SparkSession, path: str, files_per_trigger: int = 1000) -
     """Stream of a Parquet folder or file with the schema of its present contents."""
     schema = spark.read.parquet(path).schema
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(hadoop).isFile():
+    fs, hadoop = _store(spark, path)
+    if fs.getFileStatus(hadoop).isFile():
         return reader.option("pathGlobFilter", hadoop.getName()).parquet(hadoop.getParent().toString())
     return reader.parquet(path)
 
@@ -89,9 +90,48 @@ def with_open_calls(resolved: DataFrame, pending: DataFrame) -> DataFrame:
     return resolved.select(*rest.columns, "cost_class").unionByName(rest.withColumn("cost_class", F.lit("pending")))
 
 
-def latest_label(labels: DataFrame) -> DataFrame:
-    """Last label per (comment, question) kept as streaming state (STR-3)."""
-    return labels.groupBy("comment_id", "question_id").agg(F.max_by("value", "seq").alias("value"), F.max("seq").alias("seq"))
+def _store(spark: SparkSession, path: str):
+    """(file system, path) of a folder, by the session's own settings."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
+
+
+def _versions(spark: SparkSession, table: str) -> list[int]:
+    """Numbers of a table's complete versions, ascending."""
+    fs, folder = _store(spark, f"{table}/version=*/_SUCCESS")
+    found = fs.globStatus(folder) or []
+    return sorted(int(s.getPath().getParent().getName().removeprefix("version=")) for s in found)
+
+
+def latest_label(labels: DataFrame, home: str | None = None, expire: str | None = None) -> DataFrame:
+    """Last label per (comment, question) of a log, kept as a table that outlives the stream (STR-3).
+
+    Each batch is reduced to its last labels and merged with the newest complete
+    version of the table into a version of its own number, so a repeated batch
+    gives the same version and nothing is kept as streaming state. ``seq``
+    decides, so late rows lose and repeated ones change nothing. With ``expire``
+    (an interval, on the column ``ts``) labels that much older than the newest
+    one go. The two newest versions stay on disk.
+    """
+    spark = labels.sparkSession
+    home = home or new_home(spark)
+    table, schema, keys = f"{home}/latest", labels.schema, ["comment_id", "question_id"]
+
+    def merge(batch: DataFrame, number: int) -> None:
+        older = [v for v in _versions(spark, table) if v < number]
+        known = [spark.read.schema(schema).parquet(f"{table}/version={older[-1]}")] if older else []
+        merged = latest_by(union_by_name(latest_by(batch, keys, ["seq"]), *known), keys, ["seq"])
+        if expire:
+            merged = merged.filter(F.col("ts") >= merged.agg(F.max("ts")).scalar() - F.expr(f"INTERVAL {expire}"))
+        merged.write.mode("overwrite").parquet(f"{table}/version={number}")
+        for v in older[:-1]:
+            fs, folder = _store(spark, f"{table}/version={v}")
+            fs.delete(folder, True)
+
+    query = labels.writeStream.option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).foreachBatch(merge).start()
+    query.awaitTermination()
+    done = _versions(spark, table)
+    return spark.read.schema(schema).parquet(f"{table}/version={done[-1]}") if done else spark.createDataFrame([], schema)
 
 
 def period_counts(events: DataFrame, start: str, period_seconds: int, delay: str = "1 day") -> DataFrame:
