@@ -57,13 +57,20 @@ def concentration_shares(rows: DataFrame) -> DataFrame:
 
     A null story stands for itself; null authors stay out of the author share.
     """
+    return _largest(rows).select("card_id", "max_thread_share", "max_author_share")
+
+
+def _largest(rows: DataFrame) -> DataFrame:
+    """Per card: numbers of threads and authors and the shares of the largest of them, from rows merged by thread and by author."""
     own = F.coalesce(F.concat(F.lit("s"), F.col("story_id").cast("string")), F.concat(F.lit("c"), F.col("comment_id").cast("string")))
-    threads = rows.groupBy("card_id", own.alias("k")).agg(F.count(F.lit(1)).alias("n")).groupBy("card_id").agg(
-        F.max("n").alias("__t"), F.sum("n").alias("__n")
+    threads = rows.groupBy("card_id", own.alias("k")).agg(F.count(F.lit(1)).alias("n"), F.max(F.col("story_id").isNotNull().cast("int")).alias("thread"))
+    threads = threads.groupBy("card_id").agg(F.max("n").alias("__t"), F.sum("n").alias("__n"), F.sum("thread").alias("n_threads"))
+    authors = rows.filter("author IS NOT NULL").groupBy("card_id", "author").agg(F.count(F.lit(1)).alias("n")).groupBy("card_id").agg(
+        F.max("n").alias("__a"), F.count(F.lit(1)).alias("n_authors")
     )
-    authors = rows.filter("author IS NOT NULL").groupBy("card_id", "author").agg(F.count(F.lit(1)).alias("n")).groupBy("card_id").agg(F.max("n").alias("__a"))
     return threads.join(authors, "card_id", "left").select(
-        "card_id", (F.col("__t") / F.col("__n")).alias("max_thread_share"), (F.col("__a") / F.col("__n")).alias("max_author_share")
+        "card_id", (F.col("__t") / F.col("__n")).alias("max_thread_share"), (F.col("__a") / F.col("__n")).alias("max_author_share"),
+        "n_threads", F.coalesce("n_authors", F.lit(0)).alias("n_authors"),
     )
 
 
@@ -76,23 +83,27 @@ def unsolved_rates(rows: DataFrame, replies: DataFrame) -> DataFrame:
 
 
 def card_metrics(rows: DataFrame, cap: int = 3, replies: DataFrame | None = None) -> DataFrame:
-    """All per-card metrics of the ranking (CRD-2)."""
+    """All per-card metrics of the ranking (CRD-2).
+
+    Threads and authors are counted from rows merged by them; periods, domains
+    and roles come from short fixed lists, so a set of each is merged per card.
+    No row is repeated for a distinct count.
+    """
 
     def stated(col: str) -> Column:
         return F.when(~F.col(col).isin(*NOT_STATED), F.col(col))
 
     half = F.when(F.col("period").between("P01", "P06"), "H1").when(F.col("period").between("P07", "P12"), "H2")
     base = rows.groupBy("card_id").agg(
-        F.count(F.lit(1)).alias("n_comments"), F.countDistinct("author").alias("n_authors"),
-        F.countDistinct("story_id").alias("n_threads"), F.countDistinct("period").alias("n_periods"),
-        F.countDistinct(half).alias("n_halfyears"), F.countDistinct(stated("domain")).alias("n_domains"),
-        F.countDistinct(stated("role")).alias("n_roles"), *[yes_rate(f"f_{s}").alias(f"{s}_rate") for s in SIGNALS],
+        F.count(F.lit(1)).alias("n_comments"),
+        *[F.size(F.collect_set(c)).cast("bigint").alias(n) for n, c in (("n_periods", F.col("period")), ("n_halfyears", half), ("n_domains", stated("domain")), ("n_roles", stated("role")))],
+        *[yes_rate(f"f_{s}").alias(f"{s}_rate") for s in SIGNALS],
         F.try_divide(F.count(F.when(F.col("resolution") == "unresolved", 1)).cast("double"), F.count("resolution")).alias("unresolved_rate"),
         F.avg("specificity").alias("mean_specificity"), F.coalesce(F.sum("weight"), F.lit(0.0)).alias("weighted_n"),
         F.min("period").alias("first_period"), F.max("period").alias("last_period"),
     )
     base = base.withColumn("commercial_rate", commercial(*[F.col(f"{s}_rate") for s in ("paid", "switched", "abandoned")]))
-    out = base.join(capped_counts(rows, cap), "card_id", "left").join(concentration_shares(rows), "card_id", "left")
+    out = base.join(capped_counts(rows, cap), "card_id", "left").join(_largest(rows), "card_id", "left")
     if replies is None:
         return out.withColumn("unsolved_rate", F.lit(None).cast("double"))
     return out.join(unsolved_rates(rows, replies), "card_id", "left")
