@@ -128,3 +128,32 @@ def test_null_band_equals_the_naive_simulation(spark):
         low, high = np.quantile(np.sort(drawn, axis=1)[:, -3:].sum(axis=1) / n, [0.025, 0.975])
         assert abs(got[card]["null_lo"] - low) <= 1.01 / n and abs(got[card]["null_hi"] - high) <= 1.01 / n
     assert es.null_band(frame.limit(0), "story", sims=5).count() == 0
+
+
+def test_draws_are_made_once_per_replicate_table(spark):
+    rows = spark.createDataFrame([(f"s{i % 2}", i % 30, f"k{i % 4}", float(1 + i % 3)) for i in range(90)], "stratum string, cluster int, kind string, weight double")
+    reps = bs.share_replicates(rows, "kind", n_rep=20, seed=2)
+    # A replicate table is written: readers that filter and join it find no draws in their plans.
+    assert "MapInArrow" not in reps._jdf.queryExecution().toString()
+    again = bs.share_replicates(rows, "kind", n_rep=20, seed=2)
+    assert sorted(map(tuple, reps.collect())) == sorted(map(tuple, again.collect()))
+
+
+def test_levels_share_draws_and_equal_single_levels(spark):
+    rows = [(f"s{i % 2}", i % 37, f"k{i % 4}", None if i % 5 == 0 else f"g{i % 3}", float(1 + i % 3), ["h1", "h2"][i % 2]) for i in range(200)]
+    frame = spark.createDataFrame(rows, "stratum string, cluster int, kind string, grp string, weight double, half string")
+    options = {"buckets": F.array(F.lit("all"), "half"), "within": True, "n_rep": 15, "seed": 4, "block": 8}
+    both = bs.level_replicates(frame, ["kind", "grp"], **options)
+    for level in ("kind", "grp"):
+        want = sorted(map(tuple, bs.share_replicates(frame, level, **options).collect()))
+        got = sorted(map(tuple, both.filter(F.col("level") == level).drop("level").collect()))
+        assert got == want and len(got) > 0
+
+
+def test_blocks_cut_by_partitions_and_small_totals(spark, monkeypatch):
+    rows = spark.createDataFrame([("a", i, f"k{i % 50}", float(i % 7)) for i in range(500)], "stratum string, cluster int, kind string, w double")
+    want = sorted(map(tuple, bs.resample(rows, ["w"], ["kind"], n_rep=30, seed=1, block=64).collect()))
+    for cells, dense in ((64, 24), (1 << 21, 0), (1 << 21, 10**9)):
+        monkeypatch.setattr(bs, "CELLS", cells)
+        monkeypatch.setattr(bs, "DENSE", dense)
+        assert sorted(map(tuple, bs.resample(rows, ["w"], ["kind"], n_rep=30, seed=1, block=64).collect())) == want

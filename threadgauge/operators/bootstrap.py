@@ -5,9 +5,10 @@ draws per replicate. Units are laid out in blocks of a few thousand. How many
 draws of a replicate fall into a block follows from a tree of binomial splits of
 the stratum's blocks: each node deals its draws over its two halves, keyed by
 seed and node, so every block finds its own numbers by walking from the root, and
-together they are exactly multinomial(m, 1/m). No draw is a row: a task holds one
-block and only its replicate totals leave it. A stratum of any size spreads over
-its blocks, and a replicate costs a walk of logarithmic length per block.
+together they are exactly multinomial(m, 1/m). No draw is a row: a task goes
+through its blocks in order, keeps the nodes that the next block shares, and only
+replicate totals over its blocks leave it. A stratum of any size spreads over its
+blocks.
 """
 
 from __future__ import annotations
@@ -17,23 +18,26 @@ from collections.abc import Iterator, Sequence
 from functools import partial
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadgauge.functions.hashing import hash60
-from threadgauge.operators.spread import hash_rank
+from threadgauge.operators.spread import hash_rank  # noqa: F401  the order of units by which tests find them
 from threadgauge.session import cut_lineage
 
 BLOCK = 4096
 REPLICATES = 2000
 POINT = -1
-# Cells of a task's working arrays: replicates go through a block in pieces of this size.
+# Numbers in a task's working arrays: replicates go through a block in pieces of a fraction of this size.
 CELLS = 1 << 21
+# Draws made at a time, and cells per unit's cell up to which a product with a full table is faster.
+DRAWS = 1 << 17
+DENSE = 24
 # Fixed values of the draw stream: golden-ratio step and a 27-bit mixing factor.
 STEP = 2654435769
 MIX = 73244475
-WORD = 0xFFFFFFFF
 
 
 def collapse(rows: DataFrame, values: Sequence[str], entity: Sequence[str] = (), stratum: str = "stratum", cluster: str = "cluster") -> DataFrame:
@@ -44,74 +48,197 @@ def collapse(rows: DataFrame, values: Sequence[str], entity: Sequence[str] = (),
     ).agg(*[F.sum(F.col(v).cast("double")).alias(v) for v in values])
 
 
+class Splits:
+    """Walks the trees of binomial splits for one task; the nodes above the last block are kept, so neighbours share them."""
+
+    def __init__(self, seed: int, n_rep: int, block: int = BLOCK, fewer: int = 0):
+        self.seed, self.n_rep, self.block, self.fewer = seed, n_rep, block, fewer
+        self.tree: tuple[str, int] | None = None
+        self.path: list[tuple[int, int, np.ndarray]] = []
+
+    def counts(self, stratum: str, number: int, m: int) -> np.ndarray:
+        """Draws of each replicate in block ``number`` of a stratum of ``m`` units."""
+        block = self.block
+        if self.tree != (stratum, m):
+            self.tree, self.path = (stratum, m), [(0, -(-m // block), np.full(self.n_rep, max(m - self.fewer, 0), dtype=np.int64))]
+        while not self.path[-1][0] <= number < self.path[-1][1]:
+            self.path.pop()
+        low, high, n = self.path[-1]
+        while high - low > 1:
+            middle = (low + high) // 2
+            share = (middle - low) * block / (min(high * block, m) - low * block)
+            key = int(hashlib.md5(f"{self.seed}|split|{stratum}|{low}|{high}".encode()).hexdigest(), 16)
+            left = np.random.Generator(np.random.Philox(key=key)).binomial(n, share)
+            self.path[-1] = (low, high, n)
+            # The right half stays below the left one, so the next block finds it.
+            self.path.append((middle, high, n - left))
+            if number < middle:
+                self.path.append((low, middle, left))
+            low, high, n = self.path[-1]
+        return n
+
+
 def split_counts(seed: int, stratum: str, number: int, m: int, n_rep: int, block: int = BLOCK, fewer: int = 0) -> np.ndarray:
     """Draws of each replicate in block ``number`` of a stratum of ``m`` units.
 
     All blocks below a node repeat the same draw for it, so the numbers of a
     replicate add up to m - fewer. More replicates do not change the first ones.
     """
-    n = np.full(n_rep, max(m - fewer, 0), dtype=np.int64)
-    low, high = 0, -(-m // block)
-    while high - low > 1:
-        middle = (low + high) // 2
-        share = (middle - low) * block / (min(high * block, m) - low * block)
-        key = int(hashlib.md5(f"{seed}|split|{stratum}|{low}|{high}".encode()).hexdigest(), 16)
-        left = np.random.Generator(np.random.Philox(key=key)).binomial(n, share)
-        n, low, high = (left, low, middle) if number < middle else (n - left, middle, high)
-    return n
+    return Splits(seed, n_rep, block, fewer).counts(stratum, number, m)
 
 
 def slot_counts(seed: int, stratum: str, number: int, size: int, reps: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """(replicates x slots): how often each slot of a block is drawn when ``n`` draws fall into it."""
+    """(replicates x slots): how often each slot of a block is drawn when ``n`` draws fall into it.
+
+    Draws are 32-bit words that wrap around, some replicates at a time so that they stay in the processor's cache.
+    """
+    out = np.zeros((len(reps), size))
     if not len(reps) or not n.any():
-        return np.zeros((len(reps), size))
-    base = np.array([int(hashlib.md5(f"{seed}|{r}|{stratum}|{number}".encode()).hexdigest()[:8], 16) for r in reps.tolist()], dtype=np.uint64)
-    word, draw = np.uint64(WORD), np.arange(n.max(), dtype=np.uint64)
-    x = (base[:, None] + draw * np.uint64(STEP)) & word
-    for _ in range(2):
-        x = (((x >> np.uint64(16)) ^ x) * np.uint64(MIX)) & word
-    x = ((x >> np.uint64(16)) ^ x) % np.uint64(size)
-    place = x.astype(np.int64) + np.arange(len(reps))[:, None] * size
-    drawn = place.ravel() if n.min() == n.max() else place[draw < n[:, None].astype(np.uint64)]
-    return np.bincount(drawn, minlength=len(reps) * size).reshape(len(reps), size).astype(np.float64)
-
-
-def _block_totals(units: pd.DataFrame, entity: list[str], values: list[str], n_rep: int, seed: int, block: int, fewer: int) -> Iterator[pd.DataFrame]:
-    """Replicate totals per entity of one block, some replicates at a time."""
-    stratum, number, size, m = (units[c].iloc[0] for c in ("stratum", "b", "mb", "m"))
-    code = units.groupby(entity, dropna=False, sort=False).ngroup().to_numpy() if entity else np.zeros(len(units), dtype=np.int64)
+        return out
+    rest = f"|{stratum}|{number}".encode()
+    base = np.frombuffer(b"".join([hashlib.md5(b"%d|%d%b" % (seed, r, rest)).digest()[:4] for r in reps.tolist()]), dtype=">u4").astype(np.uint32)
+    steps = np.arange(n.max(), dtype=np.uint32) * np.uint32(STEP)
+    at_once = max(1, DRAWS // len(steps))
+    for first in range(0, len(reps), at_once):
+        part = n[first : first + at_once]
+        x = base[first : first + at_once, None] + steps
+        y = np.empty_like(x)
+        for _ in range(2):
+            np.right_shift(x, 16, out=y)
+            np.bitwise_xor(x, y, out=x)
+            np.multiply(x, np.uint32(MIX), out=x)
+        np.right_shift(x, 16, out=y)
+        np.bitwise_xor(x, y, out=x)
+        if size & (size - 1):
+            np.floor_divide(x, np.uint32(size), out=y)
+            np.multiply(y, np.uint32(size), out=y)
+            np.subtract(x, y, out=x)
+        else:
+            np.bitwise_and(x, np.uint32(size - 1), out=x)
+        # Draws beyond a replicate's number go to a slot of their own.
+        wide = size + 1 if part.min() < len(steps) else size
+        if wide > size:
+            np.copyto(x, np.uint32(size), where=np.arange(len(steps)) >= part[:, None])
+        place = x + np.arange(len(part), dtype=np.int64)[:, None] * wide
+        out[first : first + at_once] = np.bincount(place.ravel(), minlength=len(part) * wide).reshape(len(part), wide)[:, :size]
+    return out
+
+
+class _Totals:
+    """Replicate totals of the cells a task has met: replicates x values per cell, at most about ``CELLS`` numbers unless one block has more."""
+
+    def __init__(self, entity: list[str], values: list[str], n_rep: int):
+        self.entity, self.values, self.width = entity, values, (n_rep + 1) * len(values)
+        self.rows: dict[tuple, int] = {}
+        self.sums = np.empty((0, self.width))
+
+    def add(self, cells: list[tuple], totals: np.ndarray) -> None:
+        """Adds (cells x values x replicates); a total that is not a number counts as missing."""
+        new = [c for c in cells if c not in self.rows]
+        if new:
+            self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
+            if len(self.rows) > len(self.sums):
+                grown = np.empty((2 * len(self.rows), self.width))
+                grown[: len(self.sums)] = self.sums
+                self.sums = grown
+            self.sums[len(self.rows) - len(new) : len(self.rows)] = np.nan
+        at = [self.rows[c] for c in cells]
+        held, totals = self.sums[at], totals.reshape(len(cells), self.width)
+        both = held + totals
+        gap = np.isnan(both)
+        if gap.any():
+            both[gap] = np.where(np.isnan(held), totals, held)[gap]
+        self.sums[at] = both
+
+    def full(self) -> bool:
+        return len(self.rows) * self.width > CELLS
+
+    def take(self) -> Iterator[pa.RecordBatch]:
+        """The totals as rows (rep, *entity, *values), one batch per some cells; none are held afterwards."""
+        cells, n_rep = list(self.rows), self.width // len(self.values)
+        for first in range(0, len(cells), 64):
+            part = cells[first : first + 64]
+            sums = self.sums[first : first + len(part)].reshape(len(part), len(self.values), n_rep)
+            owner = pa.array(np.repeat(np.arange(len(part)), n_rep))
+            columns = [pa.array(np.tile(np.arange(POINT, n_rep - 1, dtype=np.int32), len(part)))]
+            columns += [pa.array([c[i] for c in part], pa.string()).take(owner) for i in range(len(self.entity))]
+            columns += [pa.array(sums[:, j].ravel(), from_pandas=True) for j in range(len(self.values))]
+            yield pa.RecordBatch.from_arrays(columns, ["rep", *self.entity, *self.values])
+        self.rows, self.sums = {}, np.empty((0, self.width))
+
+
+def _block_totals(
+    splits: Splits, stratum: str, number: int, m: int, slots: np.ndarray, code: np.ndarray, n_cells: int, amounts: list[np.ndarray],
+) -> np.ndarray:
+    """(cells x values x replicates) of units in one block, the plain totals first; a slot has a cell at most once."""
+    size, n_rep = min(splits.block, m - number * splits.block), splits.n_rep
+    out = np.empty((n_cells, len(amounts), n_rep + 1))
     order = np.argsort(code, kind="stable")
-    starts = np.flatnonzero(np.r_[True, np.diff(code[order]) > 0])
-    cells = units[entity].iloc[order[starts]].reset_index(drop=True)
-    slots, amounts = units["slot"].to_numpy()[order], [units[v].to_numpy(dtype=float)[order] for v in values]
-    n = split_counts(seed, stratum, int(number), int(m), n_rep, block, fewer)
-    at_once = max(1, CELLS // max(int(size), len(units), int(n.max(initial=0))))
-    for first in range(-1, n_rep, at_once):
-        reps = np.arange(first, min(first + at_once, n_rep))
-        drawn = slot_counts(seed, stratum, int(number), int(size), reps[reps >= 0], n[reps[reps >= 0]])
-        if first < 0:
-            drawn = np.concatenate([np.ones((1, int(size))), drawn])
-        taken = drawn[:, slots]
-        out = pd.DataFrame({"rep": np.repeat(reps.astype(np.int32), len(cells))})
-        for c in entity:
-            out[c] = np.tile(cells[c].to_numpy(dtype=object), len(reps))
-        for v, amount in zip(values, amounts, strict=True):
-            out[v] = np.add.reduceat(taken * amount, starts, axis=1).ravel()
-        yield out
-
-
-def _blocks(frames: Iterator[pd.DataFrame], **options: object) -> Iterator[pd.DataFrame]:
-    """Totals of each block of a partition sorted by block; only the open block is held."""
-    held: list[pd.DataFrame] = []
-    for frame in frames:
-        new = frame["stratum"].ne(frame["stratum"].shift()) | frame["b"].ne(frame["b"].shift())
-        for _, part in frame.groupby(new.cumsum(), sort=False):
-            if held and (held[-1]["stratum"].iloc[0], held[-1]["b"].iloc[0]) != (part["stratum"].iloc[0], part["b"].iloc[0]):
-                yield from _block_totals(pd.concat(held, ignore_index=True), **options)
+    starts = np.searchsorted(code[order], np.arange(n_cells))
+    slots, code, amounts = slots[order], code[order], [a[order] for a in amounts]
+    # Few cells, each on many slots: a product of matrices; else only the cells that a slot has.
+    dense = size * n_cells <= DENSE * len(slots)
+    if dense:
+        table = np.zeros((size, n_cells * len(amounts)))
+        for j, amount in enumerate(amounts):
+            table[slots, code * len(amounts) + j] = amount
+    for j, amount in enumerate(amounts):
+        out[:, j, 0] = np.add.reduceat(amount, starts)
+    n = splits.counts(stratum, number, m)
+    at_once = max(1, CELLS // (4 * max(size, len(slots), int(n.max(initial=0)))))
+    for first in range(0, n_rep, at_once):
+        last = min(first + at_once, n_rep)
+        drawn = slot_counts(splits.seed, stratum, number, size, np.arange(first, last), n[first:last])
+        if dense:
+            out[:, :, first + 1 : last + 1] = (drawn @ table).T.reshape(n_cells, len(amounts), last - first)
+        else:
+            taken = drawn[:, slots]
+            for j, amount in enumerate(amounts):
+                out[:, j, first + 1 : last + 1] = np.add.reduceat(taken * amount, starts, axis=1).T
+    return out
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], entity: list[str], values: list[str], n_rep: int, seed: int, block: int, fewer: int) -> Iterator[pa.RecordBatch]:
+    """Totals of a partition's units, block by block; only the open block is held. A block that two partitions share is drawn in both."""
+    splits, totals = Splits(seed, n_rep, block, fewer), _Totals(entity, values, n_rep)
+
+    def close(parts: list[pa.RecordBatch]) -> None:
+        run = pa.Table.from_batches(parts)
+        stratum, m, pos = run["stratum"][0].as_py(), run["m"][0].as_py(), run["pos"].to_numpy()
+        number = int(pos[0]) // block
+        lists = run["cells"].combine_chunks()
+        slots = np.repeat(pos - number * block, lists.value_lengths().to_numpy(zero_copy_only=False))
+        fields = lists.flatten()
+        fields = [fields.field(i) for i in range(len(entity) + len(values))]
+        code, known = np.zeros(len(slots), dtype=np.int64), [()]
+        for column in fields[: len(entity)]:
+            coded = pc.dictionary_encode(column, null_encoding="encode")
+            names = coded.dictionary.to_pylist()
+            found, code = np.unique(code * len(names) + coded.indices.to_numpy(zero_copy_only=False), return_inverse=True)
+            known = [(*known[f // len(names)], names[f % len(names)]) for f in found.tolist()]
+        amounts = [column.to_numpy(zero_copy_only=False) for column in fields[len(entity) :]]
+        totals.add(known, _block_totals(splits, stratum, number, m, slots, code, len(known), amounts))
+
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        names = pc.dictionary_encode(batch.column("stratum"))
+        number, which = batch.column("pos").to_numpy() // block, names.indices.to_numpy()
+        cuts = np.flatnonzero((np.diff(number) != 0) | (np.diff(which) != 0)) + 1
+        for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(batch)], strict=True):
+            key = (names.dictionary[int(which[low])].as_py(), int(number[low]))
+            if held and key != last:
+                close(held)
                 held = []
-            held.append(part)
+                if totals.full():
+                    yield from totals.take()
+            held.append(batch.slice(low, high - low))
+            last = key
     if held:
-        yield from _block_totals(pd.concat(held, ignore_index=True), **options)
+        close(held)
+    yield from totals.take()
 
 
 def resample(
@@ -121,8 +248,10 @@ def resample(
     """(rep, *entity, *values): replicate totals; rep -1 holds the plain totals (EST-2).
 
     All entities and values share the draws of a replicate. ``fewer`` makes
-    m - fewer draws per stratum. The unit table is written once, so the source is
-    read once however often the units are used.
+    m - fewer draws per stratum. A unit is one row with its entities; units are
+    dealt to ranges of (stratum, hash, cluster) and written once in that order, so
+    a unit's place is its place in the range after the units of earlier ranges,
+    and a task meets its blocks one after the other.
     """
     entity, values = list(entity), list(values)
     if "stratum" in entity:
@@ -133,25 +262,26 @@ def resample(
         F.col(stratum).alias("stratum"), F.col(cluster).alias("cluster"),
         *[F.col(e).cast("string").alias(e) for e in entity], *values,
     )
-    units = cut_lineage(collapse(keyed, values, entity))
-    ids = units.select("stratum", "cluster").distinct() if entity else units
-    sizes = ids.groupBy("stratum").agg(F.count(F.lit(1)).alias("m"))
-    placed = hash_rank(ids, ["stratum"], hash60(seed, F.col("stratum"), F.col("cluster")), ["cluster"], "pos")
-    number = F.floor((F.col("pos") - 1) / block)
-    placed = placed.join(sizes, "stratum").select(
-        *ids.columns, number.alias("b"), ((F.col("pos") - 1) % block).alias("slot"),
-        F.least(F.lit(block), F.col("m") - number * block).alias("mb"), "m",
-    )
-    located = units.join(placed, ["stratum", "cluster"]) if entity else placed
-    ddl = ", ".join(["rep int", *[f"{e} string" for e in entity], *[f"{v} double" for v in values]])
+    units = collapse(keyed, values, entity)
+    cell = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate([*entity, *values])])
+    units = units.groupBy("stratum", "cluster").agg(F.collect_list(cell).alias("cells")) if entity else units.select("stratum", "cluster", F.array(cell).alias("cells"))
+    session = rows.sparkSession
     # A few rows here stand for very many draws: fix the task count, since the
     # adaptive planner would merge tasks that look small.
-    session = rows.sparkSession
     tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
-    dealt = located.select("stratum", "b", "slot", "mb", "m", *entity, *values).repartition(tasks, "stratum", "b").sortWithinPartitions("stratum", "b")
+    order = ["stratum", "__h", "cluster"]
+    dealt = units.withColumn("__h", hash60(seed, F.col("stratum"), F.col("cluster"))).repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    dealt = cut_lineage(dealt.select("stratum", "cells", F.spark_partition_id().alias("__b"), F.monotonically_increasing_id().alias("__at")))
+    # One row per stratum and range, so about as many as strata and tasks together.
+    ranges = dealt.groupBy("stratum", "__b").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
+    whole = Window.partitionBy("stratum")
+    before = whole.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.select("stratum", "__b", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__off"), F.sum("__n").over(whole).alias("m"))
+    located = dealt.join(F.broadcast(offsets), ["stratum", "__b"]).select("stratum", (F.col("__at") + F.col("__off")).alias("pos"), "m", "cells")
+    ddl = ", ".join(["rep int", *[f"`{e}` string" for e in entity], *[f"`{v}` double" for v in values]])
     work = partial(_blocks, entity=entity, values=values, n_rep=n_rep, seed=seed, block=block, fewer=fewer)
-    blocks = dealt.mapInPandas(work, ddl)
-    return blocks.groupBy("rep", *entity).agg(*[F.sum(v).alias(v) for v in values])
+    # Written too: replicates x entities rows, which callers filter, join and aggregate several times.
+    return cut_lineage(located.mapInArrow(work, ddl).groupBy("rep", *entity).agg(*[F.sum(v).alias(v) for v in values]))
 
 
 def interval(reps: DataFrame, keys: Sequence[str], value: str, sparse_below: int | None = 30, n: str | None = None) -> DataFrame:
@@ -220,13 +350,20 @@ def share_replicates(rows: DataFrame, level: str, buckets: Column | None = None,
     The denominator is every row of the bucket, placed or not. ``buckets`` is an
     array column naming the buckets a row belongs to.
     """
+    return level_replicates(rows, [level], buckets, within, weight, **options).drop("level")
+
+
+def level_replicates(
+    rows: DataFrame, levels: Sequence[str], buckets: Column | None = None, within: bool = False, weight: str = "weight", **options,
+) -> DataFrame:
+    """(rep, level, bucket, id, share, n): the shares of several levels on the same draws, which are made once."""
     array = F.array(F.lit("all")) if buckets is None else buckets
     base = rows.withColumn("bucket", F.explode(array)).filter("bucket IS NOT NULL")
     strata = F.concat_ws("~", "bucket", F.col("stratum").cast("string")) if within else F.col("stratum")
-    base = base.select(strata.alias("stratum"), "cluster", "bucket", F.col(level).alias("id"), F.col(weight).alias("x"), F.lit(1.0).alias("n"))
-    both = F.explode(F.array(F.lit(ALL_KEY), F.col("id"))).alias("id")
-    long = base.select("stratum", "cluster", "bucket", both, "x", "n").filter("id IS NOT NULL")
-    reps = resample(long, ["x", "n"], ["bucket", "id"], **options)
-    den = reps.filter(F.col("id") == ALL_KEY).select("rep", "bucket", F.col("x").alias("__den"))
-    num = reps.filter(F.col("id") != ALL_KEY)
-    return num.join(den, ["rep", "bucket"]).select("rep", "bucket", "id", finite_ratio(F.col("x"), F.col("__den")).alias("share"), "n")
+    named = [(F.lit(ALL_KEY), F.lit(ALL_KEY)), *[(F.lit(c), F.col(c).cast("string")) for c in levels]]
+    each = F.inline(F.array(*[F.struct(name.alias("level"), value.alias("id")) for name, value in named]))
+    long = base.select(strata.alias("stratum"), "cluster", "bucket", each, F.col(weight).alias("x"), F.lit(1.0).alias("n")).filter("id IS NOT NULL")
+    reps = resample(long, ["x", "n"], ["bucket", "level", "id"], **options)
+    den = reps.filter(F.col("level") == ALL_KEY).select("rep", "bucket", F.col("x").alias("__den"))
+    num = reps.filter(F.col("level") != ALL_KEY)
+    return num.join(den, ["rep", "bucket"]).select("rep", "level", "bucket", "id", finite_ratio(F.col("x"), F.col("__den")).alias("share"), "n")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadgauge.operators.bootstrap import (
-    ALL_KEY, POINT, REPLICATES, finite_ratio, interval, ratio_estimates, ratio_replicates, resample, share_replicates,
+    ALL_KEY, POINT, REPLICATES, finite_ratio, interval, level_replicates, ratio_estimates, ratio_replicates, resample, share_replicates,
 )
 from threadgauge.operators.robust import benjamini_hochberg, bootstrap_p
 
@@ -205,28 +205,29 @@ def difference(reps: DataFrame, first: str, second: str, keys: Sequence[str] = (
 
 
 def taxonomy_shares(rows: DataFrame, levels: Sequence[str] = ("group_id", "card_id"), n_rep: int = REPLICATES, seed: int = 0) -> DataFrame:
-    """Shares per population, level and bucket, and H2-H1 with adjusted p (EST-10)."""
-    out = None
+    """Shares per population, level and bucket, and H2-H1 with adjusted p (EST-10); all levels share the draws of a population."""
+    out, key = None, ["level", "id"]
     for population, phases in (("pos", ["pos"]), ("pos+neg", ["pos", "neg"])):
         pop = rows.filter(F.col("phase").isin(*phases))
-        for level in levels:
-            boxes = interval(share_replicates(pop, level, half_buckets(), within=True, n_rep=n_rep, seed=seed), ["bucket", "id"], "share", n="n")
-            people = pop.withColumn("bucket", F.explode(half_buckets())).groupBy("bucket", F.col(level).alias("id")).agg(
-                F.countDistinct("author").alias("n_authors")
-            )
-            boxes = boxes.join(people, ["bucket", "id"], "left").select(
-                "bucket", "id", F.col("est").alias("share"), "lo95", "hi95", "n", F.coalesce("n_authors", F.lit(0)).alias("n_authors"),
-                F.lit(None).cast("double").alias("p_adj"),
-            )
-            shared = difference(share_replicates(pop, level, half_buckets(), n_rep=n_rep, seed=seed), "H1", "H2")
-            p = benjamini_hochberg(bootstrap_p(shared, ["id"], "diff")).select("id", "p_adj")
-            whole = boxes.filter("bucket = 'all'").select("id", "n", "n_authors")
-            moved = interval(shared, ["id"], "diff").join(p, "id").join(whole, "id").select(
-                F.lit("H2_minus_H1").alias("bucket"), "id", F.col("est").alias("share"), "lo95", "hi95", "n", "n_authors",
-                F.when(F.col("est").isNotNull(), F.col("p_adj")).alias("p_adj"),
-            )
-            part = boxes.unionByName(moved).withColumn("population", F.lit(population)).withColumn("level", F.lit(level))
-            out = part if out is None else out.unionByName(part)
+        inside = level_replicates(pop, levels, half_buckets(), within=True, n_rep=n_rep, seed=seed)
+        boxes = interval(inside, ["bucket", *key], "share", n="n")
+        named = F.inline(F.array(*[F.struct(F.lit(c).alias("level"), F.col(c).cast("string").alias("id")) for c in levels]))
+        people = pop.withColumn("bucket", F.explode(half_buckets())).select("bucket", named, "author").groupBy("bucket", *key).agg(
+            F.countDistinct("author").alias("n_authors")
+        )
+        boxes = boxes.join(people, ["bucket", *key], "left").select(
+            "bucket", *key, F.col("est").alias("share"), "lo95", "hi95", "n", F.coalesce("n_authors", F.lit(0)).alias("n_authors"),
+            F.lit(None).cast("double").alias("p_adj"),
+        )
+        shared = difference(level_replicates(pop, levels, half_buckets(), n_rep=n_rep, seed=seed), "H1", "H2", key)
+        p = benjamini_hochberg(bootstrap_p(shared, key, "diff"), family=["level"]).select(*key, "p_adj")
+        whole = boxes.filter("bucket = 'all'").select(*key, "n", "n_authors")
+        moved = interval(shared, key, "diff").join(p, key).join(whole, key).select(
+            F.lit("H2_minus_H1").alias("bucket"), *key, F.col("est").alias("share"), "lo95", "hi95", "n", "n_authors",
+            F.when(F.col("est").isNotNull(), F.col("p_adj")).alias("p_adj"),
+        )
+        part = boxes.unionByName(moved).withColumn("population", F.lit(population))
+        out = part if out is None else out.unionByName(part)
     return out
 
 
