@@ -187,3 +187,15 @@ def test_pipeline_drops_near_copies_with_a_few_edited_words(spark, monkeypatch,
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == want
     assert simhash.keep_one(docs).count() > len(want)
     assert nearcopies.keep_one(docs.limit(0)).count() == 0
+
+
+def test_near_copies_take_simhash_candidates(spark, monkeypatch):
+    """Without a common MinHash band, fingerprints of the Golay keys still bring near copies together; the exact check decides."""
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join([*words[:399], "other"]), " ".join(words[::-1])]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    prints = [nearcopies.simhash.fingerprint(t.encode(), nearcopies.WORDS) for t in texts]
+    assert 0 < bin((prints[0] ^ prints[1]) & (1 << 64) - 1).count("1") <= 3 < bin((prints[0] ^ prints[2]) & (1 << 64) - 1).count("1")
+    nodes = spark.createDataFrame(list(enumerate(prints)), "node long, fp long")
+    assert {tuple(sorted(r)) for r in nearcopies._close_prints(nodes).collect()} == {(0, 1)}
+    assert sorted(r.doc_id for r in nearcopies.keep_one(docs).collect()) == [0, 2]
