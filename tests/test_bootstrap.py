@@ -150,7 +150,19 @@ def test_levels_share_draws_and_equal_single_levels(spark):
         assert got == want and len(got) > 0
 
 
-def test_blocks_cut_by_partitions_and_small_totals(spark, monkeypatch):
+def test_missing_values_do_not_depend_on_the_task_count(spark):
+    rows = spark.createDataFrame([("a", i, f"k{i % 3}", None if i == 77 else 1.0) for i in range(200)], "stratum string, cluster int, kind string, w double")
+    kept, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for parts in ("1", "23"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            found.append(sorted(map(str, bs.resample(rows, ["w"], ["kind"], n_rep=5, seed=1, block=64).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    assert found[0] == found[1] and len(found[0]) == 18
+
+
+def test_pieces_of_replicates_and_kinds_of_totals_agree(spark, monkeypatch):
     rows = spark.createDataFrame([("a", i, f"k{i % 50}", float(i % 7)) for i in range(500)], "stratum string, cluster int, kind string, w double")
     want = sorted(map(tuple, bs.resample(rows, ["w"], ["kind"], n_rep=30, seed=1, block=64).collect()))
     for cells, dense in ((64, 24), (1 << 21, 0), (1 << 21, 10**9)):

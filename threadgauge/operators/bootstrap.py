@@ -199,7 +199,7 @@ def _block_totals(
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], entity: list[str], values: list[str], n_rep: int, seed: int, block: int, fewer: int) -> Iterator[pa.RecordBatch]:
-    """Totals of a partition's units, block by block; only the open block is held. A block that two partitions share is drawn in both."""
+    """Totals of the blocks of a partition sorted by place; only the open block is held."""
     splits, totals = Splits(seed, n_rep, block, fewer), _Totals(entity, values, n_rep)
 
     def close(parts: list[pa.RecordBatch]) -> None:
@@ -250,8 +250,7 @@ def resample(
     All entities and values share the draws of a replicate. ``fewer`` makes
     m - fewer draws per stratum. A unit is one row with its entities; units are
     dealt to ranges of (stratum, hash, cluster) and written once in that order, so
-    a unit's place is its place in the range after the units of earlier ranges,
-    and a task meets its blocks one after the other.
+    a unit's place is its place in the range after the units of earlier ranges.
     """
     entity, values = list(entity), list(values)
     if "stratum" in entity:
@@ -278,6 +277,9 @@ def resample(
     before = whole.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranges.select("stratum", "__b", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__off"), F.sum("__n").over(whole).alias("m"))
     located = dealt.join(F.broadcast(offsets), ["stratum", "__b"]).select("stratum", (F.col("__at") + F.col("__off")).alias("pos"), "m", "cells")
+    # A block is one task's: a cell with a value missing is missing in its whole block.
+    number = F.floor(F.col("pos") / block)
+    located = located.repartition(tasks, "stratum", number).sortWithinPartitions("stratum", "pos")
     ddl = ", ".join(["rep int", *[f"`{e}` string" for e in entity], *[f"`{v}` double" for v in values]])
     work = partial(_blocks, entity=entity, values=values, n_rep=n_rep, seed=seed, block=block, fewer=fewer)
     # Written too: replicates x entities rows, which callers filter, join and aggregate several times.
