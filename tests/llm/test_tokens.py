@@ -184,3 +184,13 @@ def test_frames_are_zstandard_and_checked(tmp_path):
     with place.open("rb") as source, pytest.raises(ValueError, match="checksum"):
         reader = frames.FrameReader(source, len(data))
         reader.documents(len(reader.entries) - 1)
+
+
+def test_pieces_are_cut_from_bounded_blocks_of_text():
+    import pyarrow as pa
+
+    texts = [f"word{k} and more text of it. " * 9000 for k in range(9)] + [None, ""]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(11)), "text": texts})
+    parts = list(packing._cut(iter([batch]), BYTES, 2, 1024))
+    alone = [row for k in range(11) for part in packing._cut(iter([batch.slice(k, 1)]), BYTES, 2, 1024) for row in part.to_pylist()]
+    assert len(parts) > 1 and [row for part in parts for row in part.to_pylist()] == alone

@@ -27,6 +27,8 @@ from threadgauge.llm.tokens import REMEMBERED, library_coder
 CAPACITY = 1024
 END = 2
 RANKED_AT_ONCE = 4096
+# Characters of text that a worker cuts at once: what it holds beside them is some 40 times as large.
+CUT_AT_ONCE = 1 << 20
 
 
 def pieces_of(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -38,7 +40,7 @@ def pieces_of(n: int, capacity: int) -> list[tuple[int, int]]:
 def _cut(batches: Iterator[pa.RecordBatch], path: str, end: int, capacity: int) -> Iterator[pa.RecordBatch]:
     coder = library_coder(path, REMEMBERED)
     for batch in batches:
-        for at, texts in _blocks(batch, "text"):
+        for at, texts in _blocks(batch, "text", CUT_AT_ONCE):
             ids, counts = coder.encode(texts, end)
             first = (counts - 1) % capacity + 1
             pieces = (counts - first) // capacity + 1
