@@ -69,3 +69,13 @@ def test_runs_that_disagree_on_a_pain_text(spark):
     for other in ((1, "b"), (2, "b"), (1, None)):
         with pytest.raises(ValueError, match="disagree"):
             an.combine_pain([first, spark.createDataFrame([other], schema)])
+
+
+def test_tallies_search_the_texts_once(spark, tmp_path):
+    from threadgauge.plans import registry
+
+    docs = [(k, f"tion of The nichts que edion {k}", "de", "s") for k in range(12)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("men_02_confirmed_hits", "men_04_card_tool_tally", "men_05_rekeyed_tally"):
+        out = registry.queries()[name](spark, str(tmp_path))
+        assert out.count() and "regexp_extract_all" not in out._jdf.queryExecution().toString()

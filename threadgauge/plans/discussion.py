@@ -10,6 +10,7 @@ from threadgauge.plans.answers import CARDS, FINAL, cards
 from threadgauge.plans.estimates import R, boot, ci, rounded
 from threadgauge.plans.registry import Tables, plan
 from threadgauge.plans.roles import cte
+from threadgauge.session import cut_lineage
 
 PROBLEMS = f"problems AS ({cte('problems')})"
 REPLIES = """replies AS (SELECT event_id + 10000000 AS id, (event_id * 7) % 900 AS parent_id, epoch(date_trunc('second', ts))::BIGINT AS time, CASE WHEN event_id % 19 = 0 THEN '  ' ELSE event_type || ' fix ' || CAST(event_id AS VARCHAR) END AS text,
@@ -122,7 +123,8 @@ CONFIRM = "ok AS (SELECT hit_id FROM mentions WHERE kind <> 'problem' AND hit_id
 
 
 def confirmed(t: Tables):
-    mentions = ds.collect_mentions(*mention_inputs(t), tools(t))
+    # Written once: mentions are few beside the texts, and every reader would search the texts again.
+    mentions = cut_lineage(ds.collect_mentions(*mention_inputs(t), tools(t)))
     answers = mentions.filter("kind <> 'problem'").select(F.col("hit_id").alias("comment_id"), F.lit("recommends").alias("question_id"), F.expr("hit_id % 10 / 1e1 + 0.1d").alias("noul"))
     return mentions, ds.confirmed_hits(answers)
 
@@ -154,7 +156,7 @@ def _(t: Tables):
 
 @plan("men_05_rekeyed_tally", f"WITH {MENTIONS}, {COUNTED}, {CARD_TALLY} SELECT CASE WHEN card_id IN ('c1', 'c2') THEN 'c0' ELSE card_id END AS card_id, side, tool, CAST(sum(threads) AS BIGINT) AS threads FROM tl GROUP BY ALL")
 def _(t: Tables):
-    tally = ds.card_tool_tally(*confirmed(t))
+    tally = cut_lineage(ds.card_tool_tally(*confirmed(t)))
     final = tally.select("card_id").distinct().withColumn("final_id", F.expr("if(card_id in ('c1', 'c2'), 'c0', card_id)"))
     return ds.rekey_tally(tally, final)
 
