@@ -166,3 +166,21 @@ def test_term_counts_by_hand(spark):
     assert kept == {"build": (7, 5, 1)}
     assert [(r.canon, r.corpus, r.display, sorted(r.words)) for r in words.collect()] == [("build", 7, "build", ["build", "builds"])]
     assert [r.n for r in totals.collect()] == [sum(c for c, _ in got.values())]
+
+
+def test_only_frequent_terms_are_counted_by_author(spark):
+    texts = ["red parks run", "red parks run far", "red park", "odd words here", "red glass", "red glass parks"] * 2
+    rows = spark.createDataFrame([("gh"[k % 5 == 0], f"a{k % 4}", t) for k, t in enumerate(texts)], "group_id string, author string, text string")
+    every = {(r.group_id, r.author, r.term): (r.c, r.n) for r in ds.term_counts(rows).collect()}
+    passing = ds.frequent_classes(rows, least=4)
+    some = {(r.group_id, r.author, r.term): (r.c, r.n) for r in ds.term_counts(rows, passing=passing).collect()}
+    assert {t for *_, t in some} >= {"red", "parks", "red parks"} and "odd words" not in {t for *_, t in some}
+    assert some == {k: v for k, v in every.items() if k[2] in {t for *_, t in some}}
+    full = ds.term_counts(rows, passing=ds.frequent_classes(rows, least=1, most=64)).collect()
+    assert {(r.group_id, r.author, r.term): (r.c, r.n) for r in full} == every
+    whole, wide = ds.term_stats(rows), ds.term_stats(rows, least=4)
+    enough = {(r.group_id, r.canon, r.cnt, r.n_comments, r.n_authors) for r in whole[0].collect() if r.n_comments >= 4}
+    assert enough == {(r.group_id, r.canon, r.cnt, r.n_comments, r.n_authors) for r in wide[0].collect()}
+    listed = {r.canon: (r.corpus, r.display, sorted(r.words)) for r in whole[1].collect()}
+    assert all(listed[r.canon] == (r.corpus, r.display, sorted(r.words)) for r in wide[1].collect())
+    assert sorted(whole[2].collect()) == sorted(wide[2].collect())

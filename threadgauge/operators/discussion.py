@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -307,11 +307,17 @@ def lexical_ok(term: Column) -> Column:
     return ~(term.rlike(r"\d{4,}") | term.rlike(url) | term.rlike(r"\S+@\S+") | term.rlike(r"(?:^|\s)@\w+"))
 
 
+def _plural() -> Column:
+    return F.col("term").endswith("s") & ~F.col("term").endswith("ss") & (F.length(F.substring_index("term", " ", -1)) > 4)
+
+
+def _singular() -> Column:
+    return F.expr("substring(term, 1, length(term) - 1)")
+
+
 def plural_map(vocab: DataFrame) -> DataFrame:
     """(term, canon): plural to singular when the singular is in the vocabulary (TXT-14)."""
-    last = F.substring_index("term", " ", -1)
-    plural = (F.length(last) > 4) & F.col("term").endswith("s") & ~F.col("term").endswith("ss")
-    cut = vocab.filter(plural).select("term", F.expr("substring(term, 1, length(term) - 1)").alias("canon"))
+    cut = vocab.filter(_plural()).select("term", _singular().alias("canon"))
     return cut.join(vocab.select(F.col("term").alias("canon")), "canon", "left_semi").select("term", "canon")
 
 
@@ -341,28 +347,71 @@ def adjust_p(tests: DataFrame, p: str = "p") -> DataFrame:
     return tests.join(adjusted, p, "left")
 
 
-def term_counts(rows: DataFrame, stop: Sequence[str] = STOP) -> DataFrame:
+def _tokened(rows: DataFrame, stop: Sequence[str]) -> DataFrame:
+    return rows.filter("group_id IS NOT NULL AND text <> ''").select("group_id", "author", tokens(F.col("text"), stop).alias("t"))
+
+
+def _class() -> Column:
+    """Hash of a term's singular: a term and its plural share it, whichever of them the vocabulary has."""
+    return F.xxhash64(F.when(_plural(), _singular()).otherwise(F.col("term")))
+
+
+def frequent_classes(rows: DataFrame, stop: Sequence[str] = STOP, least: int = 20, most: int = 1 << 26) -> Callable[[DataFrame], DataFrame]:
+    """A filter of rows with a ``term`` that passes each term which, with its plural, ``least`` comments of a group have, and few others.
+
+    Counting hashes moves neither terms nor authors. What passes is held in a
+    bitmap of 16 slots for each class found and at most ``most`` in all, as one row
+    for each 64 slots; classes that share a slot only let more terms pass.
+    """
+    each = _tokened(rows, stop).select("group_id", F.explode(F.array_distinct(terms(F.col("t")))).alias("term"))
+    counts = each.groupBy("group_id", _class().alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    found = cut_lineage(counts.filter(F.col("n") >= least).select("h").distinct())
+    slots = min(most, max(64, 1 << (16 * found.count()).bit_length()))
+
+    def place(h: Column) -> Column:
+        return F.pmod(h, F.lit(slots))
+
+    def word(h: Column) -> Column:
+        return F.floor(place(h) / 64).cast("int")
+
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(place(F.col("h")), F.lit(64)).cast("int"))
+    held = cut_lineage(found.groupBy(word(F.col("h")).alias("__i")).agg(F.bit_or(bit).alias("__w")))
+
+    def passing(spread: DataFrame) -> DataFrame:
+        keyed = spread.withColumn("h", _class()).withColumn("__i", word(F.col("h")))
+        return keyed.join(F.broadcast(held), "__i").filter(F.col("__w").bitwiseAND(bit) != 0).select(*spread.columns)
+
+    return passing
+
+
+def term_counts(rows: DataFrame, stop: Sequence[str] = STOP, passing: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(group_id, author, term, c, n): occurrences of a term and comments with it, by author; a row is one comment.
 
     In the sorted terms of a comment the first of equal ones differs from the one
     before it, so comments are counted without a key of their own and partial
-    sums go ahead of the one shuffle.
+    sums go ahead of the one shuffle. ``passing`` leaves terms out before it.
     """
-    tokened = rows.filter("group_id IS NOT NULL AND text <> ''").select("group_id", "author", tokens(F.col("text"), stop).alias("t"))
-    ordered = tokened.select("group_id", "author", F.sort_array(terms(F.col("t"))).alias("term"))
+    ordered = _tokened(rows, stop).select("group_id", "author", F.sort_array(terms(F.col("t"))).alias("term"))
     before = F.concat(F.array(F.lit(None).cast("string")), F.col("term")).alias("before")
     spread = ordered.select("group_id", "author", F.inline(F.arrays_zip("term", before))).filter("term IS NOT NULL")
     first = F.col("before").isNull() | (F.col("before") != F.col("term"))
+    spread = passing(spread) if passing else spread
     return spread.groupBy("group_id", "author", "term").agg(F.count(F.lit(1)).alias("c"), F.count(F.when(first, 1)).alias("n"))
 
 
+def group_sizes(rows: DataFrame, stop: Sequence[str] = STOP) -> DataFrame:
+    """(group_id, n): occurrences of all terms by group."""
+    n = F.size("t") + F.greatest(F.size("t") - 1, F.lit(0))
+    return _tokened(rows, stop).groupBy("group_id").agg(F.sum(n.cast("bigint")).alias("n")).filter("n > 0")
+
+
 def term_stats(rows: DataFrame, stop: Sequence[str] = STOP, least: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Per (group, canonical term) counts where ``least`` comments have it, per such term its forms, per group all occurrences (TRM-1).
 
-    Most terms are rare: they are counted, then only those of ``least`` comments
-    go on to authors and forms.
+    Most terms are rare: a first pass over the texts finds out which, so only
+    those of ``least`` comments in some group are ever shuffled with their authors.
     """
-    occ = cut_lineage(term_counts(rows, stop))
+    occ = cut_lineage(term_counts(rows, stop, frequent_classes(rows, stop, least) if least > 1 else None))
     by_group = cut_lineage(occ.groupBy("group_id", "term").agg(F.sum("c").alias("c"), F.sum("n").alias("n")))
     corpus = by_group.groupBy("term").agg(F.sum("c").alias("c"))
     canon = cut_lineage(plural_map(corpus))
@@ -379,7 +428,7 @@ def term_stats(rows: DataFrame, stop: Sequence[str] = STOP, least: int = 1) -> t
     named = occ.filter("author <> ''").join(forms, "term").select("group_id", "canon", "author").distinct()
     authors = named.groupBy("group_id", "canon").agg(F.count(F.lit(1)).alias("n_authors"))
     stats = counts.join(authors, ["group_id", "canon"], "left").withColumn("n_authors", F.coalesce("n_authors", F.lit(0)))
-    return stats, words, by_group.groupBy("group_id").agg(F.sum("c").alias("n"))
+    return stats, words, group_sizes(rows, stop)
 
 
 def anonymous_terms(stats: DataFrame, words: DataFrame, authors: DataFrame, deny: Sequence[str] = (), k_comments: int = 20, k_authors: int = 10) -> DataFrame:
@@ -395,6 +444,7 @@ def anonymous_terms(stats: DataFrame, words: DataFrame, authors: DataFrame, deny
 def distinctive_terms(rows: DataFrame, stop: Sequence[str] = STOP, deny: Sequence[str] = (), k_comments: int = 20, k_authors: int = 10, top: int = 8) -> DataFrame:
     """Top terms per group by log-odds with a Dirichlet prior, BH q under 0.05 (TRM-1)."""
     stats, words, totals = term_stats(rows, stop, k_comments)
+    totals = cut_lineage(totals)
     whole = totals.agg(F.sum("n")).scalar()
     kept = anonymous_terms(stats, words, rows.filter("author IS NOT NULL"), deny, k_comments, k_authors).join(totals, "group_id")
     kept = kept.withColumn("alpha", F.lit(PRIOR_TOTAL) * F.col("corpus") / whole).withColumn("rest", F.col("corpus") - F.col("cnt"))
