@@ -194,3 +194,17 @@ def test_pieces_are_cut_from_bounded_blocks_of_text():
     parts = list(packing._cut(iter([batch]), BYTES, 2, 1024))
     alone = [row for k in range(11) for part in packing._cut(iter([batch.slice(k, 1)]), BYTES, 2, 1024) for row in part.to_pylist()]
     assert len(parts) > 1 and [row for part in parts for row in part.to_pylist()] == alone
+
+
+def test_words_of_letters_and_signs_reach_the_model_in_blocks(monkeypatch):
+    asked, plain = [], tokens.LibraryCoder._pieces
+    monkeypatch.setattr(tokens.LibraryCoder, "_pieces", lambda self, chunk: asked.append(chunk) or plain(self, chunk))
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyzABCßÄéñçªºµ"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 12))) + rng.choice(["", "", "$$$", "%", "_", "?!", "\"", "(*"]) for _ in range(3000)]
+    others = ["a'b", "'s", "x's!", "a!b", "7th", "a1", "×÷", "¡si!", "\x00", "À\x00", "日本", "don't%", "@@"]
+    found = [" ".join(rng.choice(words) if rng.random() < 0.9 else rng.choice(others) for _ in range(40)) for _ in range(300)]
+    coder = tokens.LibraryCoder(BYTES, remembered=500)
+    got = coder.encode_batch(found[:200]) + coder.encode_batch(found[200:])
+    assert got == [as_bytes(w.ids) for w in library(BYTES).encode_batch(found, add_special_tokens=False)]
+    assert not {w.strip() for w in asked} & set(words)
