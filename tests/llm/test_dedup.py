@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from threadgauge.llm import exact, nearcopies, simhash
+from threadgauge.llm import common, exact, nearcopies, simhash
 from threadgauge.llm.components import components
 
 SCHEMA = "doc_id bigint, text string, fp string, label int"
@@ -199,3 +199,57 @@ def test_near_copies_take_simhash_candidates(spark, monkeypatch):
     nodes = spark.createDataFrame(list(enumerate(prints)), "node long, fp long")
     assert {tuple(sorted(r)) for r in nearcopies._close_prints(nodes).collect()} == {(0, 1)}
     assert sorted(r.doc_id for r in nearcopies.keep_one(docs).collect()) == [0, 2]
+
+
+def shuffled(df):
+    """Rows of ``df`` and rows that its exchanges wrote."""
+    found, n, todo = df.collect(), 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        plan = todo.pop()
+        name = plan.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(plan.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(plan.plan())
+        else:
+            if name == "ShuffleExchangeExec":
+                n += plan.metrics().apply("shuffleRecordsWritten").value()
+            todo += [plan.children().apply(i) for i in range(plan.children().size())]
+    return found, n
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    """Small tables are joined as large ones are."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_texts_without_copies_are_not_shuffled(spark, no_broadcast, monkeypatch):
+    rng = random.Random(6)
+    plain = [" ".join(str(rng.randint(0, 9999)) for _ in range(30)) for _ in range(600)]
+    near = [plain[k] + " end" for k in range(8)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(plain + near)], "doc_id bigint, text string")
+    kept, n = shuffled(exact.keep_first(docs.union(docs.filter("doc_id < 10")), exact.DigestIndex(spark)))
+    assert sorted(r["doc_id"] for r in kept) == list(range(608)) and n < 200
+    compared, real = [], nearcopies.components
+
+    def components_of(edges):
+        compared.append(shuffled(edges)[1])
+        return real(edges)
+
+    monkeypatch.setattr(nearcopies, "components", components_of)
+    kept, n = shuffled(nearcopies.keep_one(docs))
+    assert sorted(r["doc_id"] for r in kept) == list(range(600)) and n < 200
+    assert compared[1] < 200
+
+
+@pytest.mark.parametrize("most", [common.SLOTS, 64])
+def test_without_leaves_just_the_other_rows(spark, no_broadcast, most):
+    rows = spark.range(1000).selectExpr("id as k", "id % 7 as v").union(spark.range(5).selectExpr("id as k", "id as v"))
+    for gone in (set(range(0, 1000, 3)), set(), set(range(1000))):
+        found = common.without(rows, spark.createDataFrame([(k,) for k in gone], "k bigint"), "k", most).collect()
+        want = [(k, k % 7) for k in range(1000)] + [(k, k) for k in range(5)]
+        assert sorted(map(tuple, found)) == sorted(x for x in want if x[0] not in gone)

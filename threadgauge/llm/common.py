@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HOT_SHARE = 512
+SLOTS = 1 << 26
 T = TypeVar("T")
 _LOCAL: dict[str, str] = {}
 _SOLE: dict = {}
@@ -99,3 +100,29 @@ def lookup(left: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame
     on_hot = left.join(F.broadcast(hot), key)
     on_cold = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
     return on_hot.unionByName(on_cold)
+
+
+def sieve(keys: DataFrame, key: str, most: int = SLOTS) -> Callable[[DataFrame], DataFrame]:
+    """A filter of rows that passes every row with a ``key`` in ``keys``, and few others, without a shuffle.
+
+    The keys' hashes are held in a bitmap of 16 slots a key and at most ``most`` in all,
+    one row for each 64 slots; keys that share a slot only let more rows pass. The filter
+    given ``False`` passes the other rows, none of which has a key in ``keys``.
+    """
+    slots = min(most, max(64, 1 << (16 * keys.count()).bit_length()))
+    place = F.pmod(F.xxhash64(key), F.lit(slots))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(place, F.lit(64)).cast("int"))
+    word = F.floor(place / 64).cast("int")
+    held = written(keys.groupBy(word.alias("__word")).agg(F.bit_or(bit).alias("__bits")), "sieve")
+
+    def passing(rows: DataFrame, passed: bool = True) -> DataFrame:
+        hit = F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False))
+        return rows.withColumn("__word", word).join(F.broadcast(held), "__word", "left").filter(hit == F.lit(passed)).select(*rows.columns)
+
+    return passing
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str, most: int = SLOTS) -> DataFrame:
+    """``rows`` but those with a ``key`` (never null) in ``gone``; only rows that its sieve passes may be shuffled."""
+    passing = sieve(gone, key, most)
+    return passing(rows, False).unionByName(passing(rows).join(gone, key, "left_anti"))

@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadgauge.llm.common import free_name, lookup, new_path, written
+from threadgauge.llm.common import free_name, lookup, new_path, without, written
 
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -104,4 +104,4 @@ def keep_first(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text
         "digests-in",
     )
     gone = _decide(rows, index).filter(~F.col("kept")).select(F.col("row").alias(row))
-    return tagged.join(written(gone, "dropped"), row, "left_anti").drop(row)
+    return without(tagged, written(gone, "dropped"), row).drop(row)
