@@ -80,6 +80,25 @@ def test_languages(spark):
     assert langid.identify(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_language_filter_compares_the_identified_with_the_named_language(spark):
+    rng = random.Random(12)
+    stems = {"aa": ["tulo", "veni", "karu", "osto"], "bb": ["schr", "pfund", "wirk", "zeug"]}
+
+    def text(lang, n=12):
+        return " ".join(rng.choice(stems[lang]) for _ in range(n))
+
+    docs = [(i, text(k), k, 0.0, 0) for i in range(300) for k in [("aa", "bb")[i % 2]]]
+    unlearned = next(i for i in range(2000, 2100) if zlib.crc32(str(i).encode()) % 4 == 2)
+    stay = [(900, text("aa"), None), (901, text("bb", 4000), "bb"), (902, "tulo wirk " * 20, "aa"), (903, "tulo wirk " * 20, "bb"), (unlearned, text("aa"), "cc")]
+    go = [(950, text("aa"), "bb"), (951, text("bb"), "aa"), (952, text("bb", 4000), "aa"), (953, None, "aa"), (954, "12 %%", None), (None, text("aa", 40), "bb")]
+    frame = spark.createDataFrame(docs + [(*r, 0.0, 0) for r in [*stay, *go, go[0], stay[0]]], DOCS)
+    kept = langid.keep_identified(frame)
+    assert kept.columns == frame.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted([d[0] for d in [*docs, *stay, stay[0]]])
+    nameless = spark.createDataFrame([(1, text("aa"), None, 0.0, 0)], DOCS)
+    assert langid.keep_identified(nameless).count() == langid.keep_identified(nameless.limit(0)).count() == 0
+
+
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 def test_letter_noise_and_unlearned_scripts_go(spark):
     rng = random.Random(21)

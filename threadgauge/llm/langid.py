@@ -151,35 +151,47 @@ def train(
     return {k: v / n for k, v in sorted(model.items()) if (n := np.linalg.norm(v)) > 0}
 
 
-def predict(text: Column, model: dict[str, np.ndarray], gram: int = GRAM) -> Column:
+def predict(text: Column, model: dict[str, np.ndarray], gram: int = GRAM, named: Column | None = None) -> Column:
     """A struct (lang string, score double) for a text column.
 
     The score is the cosine with the winning prototype, at least 0; equal cosines
     go to the first language by name. ``und`` with score 0 for texts that are
     null or have no letter, and for all texts if the model is empty.
+
+    With ``named``, a column of languages that never changes lang and score, the struct goes
+    on with (best double, own double, length_class int): the cosine with the winner as it is,
+    the one with the named language, and the text's length class. Best and own are null
+    where lang is ``und``, own also where no learned language is named.
     """
     names = list(model)
+    places = {k: i for i, k in enumerate(names)}
     matrix = np.stack(list(model.values())) if model else np.zeros((0, DIMENSIONS), dtype=np.float32)
 
-    @pandas_udf("lang string, score double")
-    def of(texts: pd.Series) -> pd.DataFrame:
+    def answers(texts: pd.Series, claims: pd.Series) -> pd.DataFrame:
         sole("languages", int)  # lets go of what an earlier operator remembered
-        langs: list[str] = []
-        scores: list[float] = []
+        rows: list[tuple[str, float, float | None, float | None]] = []
         for at in range(0, len(texts), 256):
             found = profiles(texts.iloc[at : at + 256].tolist(), matrix.shape[1], gram)
             norm = np.linalg.norm(found, axis=1)
-            if not names:
-                langs += [UNDETERMINED] * len(found)
-                scores += [0.0] * len(found)
-                continue
             cosine = found @ matrix.T / np.where(norm > 0, norm, 1)[:, None]
-            best = cosine.argmax(axis=1)
-            langs += [names[b] if n > 0 else UNDETERMINED for b, n in zip(best, norm, strict=True)]
-            scores += np.clip(np.where(norm > 0, cosine[np.arange(len(best)), best], 0), 0, 1).astype(float).tolist()
-        return pd.DataFrame({"lang": langs, "score": scores})
+            for c, n, claim in zip(cosine, norm, claims.iloc[at : at + 256], strict=True):
+                if n > 0 and names:
+                    best = int(c.argmax())
+                    own = float(c[places[claim]]) if claim in places else None
+                    rows.append((names[best], float(np.clip(c[best], 0, 1)), float(c[best]), own))
+                else:
+                    rows.append((UNDETERMINED, 0.0, None, None))
+        return pd.DataFrame(rows, columns=["lang", "score", "best", "own"]).astype({"best": "Float64", "own": "Float64"})
+
+    @pandas_udf("lang string, score double")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        return answers(texts, pd.Series([None] * len(texts)))[["lang", "score"]]
 
-    return of(text)
+    @pandas_udf("lang string, score double, best double, own double, length_class int")
+    def beside(texts: pd.Series, claims: pd.Series) -> pd.DataFrame:
+        return answers(texts, claims).assign(length_class=[_length_class(t, gram) for t in texts])
+
+    return of(text) if named is None else beside(text, named)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options: int) -> DataFrame:
@@ -245,44 +257,38 @@ def thresholds(
     return {r["class"]: max(float(noise), SHARE * r["m"]) for r in medians}
 
 
-def accepted(text: Column, model: dict[str, np.ndarray], least: dict[int, float], gram: int = GRAM) -> Column:
-    """Whether the best cosine reaches the threshold of the text's length class; a class not in ``least`` takes the one below."""
-    matrix = np.stack(list(model.values())) if model else np.zeros((0, FILTER_DIMENSIONS), dtype=np.float32)
-    noise = float(NOISE / np.sqrt(matrix.shape[1]))
-    steps = np.full(64, noise)
-    for k in range(1, 64):
-        steps[k] = least.get(k, steps[k - 1])
+def accepted(found: Column, least: dict[int, float], dimensions: int = FILTER_DIMENSIONS) -> Column:
+    """Whether the language that ``predict`` found beside a named one is sure, and is the named one.
 
-    @pandas_udf("boolean")
-    def of(texts: pd.Series) -> pd.Series:
-        sole("languages", int)  # lets go of what an earlier operator remembered
-        out: list[bool] = []
-        for at in range(0, len(texts), 256):
-            part = texts.iloc[at : at + 256].tolist()
-            found = profiles(part, matrix.shape[1], gram)
-            norm = np.linalg.norm(found, axis=1)
-            if not len(matrix):
-                out += [False] * len(part)
-                continue
-            best = (found @ matrix.T).max(axis=1) / np.where(norm > 0, norm, 1)
-            out += ((norm > 0) & (best >= steps[[_length_class(t, gram) for t in part]])).tolist()
-        return pd.Series(out, dtype=bool)
-
-    return of(text)
+    The cosine with the winner has to reach the threshold of the text's length
+    class; a class not in ``least`` takes the one below. Against the named language the
+    winner has to lead by more than the noise of two cosines. Where no learned language
+    is named, any winner will do.
+    """
+    noise = float(NOISE / np.sqrt(dimensions))
+    steps = [noise] * 64
+    for k in range(1, 64):
+        steps[k] = float(least.get(k, steps[k - 1]))
+    sure = (found["lang"] != UNDETERMINED) & (found["best"] >= F.array(*map(F.lit, steps))[found["length_class"]])
+    return sure & (found["own"].isNull() | (found["best"] - found["own"] <= 2 * noise))
 
 
 def keep_identified(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float | None = None,
     per_language: int = PER_LANGUAGE, dimensions: int = FILTER_DIMENSIONS, gram: int = GRAM,
 ) -> DataFrame:
-    """The rows of ``docs`` whose text is like some learned language, with their columns.
-
-    The cosine has to reach the threshold for the text's length (see
-    ``thresholds``), or ``least`` for all lengths if given. Texts without letters,
-    in other scripts or of letters in no language's order go; texts of a few
-    words lie close to noise, so some of either kind fall on the wrong side.
+    """The rows of ``docs`` whose text is identified as the language they name, with their columns.
+
+    Every text gets the language that wins (see ``predict``). Its cosine has to reach
+    the threshold for the text's length (see ``thresholds``), or ``least`` for all
+    lengths if given. Texts without letters, in other scripts or of letters in no
+    language's order go, and so do those in another learned language than the one
+    named; a row that names none, or one that was not learned, stays in any learned
+    language. Texts of a few words lie close to noise, so some of either kind fall
+    on the wrong side.
     """
     name = free_name(docs, "__language")
     model = train(docs, id_col, text_col, lang_col, per_language, dimensions, gram)
     limits = thresholds(docs, model, id_col, text_col, lang_col, per_language, gram) if least is None else dict.fromkeys(range(64), least)
-    return docs.withColumn(name, accepted(F.col(text_col), model, limits, gram)).filter(name).drop(name)
+    found = predict(F.col(text_col), model, gram, F.col(lang_col).cast("string"))
+    return docs.withColumn(name, found).filter(accepted(F.col(name), limits, dimensions)).drop(name)
